@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TILE = 2048  # reference tokens compared at a time; bounds the memory of very long texts
 
@@ -35,7 +36,10 @@ def best_matches(candidate, reference) -> tuple[float, float, float]:
     return precision, recall, 2 * precision * recall / total if total else 0.0
 
 
-@F.pandas_udf("struct<bert_precision:double,bert_recall:double,bert_f1:double>")
+SCORE_FIELDS = [T.StructField(n, T.DoubleType()) for n in ("bert_precision", "bert_recall", "bert_f1")]
+
+
+@F.pandas_udf(T.StructType(SCORE_FIELDS))
 def _match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for left, right in batches:
         rows = [best_matches(a, b) for a, b in zip(left, right)]
@@ -87,9 +91,4 @@ def embed_and_match(
             scores = pd.DataFrame(rows, columns=["bert_precision", "bert_recall", "bert_f1"], dtype="float64")
             yield pd.concat([batch[keys].reset_index(drop=True), scores], axis=1)
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType(
-        fields + [T.StructField(n, T.DoubleType()) for n in ("bert_precision", "bert_recall", "bert_f1")]
-    )
-    return source.mapInPandas(run, schema)
+    return source.mapInPandas(run, T.StructType(fields + SCORE_FIELDS))

@@ -7,6 +7,7 @@ from typing import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textforge.functions.lcs import lcs_length, union_hits
 from textforge.functions.ngrams import WORD_BREAK, f_measure, word_sequences, words
@@ -16,7 +17,7 @@ def _safe_ratio(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")
@@ -128,7 +129,7 @@ def rouge_lsum(
         lines = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), "\n"), lambda s: s != "")
         return F.transform(lines, lambda s: words(s, pattern))
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             yield pd.Series(
