@@ -23,6 +23,39 @@ def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
+def clipped_overlap(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two string arrays.
+
+    Both arrays are sorted together, tagged by side; one pass then adds up the smaller count of
+    each run of equal strings. The running state is a handful of numbers, so the cost is that of
+    the sort and nothing is exploded or shuffled.
+    """
+
+    def tagged(values: Column, side: int) -> Column:
+        return F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(side).alias("s")))
+
+    def state(value: Column, in_left: Column, in_right: Column, total: Column) -> Column:
+        return F.struct(
+            value.alias("v"), in_left.alias("l"), in_right.alias("r"), total.alias("t")
+        )
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x["v"] == acc["v"]
+        return state(
+            x["v"],
+            F.when(same, acc["l"]).otherwise(F.lit(0)) + (F.lit(1) - x["s"]),
+            F.when(same, acc["r"]).otherwise(F.lit(0)) + x["s"],
+            acc["t"] + F.when(same, F.lit(0)).otherwise(F.least(acc["l"], acc["r"])),
+        )
+
+    return F.aggregate(
+        F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))),
+        state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)),
+        step,
+        lambda acc: acc["t"] + F.least(acc["l"], acc["r"]),
+    )
+
+
 def rouge_scores(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,86 +66,48 @@ def rouge_scores(
     pattern: str = WORD_BREAK,
 ) -> DataFrame:
     """Precision, recall and F per sample for word runs of the given sizes, and optionally for the
-    longest common subsequence (``l``).
+    longest common subsequence.
 
-    One scan: both texts are exploded to (size, word run, side) counts together with one marker
-    row per sample, which carries the subsequence length and keeps samples without any overlap.
-    Counting combines inside the task first. If ``df`` is already partitioned by ``keys`` - as
-    after joining predictions to samples - the counting needs no further shuffle.
+    Both texts of a sample sit in one row, so this is a projection: no shuffle, no key that
+    could be hot. Only the subsequence length needs Python, in Arrow batches of word arrays.
     """
-    keys = list(keys)
     split = df.select(
         *keys,
         words(F.col(prediction), pattern).alias("_p"),
         words(F.col(reference), pattern).alias("_r"),
     )
-    lcs = _lcs("_p", "_r") if subsequence else F.lit(None).cast("int")
-    split = split.withColumn("_lcs", lcs)
-
-    def tagged(column: str, n: int, in_prediction: int) -> Column:
-        def one(gram: Column) -> Column:
-            return F.struct(
-                F.lit(n).alias("n"),
-                gram.alias("gram"),
-                F.lit(in_prediction).alias("p"),
-                F.lit(1 - in_prediction).alias("r"),
-                F.lit(None).cast("int").alias("lcs"),
-                F.lit(0).alias("np"),
-                F.lit(0).alias("nr"),
-            )
-
-        return F.transform(word_sequences(F.col(column), n), one)
-
-    marker = F.array(
-        F.struct(
-            F.lit(0).alias("n"),
-            F.lit("").alias("gram"),
-            F.lit(0).alias("p"),
-            F.lit(0).alias("r"),
-            F.col("_lcs").alias("lcs"),
-            F.size("_p").alias("np"),
-            F.size("_r").alias("nr"),
-        )
-    )
-    tags = [tagged(c, n, side) for n in sizes for c, side in (("_p", 1), ("_r", 0))]
-    rows = split.select(*keys, F.explode(F.concat(marker, *tags)).alias("g"))
-    counts = rows.groupBy(*keys, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.sum("g.p").alias("p"),
-        F.sum("g.r").alias("r"),
-        F.max("g.lcs").alias("lcs"),
-        F.max("g.np").alias("np"),
-        F.max("g.nr").alias("nr"),
+    counted = split.select(
+        *keys,
+        F.size("_p").alias("n_pred"),
+        F.size("_r").alias("n_ref"),
+        *[
+            clipped_overlap(word_sequences(F.col("_p"), n), word_sequences(F.col("_r"), n)).alias(f"_o{n}")
+            for n in sizes
+        ],
+        *([_lcs("_p", "_r").alias("_lcs")] if subsequence else []),
     )
 
-    def total(n: int, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
+    def runs(total: str, n: int) -> Column:
+        return F.greatest(F.col(total) - (n - 1), F.lit(0))
+
+    scored = []
+
+    def add(name: str, hits: Column, n: int) -> None:
+        precision = _safe_ratio(hits, runs("n_pred", n))
+        recall = _safe_ratio(hits, runs("n_ref", n))
+        scored.extend(
+            [
+                precision.alias(f"{name}_p"),
+                recall.alias(f"{name}_r"),
+                f_measure(precision, recall).alias(name),
+            ]
+        )
 
-    measures = [F.max("np").alias("n_pred"), F.max("nr").alias("n_ref"), F.max("lcs").alias("_lcs")]
-    for n in sizes:
-        measures += [
-            total(n, F.least("p", "r")).alias(f"_o{n}"),
-            total(n, F.col("p")).alias(f"_p{n}"),
-            total(n, F.col("r")).alias(f"_r{n}"),
-        ]
-    sums = counts.groupBy(*keys).agg(*measures)
-
-    named = {}
     for n in sizes:
-        overlap = F.col(f"_o{n}")
-        named[f"rouge{n}"] = (_safe_ratio(overlap, F.col(f"_p{n}")), _safe_ratio(overlap, F.col(f"_r{n}")))
+        add(f"rouge{n}", F.col(f"_o{n}"), n)
     if subsequence:
-        named["rougeL"] = (
-            _safe_ratio(F.col("_lcs"), F.col("n_pred")),
-            _safe_ratio(F.col("_lcs"), F.col("n_ref")),
-        )
-    scored = []
-    for name, (precision, recall) in named.items():
-        scored += [
-            precision.alias(f"{name}_p"),
-            recall.alias(f"{name}_r"),
-            f_measure(precision, recall).alias(name),
-        ]
-    return sums.select(*keys, "n_pred", "n_ref", *scored)
+        add("rougeL", F.col("_lcs"), 1)
+    return counted.select(*keys, "n_pred", "n_ref", *scored)
 
 
 def rouge_lsum(

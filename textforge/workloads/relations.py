@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textforge.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every user turn with the assistant turn right after it.
 
     An equi-join on (conversation, turn), unique on both sides, rather than a window per
     conversation: a conversation with very many turns is spread over all tasks.
     """
-    turns = table(spark, folder, "conversations")
+    turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     asked = turns.where("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("request")
     )
@@ -33,7 +39,7 @@ PAIRS = """pairs AS (
 def raw_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in the shape of raw samples; some sources lack a title, a list or a marker."""
     source, lang, text = F.col("source"), F.col("lang"), F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("sample_id"),
         F.when(source.isin("src0", "src1"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
         F.when(source == "src3", F.lit(None))

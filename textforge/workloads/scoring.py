@@ -11,6 +11,7 @@ from textforge.operators.rouge import corpus_scores, rouge_lsum, rouge_scores
 from textforge.operators.sampling import first_n_per_group
 from textforge.workloads.relations import (
     PREDICTIONS,
+    documents,
     lcs_sql,
     model_predictions,
     pairs,
@@ -62,7 +63,7 @@ def rouge_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def rouge_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents against the document stored after them, for overlap on long texts."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference"))
     joined = docs.select("doc_id", F.col("text").alias("prediction")).join(following, "doc_id")
     scores = rouge_scores(joined, ["doc_id"], subsequence=False)

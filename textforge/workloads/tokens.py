@@ -33,9 +33,9 @@ from textforge.workloads.relations import (
     TRAINING_TEXT,
     USER,
     block,
+    documents,
     raw_samples,
     sample_pairs,
-    table,
 )
 
 
@@ -155,7 +155,7 @@ def _padded(batches: DataFrame) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return vocabulary_sizes(table(spark, folder, "documents"), "lang", "text")
+    return vocabulary_sizes(documents(spark, folder), "lang", "text")
 
 
 def vocab_by_group(spark: SparkSession, folder: str) -> DataFrame:
