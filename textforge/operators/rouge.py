@@ -26,34 +26,25 @@ def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def clipped_overlap(left: Column, right: Column) -> Column:
     """Size of the multiset intersection of two string arrays.
 
-    Both arrays are sorted together, tagged by side; one pass then adds up the smaller count of
-    each run of equal strings. The running state is a handful of numbers, so the cost is that of
-    the sort and nothing is exploded or shuffled.
+    Both arrays are sorted together, copies from the left (side -1) before equal ones from the
+    right (side 1). One pass keeps a balance of left copies not yet matched; each right copy that
+    meets a positive balance is a hit. The state is three values, so the cost is that of the
+    sort, and nothing is exploded or shuffled.
     """
 
     def tagged(values: Column, side: int) -> Column:
         return F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(side).alias("s")))
 
-    def state(value: Column, in_left: Column, in_right: Column, total: Column) -> Column:
-        return F.struct(
-            value.alias("v"), in_left.alias("l"), in_right.alias("r"), total.alias("t")
-        )
+    def state(value: Column, balance: Column, hits: Column) -> Column:
+        return F.struct(value.alias("v"), balance.alias("b"), hits.alias("h"))
 
     def step(acc: Column, x: Column) -> Column:
-        same = x["v"] == acc["v"]
-        return state(
-            x["v"],
-            F.when(same, acc["l"]).otherwise(F.lit(0)) + (F.lit(1) - x["s"]),
-            F.when(same, acc["r"]).otherwise(F.lit(0)) + x["s"],
-            acc["t"] + F.when(same, F.lit(0)).otherwise(F.least(acc["l"], acc["r"])),
-        )
+        matched = F.when((x["s"] > 0) & (acc["b"] > 0), acc["h"] + 1).otherwise(acc["h"])
+        again = state(x["v"], acc["b"] - x["s"], matched)
+        return F.when(x["v"] == acc["v"], again).otherwise(state(x["v"], -x["s"], acc["h"]))
 
-    return F.aggregate(
-        F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))),
-        state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)),
-        step,
-        lambda acc: acc["t"] + F.least(acc["l"], acc["r"]),
-    )
+    both = F.sort_array(F.concat(tagged(left, -1), tagged(right, 1)))
+    return F.aggregate(both, state(F.lit(""), F.lit(0), F.lit(0)), step, lambda acc: acc["h"])
 
 
 def rouge_scores(

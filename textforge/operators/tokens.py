@@ -6,9 +6,11 @@ one made of array expressions, and any serialised ``tokenizers`` model run in Ar
 
 from __future__ import annotations
 
+import os
 from typing import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,23 +139,42 @@ def tokenize_with_model(
     source = df.select(*keep, F.col(text).alias("_text"), F.length(prompt).alias("_plen"))
     schema = T.StructType([source.schema[c] for c in keep] + TOKENISED_FIELDS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _load_tokenizer(shared.value)
         for batch in batches:
-            encoded = model.encode_batch(batch["_text"].tolist(), add_special_tokens=False)
-            ids, labels, masks = [], [], []
-            for item, boundary in zip(encoded, batch["_plen"]):
-                row = item.ids[:max_length]
-                begins = (i for i, (begin, _) in enumerate(item.offsets[: len(row)]) if begin >= boundary)
-                start = next(begins, len(row))
-                ids.append(row)
-                labels.append([IGNORED] * start + row[start:])
-                masks.append([1] * len(row))
-            yield batch[keep].assign(input_ids=ids, attention_mask=masks, labels=labels)
+            texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
+            bounds = batch.column("_plen").fill_null(0).to_pylist()
+            encoded = model.encode_batch(texts, add_special_tokens=False)
+            rows = [np.asarray(item.ids[:max_length], dtype=np.int32) for item in encoded]
+            ends = np.cumsum([0] + [len(row) for row in rows]).astype(np.int32)
+            ids = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
+            labels = ids.copy()
+            for item, text, bound, begin, end in zip(encoded, texts, bounds, ends, ends[1:]):
+                labels[begin : min(begin + _first_from(item, text, bound), end)] = IGNORED
+            lists = [pa.ListArray.from_arrays(ends, values) for values in (ids, np.ones_like(ids), labels)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + lists, names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _load_tokenizer(serialised: str):
+    """Build the tokeniser in a task. Spark runs one task per core, so the library must not
+    start threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    return source.mapInPandas(run, schema)
+    return Tokenizer.from_str(serialised)
+
+
+def _first_from(encoding, text: str, bound: int) -> int:
+    """Index of the first token that begins at character ``bound`` or later."""
+    for position in range(bound, len(text)):
+        index = encoding.char_to_token(position)
+        if index is not None:
+            while index < len(encoding) and encoding.token_to_chars(index)[0] < bound:
+                index += 1
+            return index
+    return len(encoding)
 
 
 def decode_with_model(
@@ -163,15 +184,13 @@ def decode_with_model(
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _load_tokenizer(shared.value)
         for batch in batches:
-            rows = [[int(i) for i in row] for row in batch[ids]]
-            yield batch.assign(**{name: model.decode_batch(rows, skip_special_tokens=False)})
+            texts = model.decode_batch(batch.column(ids).to_pylist(), skip_special_tokens=False)
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(texts, pa.string())], names=schema.names)
 
-    decoded = df.mapInPandas(run, schema)
+    decoded = df.mapInArrow(run, schema)
     return decoded.withColumn(name, preview(F.col(name), length)) if length else decoded
 
 
