@@ -10,7 +10,7 @@ from textforge.operators.sampling import (
     find_cut,
     first_n,
     first_n_per_group,
-    has_split,
+    present_splits,
     select_subset,
     split_report,
     split_validation,
@@ -91,7 +91,8 @@ def test_present_validation_split_is_kept(spark):
     assert split_validation(df, "id") is df
     renamed = split_validation(df.replace("validation", "val", "split"), "id")
     assert sorted(r["split"] for r in renamed.collect()) == ["train", "validation"]
-    assert has_split(df, ["validation"]) and not has_split(df, ["test"])
+    assert present_splits(df, ["validation", "test"]) == {"validation"}
+    assert present_splits(df.where("false"), ["validation"]) == set()
 
 
 def test_always_splits_anew(spark):

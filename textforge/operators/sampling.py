@@ -93,8 +93,10 @@ def select_subset(df: DataFrame, n: SampleCount, key: str, seed: int = 42) -> Da
     return df.where(cut.keeps(hashed, F.col(key)))
 
 
-def has_split(df: DataFrame, names: Sequence[str], split: str = "split") -> bool:
-    return not df.where(F.col(split).isin(*names)).limit(1).isEmpty()
+def present_splits(df: DataFrame, names: Sequence[str], split: str = "split") -> set[str]:
+    """Which of these splits have rows, in one pass that returns one row."""
+    flags = df.agg(*[F.max((F.col(split) == n).cast("int")).alias(n) for n in names]).first()
+    return {n for n in names if flags[n]}
 
 
 def split_validation(
@@ -111,14 +113,15 @@ def split_validation(
     With ``always`` the train rows are split even if a validation split exists already,
     which then gives way to the new one.
     """
-    if has_split(df, ["validation"], split) and not always:
-        return df
-    if has_split(df, ["val"], split) and not always:
-        return df.withColumn(
-            split, F.when(F.col(split) == "val", F.lit("validation")).otherwise(F.col(split))
-        )
     if always:
         df = df.where(~F.col(split).isin("validation", "val"))
+    else:
+        present = present_splits(df, ["validation", "val"], split)
+        if "validation" in present:
+            return df
+        if "val" in present:
+            renamed = F.when(F.col(split) == "val", F.lit("validation")).otherwise(F.col(split))
+            return df.withColumn(split, renamed)
     is_train = F.col(split) == "train"
     cut = find_cut(df.where(is_train), key, seed, fraction=val_size)
     chosen = is_train & cut.keeps(seeded_hash(F.col(key), seed), F.col(key))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textforge.operators.batching import pad_batches
 from textforge.operators.chat import apply_field_map, with_training_text
-from textforge.operators.sampling import has_split, select_subset, split_validation
+from textforge.operators.sampling import present_splits, select_subset, split_validation
 from textforge.operators.tokens import tokenize_native, tokenize_with_model
 from textforge.operators.validity import filter_audit, filter_valid
 from textforge.options import PrepOptions
@@ -35,7 +35,7 @@ def prepare_splits(samples: DataFrame, options: PrepOptions, key: str = "sample_
         return select_subset(split.where(F.col("split") == name), count, key, options.seed)
 
     test = None
-    if has_split(kept, ["test"]):
+    if present_splits(kept, ["test"]):
         test = part("test", options.test)
     elif options.require_test:
         raise KeyError("the dataset has no test split")

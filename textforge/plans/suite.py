@@ -15,7 +15,7 @@ from textforge.operators.output_checks import output_report
 from textforge.operators.sampling import first_n_per_group
 from textforge.options import SuiteOptions
 from textforge.plans.evaluate import Evaluation
-from textforge.sources.records import append_phase
+from textforge.sources.records import append_phase, read_phases
 
 
 def benchmark_results(
@@ -106,8 +106,13 @@ def run_suite(
         nonlocal done
         if part is not None:
             done = part if done is None else done.unionByName(part)
-        if done is not None:
-            append_phase(done.sparkSession, path, run_id, phase, {**info, **extra}, done)
+        if done is None:
+            return
+        spark = done.sparkSession
+        append_phase(spark, path, run_id, phase, {**info, **extra}, done)
+        # Later phases repeat the stored numbers instead of computing them again.
+        stored = read_phases(spark, path, [phase]).where(F.col("run_id") == run_id)
+        done = stored.select("section", "metric", "value")
 
     if options.enable_benchmarks and choices is not None:
         store("benchmarks", benchmark_results(choices, options, completion_choices))

@@ -17,6 +17,7 @@ from textforge.workloads.relations import (
     pairs,
     rouge_sql,
     table,
+    words_sql,
 )
 
 _KEYS = ["conv_id", "turn"]
@@ -176,6 +177,40 @@ def _score_columns(name: str) -> str:
     return f"conv_id, turn, round(p, 6) AS {name}_p, round(r, 6) AS {name}_r, round(f, 6) AS {name}"
 
 
+# Every cell of the length table holds the reference positions the walk back from it collects, so
+# the last cell is the subsequence; a reference position counts once however often it is covered.
+_LINE_UNION = f"""ref_lines AS (
+  SELECT conv_id, turn, generate_subscripts(l, 1) AS line, unnest(l) AS t
+  FROM (SELECT conv_id, turn, list_filter(string_split(reference, chr(10)), lambda x: x <> '') AS l FROM texts)),
+pred_lines AS (
+  SELECT conv_id, turn, unnest(list_filter(string_split(prediction, chr(10)), lambda x: x <> '')) AS t FROM texts),
+ref_words AS (SELECT conv_id, turn, line, {words_sql('t')} AS a FROM ref_lines),
+pred_words AS (SELECT conv_id, turn, {words_sql('t')} AS b FROM pred_lines),
+walks AS (
+  SELECT conv_id, turn, line, a, list_reduce(
+    range(1, len(a) + 1),
+    lambda acc, i: list_reduce(
+      range(1, len(b) + 1),
+      lambda cells, j: list_append(cells, CASE WHEN b[j] = a[i] THEN list_append(acc[j], i)
+        WHEN len(cells[j]) > len(acc[j + 1]) THEN cells[j] ELSE acc[j + 1] END),
+      [CAST([] AS BIGINT[])]),
+    list_transform(range(0, len(b) + 1), lambda z: CAST([] AS BIGINT[])))[-1] AS found
+  FROM ref_words JOIN pred_words USING (conv_id, turn)),
+covered AS (
+  SELECT conv_id, turn, token, count(*) AS n FROM (
+    SELECT DISTINCT conv_id, turn, line, i, a[i] AS token
+    FROM (SELECT conv_id, turn, line, a, unnest(found) AS i FROM walks)) GROUP BY ALL),
+predicted AS (
+  SELECT conv_id, turn, token, count(*) AS c FROM (SELECT conv_id, turn, unnest(b) AS token FROM pred_words) GROUP BY ALL),
+hits AS (
+  SELECT conv_id, turn, sum(least(n, c)) AS h FROM covered JOIN predicted USING (conv_id, turn, token) GROUP BY ALL),
+line_sizes AS (
+  SELECT conv_id, turn, len({words_sql('prediction')}) AS n, len({words_sql('reference')}) AS m FROM texts),
+s_m AS (
+  SELECT conv_id, turn, coalesce(h, 0) / greatest(n, 1)::DOUBLE AS p, coalesce(h, 0) / greatest(m, 1)::DOUBLE AS r
+  FROM line_sizes LEFT JOIN hits USING (conv_id, turn)),
+s AS (SELECT conv_id, turn, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END AS f FROM s_m)"""
+
 _MODEL_KEYS = "conv_id, turn, model"
 CORPUS_CTES = f"""{PREDICTIONS}, {rouge_sql('predictions', _MODEL_KEYS, 1, 'r1')},
   {rouge_sql('predictions', _MODEL_KEYS, 2, 'r2')}, {lcs_sql('predictions', _MODEL_KEYS, 'rl')},
@@ -220,6 +255,7 @@ ORACLES = {
     "rouge1": f"WITH {_TEXTS}, {rouge_sql('texts', 'conv_id, turn', 1, 's')} SELECT {_score_columns('rouge1')} FROM s",
     "rouge2": f"WITH {_TEXTS}, {rouge_sql('texts', 'conv_id, turn', 2, 's')} SELECT {_score_columns('rouge2')} FROM s",
     "rouge_l": f"WITH {_TEXTS}, {lcs_sql('texts', 'conv_id, turn', 's')} SELECT {_score_columns('rougeL')} FROM s",
+    "rouge_lsum": f"""WITH {_TEXTS}, {_LINE_UNION} SELECT {_score_columns('rougeLsum')} FROM s""",
     "rouge_corpus": f"""WITH {CORPUS_CTES} SELECT model, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
       round(rougeL, 6) AS "rougeL", num_samples FROM per_model""",
     "rouge_documents": f"""WITH {_DOC_TEXTS}, {rouge_sql('texts', 'doc_id', 1, 'r1')}, {rouge_sql('texts', 'doc_id', 2, 'r2')}
