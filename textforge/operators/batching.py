@@ -23,7 +23,7 @@ def assign_batches(
     incomplete batch at the end goes, as a training loop over equal batches wants it.
     """
     numbered = with_ordinal(df.select(key, "n_tokens"), key, seed)
-    placed = numbered.withColumn("batch_id", F.floor(F.col("ordinal") / batch_size))
+    placed = numbered.withColumn("batch_id", F.expr(f"ordinal div {int(batch_size)}"))
     # A batch holds batch_size rows at most, so this window cannot grow with the table.
     batch = W.partitionBy("batch_id")
     sized = placed.withColumn("batch_length", F.max("n_tokens").over(batch))

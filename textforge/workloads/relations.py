@@ -22,12 +22,15 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     An equi-join on (conversation, turn), unique on both sides, rather than a window per
     conversation: a conversation with very many turns is spread over all tasks.
     """
-    turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
+    turns = table(spark, folder, "conversations")
     asked = turns.where("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("request")
     )
     answered = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reply"))
-    return asked.join(answered, ["conv_id", "turn"])
+    # Where the scan has too few splits, both sides are spread by the join key itself, which
+    # then is the join's own partitioning.
+    keys = ["conv_id", "turn"]
+    return spread(asked, *keys).join(spread(answered, *keys), keys)
 
 
 PAIRS = """pairs AS (

@@ -74,32 +74,37 @@ def rouge_documents(spark: SparkSession, folder: str) -> DataFrame:
 WIDTH = 10  # token embeddings per pseudo-sentence
 
 
-def _sentences(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten consecutive vectors form a sentence.
+def _sentence_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten consecutive vectors form a sentence, which is compared with the next one.
 
-    Each position holds one vector, so a sentence never exceeds its ten places, whatever the
-    table looks like.
+    Every vector goes to its own sentence as candidate and to the one before as reference, so one
+    shuffle builds both matrices. Each place holds one vector: a sentence never exceeds its ten
+    places, whatever the table looks like.
     """
-    vectors = table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / WIDTH).alias("sentence"), (F.col("vec_id") % WIDTH).alias("place"), "embedding"
+    sentence = F.expr(f"vec_id div {WIDTH}")
+    roles = F.array(
+        F.struct(sentence.alias("sentence"), F.lit("candidate").alias("role")),
+        F.struct((sentence - 1).alias("sentence"), F.lit("reference").alias("role")),
     )
-    places = [F.max(F.when(F.col("place") == i, F.col("embedding"))) for i in range(WIDTH)]
-    return vectors.groupBy("sentence").agg(F.array_compact(F.array(*places)).alias("matrix"))
+    placed = table(spark, folder, "embeddings").select(
+        (F.col("vec_id") % WIDTH).alias("place"), "embedding", F.inline(roles)
+    )
+
+    def matrix(role: str):
+        here = [(F.col("role") == role) & (F.col("place") == i) for i in range(WIDTH)]
+        return F.array_compact(F.array(*[F.max(F.when(h, F.col("embedding"))) for h in here])).alias(role)
+
+    built = placed.groupBy("sentence").agg(matrix("candidate"), matrix("reference"))
+    return built.where((F.size("candidate") > 0) & (F.size("reference") > 0))
 
 
 def greedy_match_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Every sentence against the next one."""
-    sentences = _sentences(spark, folder)
-    following = sentences.select((F.col("sentence") - 1).alias("sentence"), F.col("matrix").alias("reference"))
-    both = sentences.withColumnRenamed("matrix", "candidate").join(following, "sentence")
-    return _rounded(greedy_match(both, ["sentence"]), "bert_precision", "bert_recall", "bert_f1")
+    scores = greedy_match(_sentence_pairs(spark, folder), ["sentence"])
+    return _rounded(scores, "bert_precision", "bert_recall", "bert_f1")
 
 
 def greedy_match_means(spark: SparkSession, folder: str) -> DataFrame:
-    sentences = _sentences(spark, folder)
-    following = sentences.select((F.col("sentence") - 1).alias("sentence"), F.col("matrix").alias("reference"))
-    both = sentences.withColumnRenamed("matrix", "candidate").join(following, "sentence")
-    means = match_corpus(greedy_match(both, ["sentence"]))
+    means = match_corpus(greedy_match(_sentence_pairs(spark, folder), ["sentence"]))
     return _rounded(means, "bert_precision", "bert_recall", "bert_f1")
 
 

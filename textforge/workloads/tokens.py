@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textforge.operators.batching import pad_batches
 from textforge.operators.chat import messages_per_model, reference_column, with_registry, with_training_text
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
@@ -140,7 +139,7 @@ def padded_batches_full_only(spark: SparkSession, folder: str) -> DataFrame:
         ),
         max_length=128,
     )
-    return _padded(pad_batches(tokens, "sample_id", batch_size=6, seed=1, drop_last=True))
+    return _padded(training_batches(tokens, batch_size=6, seed=1, drop_last=True))
 
 
 def _padded(batches: DataFrame) -> DataFrame:
