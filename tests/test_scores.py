@@ -97,9 +97,17 @@ def test_random_texts_against_counting(spark):
         for i in range(120)
     ]
     df = spark.createDataFrame(rows, "id int, prediction string, reference string")
-    for r in rouge_scores(df, ["id"]).collect():
+    scores = {r.id: r for r in rouge_scores(df, ["id"]).collect()}
+    for r in scores.values():
         assert (r.rouge1, r.rouge2, r.rougeL) == pytest.approx(brute(*rows[r.id][1:]))
         assert r.rougeL <= r.rouge1 + 1e-12
+    for native in (True, False):
+        for r in rouge_scores(df, ["id"], sizes=(1, 2, 3), subsequence=False, native=native).collect():
+            assert (r.n_pred, r.n_ref, r.rouge1, r.rouge2) == (
+                scores[r.id].n_pred, scores[r.id].n_ref, scores[r.id].rouge1, scores[r.id].rouge2
+            )
+    with pytest.raises(ValueError):
+        rouge_scores(df, ["id"], native=True)
 
 
 def test_symmetry_identity_and_larger_runs(spark):

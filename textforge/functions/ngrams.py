@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 WORD_BREAK = "[^a-z0-9]+"
 
 
+def spaced_words(text: Column, pattern: str = WORD_BREAK) -> Column:
+    """Lower-cased words with blanks between them; a null text has none."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), pattern, " ")
+
+
 def words(text: Column, pattern: str = WORD_BREAK) -> Column:
-    """Lower-cased words; a null text has none."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), pattern, " ")
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+    """Lower-cased words as an array."""
+    return F.filter(F.split(spaced_words(text, pattern), " "), lambda w: w != "")
 
 
 def word_sequences(tokens: Column, n: int) -> Column:

@@ -33,7 +33,9 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _one(spark: SparkSession, folder: str, name: str, sizes, subsequence: bool = False) -> DataFrame:
-    scores = rouge_scores(_pair_texts(spark, folder), _KEYS, sizes=sizes, subsequence=subsequence)
+    scores = rouge_scores(
+        _pair_texts(spark, folder), _KEYS, sizes=sizes, subsequence=subsequence, native=not subsequence
+    )
     wanted = [f"{name}_p", f"{name}_r", name]
     return _rounded(scores.select(*_KEYS, *wanted), *wanted)
 
