@@ -4,7 +4,14 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from textforge.operators.inference import align, batch_predict, endpoint_predict, failure_report, predict_once
+from textforge.operators.inference import (
+    align,
+    batch_predict,
+    endpoint_predict,
+    failure_report,
+    predict_in_waves,
+    predict_once,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,3 +93,19 @@ def test_empty_input(asked):
     none = asked.where("id < 0")
     assert batch_predict(none, ["id"], "prompt", make_sizes).count() == 0
     assert endpoint_predict(none, ["id"], "prompt", make_client, 2, 0).count() == 0
+
+
+def test_waves_resume(asked, tmp_path):
+    path, seen = str(tmp_path / "waves"), []
+
+    def predict(rows):
+        seen.append(rows.count())
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return batch_predict(rows, ["id"], "prompt", make_sizes)
+
+    with pytest.raises(RuntimeError):
+        predict_in_waves(asked, ["id"], predict, path, waves=4)
+    out = predict_in_waves(asked, ["id"], predict, path, waves=4)
+    assert sorted(r.id for r in out.collect()) == list(range(10))
+    assert len(seen) == 5 and out.columns == ["id", "prediction", "error"]

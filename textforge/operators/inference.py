@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.session import materialise
+from textforge.sources.datasets import path_exists
 
 PredictBatch = Callable[[list[Any]], Sequence[str]]
 CallEndpoint = Callable[[Any], str]
@@ -90,6 +91,28 @@ def predict_once(predictions: DataFrame, name: str = "predictions") -> DataFrame
     return materialise(predictions, name)
 
 
+def predict_in_waves(
+    df: DataFrame,
+    keys: Sequence[str],
+    predict: Callable[[DataFrame], DataFrame],
+    path: str,
+    waves: int = 16,
+) -> DataFrame:
+    """Predict the rows in ``waves`` parts by key hash, storing each part as soon as it is done.
+
+    For long runs of costly calls: losing executors or the whole job costs one part at most, as a
+    later call with the same ``path`` skips the parts that are complete. Pass everything the
+    model sees in ``df``, from a stored table, since each wave reads it.
+    """
+    spark = df.sparkSession
+    for wave in range(waves):
+        part = f"{path}/wave={wave}"
+        if not path_exists(spark, part):
+            rows = df.where(F.pmod(F.xxhash64(*keys), F.lit(waves)) == wave)
+            predict(rows).write.mode("overwrite").parquet(part)
+    return spark.read.parquet(path).drop("wave")
+
+
 def align(samples: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach predictions to their samples by key."""
     return samples.join(predictions, list(keys))

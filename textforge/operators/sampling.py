@@ -20,7 +20,7 @@ from textforge.functions.hashing import HEX_DIGITS, bucket_of, seeded_hash
 from textforge.options import SampleCount
 
 PREFIX_DIGITS = 4  # at most 65,536 counts reach the driver per narrowing step
-TOP_K_LIMIT = 10_000  # up to here a distributed top-k is one job and one small task
+TOP_K_LIMIT = 1_000  # up to here a distributed top-k of whole rows is one job and one small task
 FINE_BUCKET = 10_000  # a bucket of this size is ordered directly
 
 

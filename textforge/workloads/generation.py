@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textforge.functions.templates import ANSWER_TEMPLATE, MESSAGE_TYPE, message
-from textforge.operators.inference import align, batch_predict, endpoint_predict, failure_report, predict_once
+from textforge.operators.inference import (
+    align,
+    batch_predict,
+    endpoint_predict,
+    failure_report,
+    predict_in_waves,
+    predict_once,
+)
+from textforge.operators.matching import embed_and_match
 from textforge.operators.output_checks import output_report
 from textforge.operators.chat import reference_column
+from textforge.options import SuiteOptions
 from textforge.plans.evaluate import evaluate_model
+from textforge.plans.suite import run_suite
 from textforge.session import fresh_path
-from textforge.sources.records import dialogue_records, prediction_records, write_json_lines
+from textforge.sources.records import dialogue_records, prediction_records, read_phases, write_json_lines
 from textforge.workloads.relations import (
     ANSWER,
+    MERGED,
     PAIR_SAMPLES,
     PAIRS,
     PREDICTIONS,
@@ -24,6 +35,7 @@ from textforge.workloads.relations import (
     raw_samples,
     rouge_sql,
     sample_pairs,
+    table,
 )
 
 
@@ -57,6 +69,27 @@ def make_prompt_tail():
     return predict
 
 
+def make_literal_client():
+    """A stand-in endpoint that repeats the last message and refuses some lengths."""
+
+    def call(messages):
+        text = messages[-1]["content"]
+        if len(text) % 5 == 0:
+            raise RuntimeError("refused")
+        return text
+
+    return call
+
+
+def make_word_embedder():
+    """A stand-in embedder: a word is its length, its number of e's and a one."""
+
+    def embed(texts):
+        return [[[float(len(w)), float(w.count("e")), 1.0] for w in t.split(" ")] for t in texts]
+
+    return embed
+
+
 def batched(spark: SparkSession, folder: str) -> DataFrame:
     asked = pairs(spark, folder).select("conv_id", "turn", "request")
     return batch_predict(asked, ["conv_id", "turn"], "request", make_leading_words).drop("error")
@@ -106,6 +139,60 @@ def evaluation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def endpoint_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through an endpoint whose failures count as empty answers."""
+    done = evaluate_model(
+        sample_pairs(spark, folder), "google/gemma-2-9b-it", make_client=make_literal_client, max_workers=4, pause=0
+    )
+    failed = done.predictions.agg(F.count("error").alias("n_failed"))
+    scores = done.scores.select(*[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2")], "num_samples")
+    return scores.select(F.lit(1).alias("k"), "*").join(failed.select(F.lit(1).alias("k"), "*"), "k").drop("k")
+
+
+def waves(spark: SparkSession, folder: str) -> DataFrame:
+    asked = pairs(spark, folder).select("conv_id", "turn", "request")
+    keys = ["conv_id", "turn"]
+    made = predict_in_waves(
+        asked, keys, lambda rows: batch_predict(rows, keys, "request", make_leading_words), fresh_path(spark, "waves"), 3
+    )
+    return made.drop("error")
+
+
+def match_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction records with embedding scores of the reply against the request."""
+    samples = sample_pairs(spark, folder)
+    texts = samples.select("sample_id", F.col("directions").alias("prediction"), F.col("NER").alias("reference"))
+    scored = predict_once(embed_and_match(texts, ["sample_id"], make_word_embedder), "match-scores")
+    rows = align(samples.withColumn("prediction", F.col("directions")), scored, ["sample_id"])
+    records = prediction_records(rows, with_match_scores=True)
+    return records.select(
+        "title", "prediction", *[F.round(c, 6).alias(c) for c in ("bert_precision", "bert_recall", "bert_f1")]
+    )
+
+
+def suite(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark phase over line items as choices: three subjects, and a normalised task."""
+    items = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("subject"), (F.col("l_orderkey") % 4).cast("string")).alias("subject"),
+        F.col("l_orderkey").alias("item_id"),
+        F.col("l_linenumber").alias("choice_index"),
+        F.col("l_partkey").cast("string").alias("choice_text"),
+        (-F.col("l_extendedprice")).alias("loglik"),
+        (F.col("l_orderkey") % 7 + 1).cast("int").alias("gold_index"),
+    )
+    options = SuiteOptions(
+        enable_benchmarks=True,
+        per_subject=33,
+        subjects=("subject0", "subject1", "subject2"),
+        completion_items=100,
+    )
+    path = fresh_path(spark, "suite")
+    info = {"model_path": "org/Qwen", "model_type": "full"}
+    run_suite(options, path, info, items, items.where("subject = 'subject3'"), run_id="run-1")
+    stored = read_phases(spark, path)
+    return stored.select("phase", "section", "metric", F.round("value", 6).alias("value"))
+
+
 def output_format(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of documents checked as if they were outputs; some lack their list or title."""
     samples = raw_samples(spark, folder)
@@ -133,6 +220,10 @@ QUERIES = {
     "prediction_records": records,
     "dialogue_records": dialogue,
     "evaluate_model": evaluation,
+    "evaluate_endpoint": endpoint_evaluation,
+    "predict_in_waves": waves,
+    "match_records": match_records,
+    "suite_phases": suite,
     "output_format_report": output_format,
     "output_lengths_by_model": output_format_by_model,
 }
@@ -145,7 +236,53 @@ _ENDPOINT = f"""{PAIRS}, made AS (
 _EVALUATED = f"{PAIR_SAMPLES}, texts AS (SELECT sample_id, NER AS prediction, {ANSWER} AS reference FROM samples)"
 _WORDS = "len(list_filter(string_split(regexp_replace(lower(prediction), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 
+_CALLED = f"""{PAIR_SAMPLES}, asked AS (SELECT *, {MERGED} AS content FROM samples),
+  texts AS (SELECT sample_id, CASE WHEN length(content) % 5 = 0 THEN '' ELSE trim(content, chr(10) || ' ') END AS prediction,
+    {ANSWER} AS reference, length(content) % 5 = 0 AS failed FROM asked)"""
+_WORD_MATCH = f"""{PAIRS}, vectors AS (
+  SELECT conv_id, turn, side, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM (
+    SELECT conv_id, turn, 'p' AS side, string_split(reply, ' ') AS w FROM pairs
+    UNION ALL SELECT conv_id, turn, 'r', string_split(request, ' ') FROM pairs)),
+placed AS (
+  SELECT *, [length(word), length(word) - length(replace(word, 'e', '')), 1]::DOUBLE[] AS v FROM vectors),
+close_by AS (
+  SELECT p.conv_id, p.turn, p.place AS i, r.place AS j, list_cosine_similarity(p.v, r.v) AS c
+  FROM placed p JOIN placed r ON p.conv_id = r.conv_id AND p.turn = r.turn AND p.side = 'p' AND r.side = 'r'),
+sides AS (
+  SELECT conv_id, turn, p, r FROM
+    (SELECT conv_id, turn, avg(c) AS p FROM (SELECT conv_id, turn, i, max(c) AS c FROM close_by GROUP BY ALL) GROUP BY ALL)
+    JOIN (SELECT conv_id, turn, avg(c) AS r FROM (SELECT conv_id, turn, j, max(c) AS c FROM close_by GROUP BY ALL) GROUP BY ALL)
+    USING (conv_id, turn))"""
+
+
+def _subjects_sql(name: str, score: str, limit: int) -> str:
+    """CTE ``name``: the best choice of the first items of every subject."""
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT 'subject' || l_orderkey % 4 AS subject, l_orderkey AS item_id, l_linenumber = l_orderkey % 7 + 1 AS hit
+    FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {score} DESC, l_linenumber) = 1)
+  QUALIFY row_number() OVER (PARTITION BY subject ORDER BY item_id) <= {limit})"""
+
+
+_SUITE = f"""{_subjects_sql('plain', '-l_extendedprice', 33)},
+{_subjects_sql('normalised', '-l_extendedprice / length(l_partkey::VARCHAR)::DOUBLE', 100)},
+results AS (
+  SELECT 'mmlu' AS section, 'accuracy' AS metric, avg(a) AS value FROM (
+    SELECT avg(hit::INTEGER) AS a FROM plain WHERE subject <> 'subject3' GROUP BY subject)
+  UNION ALL SELECT 'mmlu', 'samples', 99
+  UNION ALL SELECT 'hellaswag', 'accuracy_norm', avg(hit::INTEGER) FROM normalised WHERE subject = 'subject3'
+  UNION ALL SELECT 'hellaswag', 'samples', 100)"""
+
 ORACLES = {
+    "evaluate_endpoint": f"""WITH {_CALLED}, {rouge_sql('texts', 'sample_id', 1, 'r1')}, {rouge_sql('texts', 'sample_id', 2, 'r2')}
+      SELECT round(avg(r1.f), 6) AS rouge1, round(avg(r2.f), 6) AS rouge2, count(*) AS num_samples,
+        (SELECT count(*) FROM texts WHERE failed) AS n_failed FROM r1 JOIN r2 USING (sample_id)""",
+    "predict_in_waves": f"WITH {PAIRS} SELECT conv_id, turn, {_LEAD.format('request')} AS prediction FROM pairs",
+    "match_records": f"""WITH {_WORD_MATCH} SELECT 'Conversation ' || conv_id AS title, reply AS prediction,
+      round(p, 6) AS bert_precision, round(r, 6) AS bert_recall, round(2 * p * r / (p + r), 6) AS bert_f1
+      FROM pairs JOIN sides USING (conv_id, turn)""",
+    "suite_phases": f"""WITH {_SUITE} SELECT phase, section, metric, round(value, 6) AS value
+      FROM results CROSS JOIN (SELECT unnest(['benchmarks', 'final']) AS phase)""",
     "batch_predict": f"WITH {PAIRS} SELECT conv_id, turn, {_LEAD.format('request')} AS prediction FROM pairs",
     "endpoint_predict": f"WITH {_ENDPOINT} SELECT conv_id, turn, prediction, error FROM made",
     "endpoint_failures": f"""WITH {_ENDPOINT} SELECT turn, count(*) AS n_calls, count(error) AS n_failed
