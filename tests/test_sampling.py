@@ -44,7 +44,7 @@ def test_exact_size_and_rows(numbers, n):
 @pytest.mark.parametrize("n", [0, 1, 2, 500, 999])
 def test_narrowing_gives_the_same_rows(numbers, n, monkeypatch):
     monkeypatch.setattr(sampling, "TOP_K_LIMIT", -1)
-    monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(sampling, "CUT_DIGITS", 1)
     monkeypatch.setattr(sampling, "FINE_BUCKET", 2)
     assert ids(select_subset(numbers, n, "id", 7)) == sorted(order(range(1000), 7)[:n])
 

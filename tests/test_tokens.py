@@ -53,6 +53,8 @@ def test_boundary_from_token_count_equals_offsets(spark, prompt, answer, limit):
     assert row.tokens == tokens
     assert row.labels == [-100] * start + row.input_ids[start:]
     assert row.attention_mask == [1] * len(tokens)
+    counted = tk.count_tokens(df, max_length=limit).first()
+    assert (counted.n_tokens, counted.n_masked) == (len(tokens), start)
 
 
 def test_ids(spark):

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from textforge.functions.hashing import HEX_DIGITS, bucket_of, seeded_hash
 from textforge.options import SampleCount
 
-PREFIX_DIGITS = 4  # at most 65,536 counts reach the driver per narrowing step
+CUT_DIGITS = 3  # at most 4,096 counts reach the driver per narrowing step
+RANK_DIGITS = 4  # 65,536 buckets to rank in
 TOP_K_LIMIT = 1_000  # up to here a distributed top-k of whole rows is one job and one small task
 FINE_BUCKET = 10_000  # a bucket of this size is ordered directly
 
@@ -50,7 +51,7 @@ def find_cut(df: DataFrame, key: str, seed: int, k: int | None = None, fraction:
     while True:
         inside = hashed.where(F.col("h").startswith(prefix)) if prefix else hashed
         counted = (
-            inside.groupBy(bucket_of(F.col("h"), PREFIX_DIGITS, len(prefix)).alias("b"))
+            inside.groupBy(bucket_of(F.col("h"), CUT_DIGITS, len(prefix)).alias("b"))
             .count()
             .collect()
         )
@@ -171,11 +172,11 @@ def with_ordinal(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal")
     to broadcast at any scale.
     """
     tagged = df.withColumn("_h", seeded_hash(F.col(key), seed)).withColumn(
-        "_b", bucket_of(F.col("_h"), PREFIX_DIGITS)
+        "_b", bucket_of(F.col("_h"), RANK_DIGITS)
     )
     below = F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     offsets = (
-        df.select(bucket_of(seeded_hash(F.col(key), seed), PREFIX_DIGITS).alias("_b"))
+        df.select(bucket_of(seeded_hash(F.col(key), seed), RANK_DIGITS).alias("_b"))
         .groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_b", F.coalesce(below, F.lit(0)).alias("_below"))

@@ -118,6 +118,31 @@ def tokenize_native(
     )
 
 
+def count_tokens(
+    df: DataFrame,
+    text: str = "text_full",
+    prompt: str = "text_prompt",
+    max_length: int | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """``n_tokens`` and ``n_masked`` of the native tokens, without building ids or labels."""
+    keep = [c for c in df.columns if c not in (text, prompt)] if keep is None else list(keep)
+    total = F.regexp_count(F.col(text), F.lit(TOKEN_PATTERN))
+    if max_length is not None:
+        total = F.least(total, F.lit(max_length))
+    counted = df.select(
+        *keep, total.alias("n_tokens"), F.regexp_count(F.col(prompt), F.lit(TOKEN_PATTERN)).alias("_start")
+    )
+    return counted.withColumn("n_masked", F.least("n_tokens", "_start")).drop("_start")
+
+
+def _counts(df: DataFrame) -> tuple[Column, Column]:
+    """Token and masked counts of a table that has them, or of one that has the arrays."""
+    if {"n_tokens", "n_masked"} <= set(df.columns):
+        return F.col("n_tokens"), F.col("n_masked")
+    return F.size("input_ids"), masked_count(F.col("labels"))
+
+
 TOKENISED_FIELDS = [
     T.StructField("input_ids", T.ArrayType(T.IntegerType())),
     T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
@@ -224,8 +249,8 @@ def token_breakdown(df: DataFrame, keys: Sequence[str], max_rows: int | None = N
 
 def label_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total, masked and trained tokens per sample, with percentages (null for no tokens)."""
-    total = F.size("input_ids")
-    counted = df.select(*keys, total.alias("n_tokens"), masked_count(F.col("labels")).alias("n_masked"))
+    total, masked = _counts(df)
+    counted = df.select(*keys, total.alias("n_tokens"), masked.alias("n_masked"))
     return counted.select(
         *keys,
         "n_tokens",
@@ -258,9 +283,8 @@ def token_statistics(df: DataFrame, group: str = "model") -> DataFrame:
 
     Counts per row first, so only fixed-width numbers are aggregated and shuffled.
     """
-    counted = df.select(
-        group, F.size("input_ids").alias("n"), masked_count(F.col("labels")).alias("m")
-    )
+    total, masked = _counts(df)
+    counted = df.select(group, total.alias("n"), masked.alias("m"))
     return counted.groupBy(group).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.avg("n").alias("avg_length"),

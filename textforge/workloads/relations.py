@@ -39,10 +39,14 @@ PAIRS = """pairs AS (
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
-def raw_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in the shape of raw samples; some sources lack a title, a list or a marker."""
+def raw_samples(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """Documents in the shape of raw samples; some sources lack a title, a list or a marker.
+
+    ``heavy`` spreads them for costly row-local work.
+    """
     source, lang, text = F.col("source"), F.col("lang"), F.col("text")
-    return documents(spark, folder).select(
+    docs = documents(spark, folder) if heavy else table(spark, folder, "documents")
+    return docs.select(
         F.col("doc_id").alias("sample_id"),
         F.when(source.isin("src0", "src1"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
         F.when(source == "src3", F.lit(None))

@@ -9,6 +9,7 @@ from textforge.operators.chat import messages_per_model, reference_column, with_
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
     byte_tokenizer,
+    count_tokens,
     decode_with_model,
     label_summary,
     label_texts,
@@ -44,11 +45,17 @@ def _pair_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _document_tokens(spark: SparkSession, folder: str, max_length: int | None = None) -> DataFrame:
-    samples = filter_valid(raw_samples(spark, folder))
+    samples = filter_valid(raw_samples(spark, folder, heavy=True))
     rendered = with_training_text(samples, get_model("qwen"))
     return tokenize_native(rendered.select("sample_id", "split", "text_prompt", "text_full"), max_length=max_length)
 
 
+def _document_counts(spark: SparkSession, folder: str) -> DataFrame:
+    samples = filter_valid(raw_samples(spark, folder, heavy=True))
+    rendered = with_training_text(samples, get_model("qwen"))
+    return count_tokens(rendered.select("sample_id", "split", "text_prompt", "text_full"))
+
+
 def tokenize_words(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_tokens(spark, folder).select(
         "sample_id",
@@ -99,14 +106,14 @@ def _stats(tokens: DataFrame, group: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _stats(_document_tokens(spark, folder), "split")
+    return _stats(_document_counts(spark, folder), "split")
 
 
 def token_stats_by_model(spark: SparkSession, folder: str) -> DataFrame:
     """The same samples prepared for every registered model, side by side."""
     each = with_training_text(with_registry(sample_pairs(spark, folder)))
     keyed = each.select(F.col("model.model_key").alias("model"), "text_prompt", "text_full")
-    return _stats(tokenize_native(keyed), "model")
+    return _stats(count_tokens(keyed), "model")
 
 
 def subword_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +126,7 @@ def subword_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def subword_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Tokenise whole documents and decode the trained part: the answer text comes back."""
-    samples = raw_samples(spark, folder)
+    samples = raw_samples(spark, folder, heavy=True)
     plain = samples.select(
         "sample_id", reference_column(samples).alias("text_full"), F.lit("").alias("text_prompt")
     )
