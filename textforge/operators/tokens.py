@@ -143,13 +143,6 @@ def _counts(df: DataFrame) -> tuple[Column, Column]:
     return F.size("input_ids"), masked_count(F.col("labels"))
 
 
-TOKENISED_FIELDS = [
-    T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-    T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
-    T.StructField("labels", T.ArrayType(T.IntegerType())),
-]
-
-
 def tokenize_with_model(
     df: DataFrame,
     tokenizer_json: str,
@@ -157,26 +150,38 @@ def tokenize_with_model(
     prompt: str = "text_prompt",
     max_length: int | None = 512,
     keep: Sequence[str] | None = None,
+    arrays: Sequence[str] = ("input_ids", "attention_mask", "labels"),
 ) -> DataFrame:
-    """Tokenise with a serialised tokeniser, broadcast once and built once per task."""
+    """Tokenise with a serialised tokeniser, broadcast once and built once per task.
+
+    ``arrays`` names the columns wanted; Spark cannot prune what a Python stage returns.
+    """
     keep = [c for c in df.columns if c not in (text, prompt)] if keep is None else list(keep)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     source = df.select(*keep, F.col(text).alias("_text"), F.length(prompt).alias("_plen"))
-    schema = T.StructType([source.schema[c] for c in keep] + TOKENISED_FIELDS)
+    schema = T.StructType(
+        [source.schema[c] for c in keep] + [T.StructField(a, T.ArrayType(T.IntegerType())) for a in arrays]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _load_tokenizer(shared.value)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
             bounds = batch.column("_plen").fill_null(0).to_pylist()
-            encoded = model.encode_batch(texts, add_special_tokens=False)
+            # Only labels need character offsets; the fast form skips them.
+            encode = model.encode_batch if "labels" in arrays else model.encode_batch_fast
+            encoded = encode(texts, add_special_tokens=False)
             rows = [np.asarray(item.ids[:max_length], dtype=np.int32) for item in encoded]
             ends = np.cumsum([0] + [len(row) for row in rows]).astype(np.int32)
             ids = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
-            labels = ids.copy()
-            for item, text, bound, begin, end in zip(encoded, texts, bounds, ends, ends[1:]):
-                labels[begin : min(begin + _first_from(item, text, bound), end)] = IGNORED
-            lists = [pa.ListArray.from_arrays(ends, values) for values in (ids, np.ones_like(ids), labels)]
+            made = {"input_ids": ids}
+            if "attention_mask" in arrays:
+                made["attention_mask"] = np.ones_like(ids)
+            if "labels" in arrays:
+                made["labels"] = ids.copy()
+                for item, text, bound, begin, end in zip(encoded, texts, bounds, ends, ends[1:]):
+                    made["labels"][begin : min(begin + _first_from(item, text, bound), end)] = IGNORED
+            lists = [pa.ListArray.from_arrays(ends, made[a]) for a in arrays]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + lists, names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -131,7 +131,7 @@ def subword_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         "sample_id", reference_column(samples).alias("text_full"), F.lit("").alias("text_prompt")
     )
     model = byte_tokenizer()
-    tokens = tokenize_with_model(plain, model, max_length=None).select("sample_id", "input_ids")
+    tokens = tokenize_with_model(plain, model, max_length=None, arrays=["input_ids"])
     return decode_with_model(tokens, model, "input_ids").select("sample_id", "decoded")
 
 
