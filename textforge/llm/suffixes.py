@@ -13,8 +13,9 @@ one, only suffixes in buckets of two or more are refined, and a suffix alone in
    string whose anchor is alone in its bucket occurs once. An anchor stands for a run of starts.
 2. Buckets of two or more are refined by the name of the whole stretch the run covers. Runs that
    still share a bucket are repeated at every start.
-3. The others (the ends of passages) are refined start by start, by names of ``LENGTH`` bytes, together
-   with one run of every kind in the same first bucket.
+3. The others (the ends of passages) are refined in blocks of 32, 4 and 1 starts, together with one run
+   of every kind in the same first bucket: a block is repeated if the name of all its bytes is, alone if
+   the name of what its strings have in common is, and otherwise goes on to the next round.
 
 Buckets hold names and places, never texts; counts are combined inside tasks, and no task gathers a
 bucket. Names have 128 bits where they decide. Texts move twice, to meet their places.
@@ -40,6 +41,7 @@ from textforge.llm.common import identified, join_identified, map_slices, materi
 LENGTH = 400
 GRAM = 128
 SEGMENT = 1 << 16
+ROUNDS = (32, 4, 1)  # starts that are refined together, round by round
 _PLACE_BITS = np.uint64(17)  # a place inside a segment and what it looks ahead
 _KA, _KB = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,6 +124,7 @@ def _runs(length: int):
         return _named(rows, text) | {
             "low": low - offsets[text],
             "n": (high - low + 1).astype(np.int32),
+            "rel": (anchor - low).astype(np.int32),
             "key": key.view(np.int64),
             "whole": whole.view(np.int64),
         }
@@ -131,44 +134,109 @@ def _runs(length: int):
 
 def anchor_runs(named: DataFrame, length: int = LENGTH) -> DataFrame:
     """First buckets: one row per anchor with its run of starts ``low .. low + n - 1``."""
-    schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("low", "long").add("n", "integer")
+    schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("low", "long").add("n", "integer").add("rel", "integer")
     return map_slices(named, _runs(length), schema.add("key", "long").add("whole", "long"))
 
 
-def _starts(length: int):
-    """Names of every single start of the runs listed with a text."""
+def _pieces(length: int):
+    """The bytes around the anchor of every listed run: all its strings, and a block more at either end."""
 
     def each(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict | None:
         listed = rows.column(rows.schema.get_field_index("runs"))
-        per_text = np.diff(listed.offsets.to_numpy())
+        text = np.repeat(np.arange(rows.num_rows), np.diff(listed.offsets.to_numpy()))
+        if not len(text):
+            return None
         flat = listed.flatten()
-        text = np.repeat(np.arange(rows.num_rows), per_text)
-        low = flat.field("low").to_numpy() + offsets[text]
-        n = flat.field("n").to_numpy()
-        open_ = flat.field("open").to_numpy(zero_copy_only=False)
-        out: dict[str, list] = {k: [] for k in ("text", "start", "open", "w1", "w2")}
-        for i in range(len(low)):
-            part = data[low[i] : low[i] + n[i] + length - 1]
-            starts = np.arange(n[i])
-            out["w1"].append(string_names(part, length))
-            out["w2"].append(tb.span_hashes(part, starts, starts + length))
-            out["text"].append(np.full(n[i], text[i]))
-            out["start"].append(starts + low[i] - offsets[text[i]])
-            out["open"].append(np.full(n[i], open_[i]))
-        if not len(low):
+        run = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("low", "n", "rel", "key", "open")}
+        anchor = offsets[text] + run["low"] + run["rel"]
+        first = np.maximum(offsets[text], anchor - (run["rel"] // ROUNDS[0] + 1) * ROUNDS[0])
+        last = np.minimum(offsets[text + 1], anchor - (run["rel"] - run["n"] + 1) // ROUNDS[0] * ROUNDS[0] + length)
+        return _named(rows, text) | run | {
+            "ahead": anchor - first,
+            "piece": pa.array([data[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
+        }
+
+    return each
+
+
+def _blocks(length: int, block: int):
+    """Names of the strings that decide a block of starts, for the blocks asked for (all, if null).
+
+    A start is known by its distance to the anchor, so the blocks of different runs line up. If the
+    string over all of a block's strings (``all``) repeats, each of them does; if what they have in
+    common (``core``) does not, none of them does.
+    """
+
+    def each(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict | None:
+        get = lambda c: rows.column(rows.schema.get_field_index(c))
+        rel, n = get("rel").to_numpy(), get("n").to_numpy()
+        todo = get("todo")
+        low, high = (rel - n + 1) // block, rel // block
+        if todo.null_count:
+            count = high - low + 1
+            run = np.repeat(np.arange(len(rel)), count)
+            at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + low[run]
+        else:
+            run = np.repeat(np.arange(len(rel)), np.diff(todo.offsets.to_numpy()))
+            at = todo.flatten().to_numpy()
+            inside = (at >= low[run]) & (at <= high[run])
+            run, at = run[inside], at[inside]
+        if not len(run):
             return None
-        got = {k: np.concatenate(v) for k, v in out.items()}
-        return _named(rows, got["text"]) | {
-            "start": got["start"], "open": got["open"], "w1": got["w1"].view(np.int64), "w2": got["w2"].view(np.int64)
+        anchor = offsets[run] + get("ahead").to_numpy()[run]
+        core_start, all_start = anchor - at * block, anchor - at * block - block + 1
+        core = string_names(data, length - block + 1)[core_start]
+        names = string_names(data, length + block - 1)
+        fits = (all_start >= offsets[run]) & (all_start + length + block - 1 <= offsets[run + 1])
+        whole = np.zeros(len(run), np.uint64)
+        whole[fits] = names[all_start[fits]]
+        place = get("low").to_numpy()[run] + rel[run] - at * block
+        return _named(rows, run) | {
+            "run": get("run").take(pa.array(run)),
+            "key": get("key").take(pa.array(run)),
+            "open": get("open").take(pa.array(run)),
+            "block": at.astype(np.int32),
+            "core": core.view(np.int64),
+            "all": pa.array(whole.view(np.int64), pa.int64(), mask=~fits),
+            "start": place - block + 1,
+            "end": place + length,
         }
 
     return each
 
 
+def _refine_open(pieces: DataFrame, length: int) -> DataFrame:
+    """``(doc_id, _h, start, end)`` of repeated strings in open runs, by blocks of falling size."""
+    identity = [pieces.schema["doc_id"]]
+    schema = StructType(identity).add("_h", "long").add("run", "long").add("key", "long").add("open", "boolean")
+    schema = schema.add("block", "integer").add("core", "long").add("all", "long").add("start", "long").add("end", "long")
+    todo = pieces.withColumn("todo", F.lit(None).cast("array<int>"))
+    found = None
+    for block, finer in zip(ROUNDS, (*ROUNDS[1:], None)):
+        named = materialise(map_slices(todo, _blocks(length, block), schema, text="piece"), "suffix-blocks", compression="zstd")
+        known = named.where("all is not null").groupBy("key", "block", "all").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        known = known.select("key", "block", "all", F.lit(True).alias("known"))
+        marked = named.join(known, ["key", "block", "all"], "left")
+        if finer:
+            marked = materialise(marked, "suffix-marked", compression="zstd")
+        repeats = marked.where("open and known").select("doc_id", "_h", "start", "end")
+        found = repeats if found is None else found.unionByName(repeats)
+        if finer:
+            # A block goes on if its core repeats and some open run with that core is undecided.
+            undecided = F.count_if(F.col("open") & F.col("known").isNull())
+            cores = marked.groupBy("key", "block", "core").agg(F.count(F.lit(1)).alias("n"), undecided.alias("u"))
+            on = marked.join(cores.where("n > 1 and u > 0").select("key", "block", "core"), ["key", "block", "core"])
+            ratio = block // finer
+            parts = F.explode(F.sequence(F.col("block") * ratio, F.col("block") * ratio + ratio - 1))
+            asked = on.select("run", parts.alias("part")).groupBy("run").agg(F.collect_set("part").alias("todo"))
+            todo = pieces.join(asked, "run")
+    return found
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``(doc_id, _h, spans)``: byte spans ``(start, end)`` that repeated strings cover, for texts that have any."""
-    if not 2 * GRAM <= length <= 4 * GRAM:
-        raise ValueError(f"length must be between {2 * GRAM} and {4 * GRAM}")
+    if not 2 * GRAM <= length <= 4 * GRAM - ROUNDS[0]:
+        raise ValueError(f"length must be between {2 * GRAM} and {4 * GRAM - ROUNDS[0]}")
     named = identified(docs, key, text)
     runs = materialise(anchor_runs(named, length), "suffix-runs", compression="zstd")
     buckets = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("whole") != F.max("whole")).alias("mixed"))
@@ -176,18 +244,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     # A mixed bucket is refined by the whole stretch: kinds of two or more are done, the rest is open.
     mixed = shared.where("mixed")
-    kinds = mixed.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "_h", "low")).alias("first"))
+    place = F.struct("doc_id", "_h", "low")
+    kinds = mixed.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first"))
     refined = mixed.join(kinds, ["key", "whole"]).select(
-        "doc_id", "_h", "low", "n", (F.col("size") == 1).alias("open"), (F.struct("doc_id", "_h", "low") == F.col("first")).alias("speaks")
+        "doc_id", "_h", "low", "n", "rel", "key", (F.col("size") == 1).alias("open"), (place == F.col("first")).alias("speaks")
     )
     refined = materialise(refined, "suffix-refined", compression="zstd")
-    asked = refined.where("open or speaks").groupBy("doc_id", "_h").agg(F.collect_set(F.struct("low", "n", "open")).alias("runs"))
-    # Rows that repeat id and text give each start once for each row; those are settled above.
-    texts = join_identified(named.dropDuplicates(["doc_id", "_h"]), asked, "inner")
-    schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("start", "long").add("open", "boolean")
-    starts = materialise(map_slices(texts, _starts(length), schema.add("w1", "long").add("w2", "long")), "suffix-starts", compression="zstd")
-    twice = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("w1", "w2")
-    single = starts.where("open").join(twice, ["w1", "w2"]).select("doc_id", "_h", "start", (F.col("start") + length).alias("end"))
+    asked = refined.where("speaks").groupBy("doc_id", "_h").agg(F.collect_set(F.struct("low", "n", "rel", "key", "open")).alias("runs"))
+    schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("low", "long").add("n", "integer").add("rel", "integer")
+    schema = schema.add("key", "long").add("open", "boolean").add("ahead", "long").add("piece", "binary")
+    pieces = map_slices(join_identified(named, asked, "inner"), _pieces(length), schema)
+    # One piece for each kind: rows that repeat id and text would give it once for each row.
+    pieces = pieces.withColumn("run", F.xxhash64("doc_id", "_h", "low"))
+    pieces = materialise(pieces.dropDuplicates(["doc_id", "_h", "low"]), "suffix-pieces", compression="zstd")
+    single = _refine_open(pieces, length)
 
     whole = shared.where("not mixed").select("doc_id", "_h", "low", "n").unionByName(
         refined.where("not open").select("doc_id", "_h", "low", "n")
