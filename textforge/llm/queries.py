@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textforge.llm import lines, near, packing, quality, suffixes
+from textforge.llm import chatlog, lines, near, packing, quality, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    return chatlog.digest(chatlog.format_log(chatlog.events_from_rows(rows.unionByName(extra))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_repeats(table(spark, sf_dir, "documents"))
 
@@ -35,5 +52,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_suffix_dedup, op6_quality, op8_jaccard_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op8_jaccard_join, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
