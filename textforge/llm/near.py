@@ -12,8 +12,9 @@ dropped if, given the matches so far and a flat prior, the posterior probability
 that meets in several buckets counts in its first band only. Tasks give counts and one edge per
 class and local group, not pairs: rows grow with the classes, not with the square of a group.
 
-Null and empty texts have no run, no links, and are classes of their own. Rows with the same id and
-text are one document. Empty tables give empty tables; extra columns are not read.
+Null and empty texts have no run, no links, and are classes of their own. Rows that repeat an id and a
+text are copies of each other and count as such; where one document is kept, they stay together. Empty
+tables give empty tables; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textforge.llm import bytes as tb
-from textforge.llm.common import identified, map_slices, materialise
+from textforge.llm.common import identified, join_identified, map_slices, materialise
 from textforge.llm.components import components
 
 THRESHOLD = 0.8
@@ -96,14 +97,21 @@ def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict |
         "s1": sums[0].view(np.int64),
         "s2": sums[1].view(np.int64),
         "signature": [values[row[i]].tobytes() if size[i] else None for i in range(len(size))],
-        "runs": [keys[at[i] : at[i + 1]].tobytes() if size[i] else None for i in range(len(size))],
+    }
+
+
+def _runs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict:
+    keys, at = run_sets(data, offsets)
+    return {
+        "node": rows.column(rows.schema.get_field_index("node")),
+        "runs": [keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:])],
     }
 
 
 def text_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = identified(docs, key, text)
     schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("n_runs", "long").add("s1", "long").add("s2", "long")
-    return map_slices(named, _sets, schema.add("signature", "binary").add("runs", "binary"))
+    return map_slices(named, _sets, schema.add("signature", "binary"))
 
 
 def least_matches(threshold: float, tolerance: float, rows: int = ROWS, total: int = BANDS * ROWS) -> tuple[int, ...]:
@@ -233,11 +241,8 @@ def _match(threshold: float, least: tuple[int, ...]):
     return run
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(node, links, root)`` parts from classes ``(node, copies, n_runs, signature, runs)``.
-
-    ``links`` of a node add up to its similar texts; (node, root) rows connect similar classes.
-    """
+def duties(classes: DataFrame) -> DataFrame:
+    """Where each class meets others: ``(node, bucket, band, duty, side, both)``, a row per pair of blocks."""
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * 4 * ROWS + 1, F.lit(4 * ROWS)))))
     members = classes.select("node", "n_runs", bands.alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(
@@ -255,16 +260,23 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
     # Block x meets every block: as the first of (x, y) for y >= x, as the second of (y, x) for y < x.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.select("node", "band", "bucket", "blocks", block.alias("mine"), other.alias("other")).select(
-        F.col("bucket"),
-        F.col("band"),
-        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long").alias("duty"),
+    return placed.select("node", "band", "bucket", "blocks", block.alias("mine"), other.alias("other")).select(
         "node",
+        "bucket",
+        F.col("band").cast("long").alias("band"),
+        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long").alias("duty"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
         (F.col("mine") != F.col("other")).alias("both"),
     )
-    full = spread.join(classes, "node").select(
-        "bucket", F.col("band").cast("long").alias("band"), "duty", "node", "side", "both", "copies", "n_runs", "signature", "runs"
+
+
+def links(duty: DataFrame, classes: DataFrame, runs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(node, links, root)`` parts from duties, classes ``(node, copies, n_runs, signature)`` and their runs.
+
+    ``links`` of a node add up to its similar texts; (node, root) rows connect similar classes.
+    """
+    full = duty.join(classes.join(runs, "node"), "node").select(
+        "bucket", "band", "duty", "node", "side", "both", "copies", "n_runs", "signature", "runs"
     )
     dealt = full.repartition("bucket", "band", "duty").sortWithinPartitions("bucket", "band", "duty")
     return dealt.mapInArrow(_match(threshold, least_matches(threshold, TOLERANCE)), "node long, links long, root long")
@@ -277,17 +289,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     other documents with a similarity of ``threshold`` or more, copies included. A document without
     runs has its own id as class (null if the id is null) and no links.
     """
-    sets = materialise(text_sets(docs, key, text).dropDuplicates(["doc_id", "_h"]), "near-sets")
+    sets = materialise(text_sets(docs, key, text), "near-sets")
     with_runs = sets.where("n_runs > 0")
-    # Equal sets: narrow rows are combined in tasks, then the first member gives signature and runs.
+    # Equal sets: narrow rows are combined in tasks; the first member speaks for its class.
     groups = with_runs.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "_h")).alias("first"))
-    groups = groups.select("s1", "s2", "copies", "first", F.xxhash64("s1", "s2").alias("node"))
-    wide = with_runs.join(
-        groups.select("node", "copies", F.col("first.doc_id").alias("_f_id"), F.col("first._h").alias("_f_h")),
-        (F.col("_h") == F.col("_f_h")) & F.col("doc_id").eqNullSafe(F.col("_f_id")),
-    )
-    classes = wide.select("node", "copies", "n_runs", "signature", "runs")
-    parts = materialise(links(classes, threshold), "near-links")
+    groups = materialise(groups.withColumn("node", F.xxhash64("s1", "s2")), "near-groups")
+    speakers = groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first._h").alias("_h"), "node", "copies")
+    classes = join_identified(with_runs.select("doc_id", "_h", "n_runs", "signature"), speakers, "inner")
+    classes = materialise(classes.select("node", "copies", "n_runs", "signature").dropDuplicates(["node"]), "near-signatures")
+    duty = materialise(duties(classes), "near-duties")
+    # Only classes that meet others need their runs, which are made again from their texts.
+    meeting = speakers.join(duty.select("node").distinct(), "node").select("doc_id", "_h", "node")
+    texts = join_identified(identified(docs, key, text), meeting, "inner")
+    runs = map_slices(texts, _runs, "node long, runs binary").dropDuplicates(["node"])
+    parts = materialise(links(duty, classes, runs, threshold), "near-links")
     linked = parts.groupBy("node").agg(F.sum("links").alias("links"))
     edges = parts.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     found = components(edges)
