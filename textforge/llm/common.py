@@ -85,3 +85,19 @@ def join_identified(docs: DataFrame, other: DataFrame, how: str = "left") -> Dat
     other = other.withColumnRenamed("doc_id", "_o_id").withColumnRenamed("_h", "_o_h")
     same = (docs["_h"] == F.col("_o_h")) & docs["doc_id"].eqNullSafe(F.col("_o_id"))
     return docs.join(other, same, how).drop("_o_id", "_o_h")
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest ``n`` such that at most ``most`` rows have it or a higher one.
+
+    Counts fall into bins of one up to 1,024 and of doubling width above, so the histogram is bounded.
+    """
+    wide = F.lit(1024) + F.floor(F.log2(F.col("n") / 1024)) + 1
+    bins = counts.groupBy(F.when(F.col("n") <= 1024, F.col("n")).otherwise(wide).cast("long").alias("bin"))
+    sizes = sorted(((r["bin"], r["rows"], r["low"]) for r in bins.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low")).collect()), reverse=True)
+    total, least = 0, 1 << 62
+    for _, size, low in sizes:
+        if total + size > most:
+            break
+        total, least = total + size, low
+    return least

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textforge.llm import chatlog, lines, near, packing, quality, suffixes, toxicity
+from textforge.llm import bpe, chatlog, lines, near, nearest, packing, quality, suffix_tree, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -43,14 +47,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_runs")
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), count="n_lines_removed")
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op8_jaccard_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
