@@ -215,7 +215,7 @@ def _refine_open(pieces: DataFrame, length: int) -> DataFrame:
     for block, finer in zip(ROUNDS, (*ROUNDS[1:], None)):
         named = materialise(map_slices(todo, _blocks(length, block), schema, text="piece"), "suffix-blocks", compression="zstd")
         known = named.where("all is not null").groupBy("key", "block", "all").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        known = known.select("key", "block", "all", F.lit(True).alias("known"))
+        known = materialise(known.select("key", "block", "all", F.lit(True).alias("known")), "suffix-known")
         marked = named.join(known, ["key", "block", "all"], "left")
         if finer:
             marked = materialise(marked, "suffix-marked", compression="zstd")
@@ -225,7 +225,8 @@ def _refine_open(pieces: DataFrame, length: int) -> DataFrame:
             # A block goes on if its core repeats and some open run with that core is undecided.
             undecided = F.count_if(F.col("open") & F.col("known").isNull())
             cores = marked.groupBy("key", "block", "core").agg(F.count(F.lit(1)).alias("n"), undecided.alias("u"))
-            on = marked.join(cores.where("n > 1 and u > 0").select("key", "block", "core"), ["key", "block", "core"])
+            cores = materialise(cores.where("n > 1 and u > 0").select("key", "block", "core"), "suffix-cores")
+            on = marked.join(cores, ["key", "block", "core"])
             ratio = block // finer
             parts = F.explode(F.sequence(F.col("block") * ratio, F.col("block") * ratio + ratio - 1))
             asked = on.select("run", parts.alias("part")).groupBy("run").agg(F.collect_set("part").alias("todo"))
@@ -240,12 +241,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     named = identified(docs, key, text)
     runs = materialise(anchor_runs(named, length), "suffix-runs", compression="zstd")
     buckets = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("whole") != F.max("whole")).alias("mixed"))
-    shared = materialise(runs.join(buckets.where("size > 1").select("key", "mixed"), "key"), "suffix-shared", compression="zstd")
+    # Written before the join: an exchange of its own lets Spark split a hot bucket.
+    buckets = materialise(buckets.where("size > 1").select("key", "mixed"), "suffix-buckets")
+    shared = materialise(runs.join(buckets, "key"), "suffix-shared", compression="zstd")
 
     # A mixed bucket is refined by the whole stretch: kinds of two or more are done, the rest is open.
     mixed = shared.where("mixed")
     place = F.struct("doc_id", "_h", "low")
     kinds = mixed.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first"))
+    kinds = materialise(kinds, "suffix-kinds")
     refined = mixed.join(kinds, ["key", "whole"]).select(
         "doc_id", "_h", "low", "n", "rel", "key", (F.col("size") == 1).alias("open"), (place == F.col("first")).alias("speaks")
     )
