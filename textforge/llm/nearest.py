@@ -41,13 +41,13 @@ from textforge.llm.common import materialise
 K = 20
 MAX_SAMPLE = 20_000
 MAX_CENTROIDS = 2_048
-LIST_SIZE = 64  # vectors per list that the number of centroids aims at
+LIST_SIZE = 128  # vectors per list that the number of centroids aims at
 REPLICATE, MAX_REPLICAS = 1.1, 4
-PRUNE, MIN_LISTS, MAX_LISTS = 1.3, 24, 64
+PRUNE, MIN_LISTS, MAX_LISTS = 1.3, 40, 96
 BLOCK = 4_096
 NEIGHBOURS = 24
 ENTRIES = 8
-BEAM = 96
+BEAM = 128
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
