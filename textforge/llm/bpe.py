@@ -28,7 +28,7 @@ from typing import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
@@ -47,14 +47,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def rank_of(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Look-up of a string of one-byte characters in the literal rank maps; null if it has no rank."""
+def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The literal rank maps: a one-row table as a scalar, so that plans do not print 50,000 entries."""
     maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
     for piece, rank in ranks.items():
         letters = piece.decode("latin-1")
         maps[zlib.crc32(letters.encode()) % RANK_MAPS][letters] = rank
-    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-    return lambda piece: F.element_at(F.get(literal, F.pmod(F.crc32(piece), F.lit(RANK_MAPS)).cast("int")), piece)
+    row = spark.createDataFrame([(json.dumps(maps),)], "ranks string")
+    return row.select(F.from_json("ranks", "array<map<string,int>>")).scalar()
+
+
+def rank_in(maps: Column) -> Callable[[Column], Column]:
+    """Look-up of a string of one-byte characters in the rank maps; null if it has no rank."""
+    return lambda piece: F.element_at(F.get(maps, F.pmod(F.crc32(piece), F.lit(RANK_MAPS)).cast("int")), piece)
 
 
 def encode_word(word: Column, rank: Callable[[Column], Column]) -> Column:
@@ -144,13 +149,16 @@ def encoded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     slices = materialise(word_slices(docs, pattern, key, text), "bpe-slices", compression="zstd")
     pairs = slices.select(F.explode(F.arrays_zip("words", "times")).alias("p"))
     counts = materialise(pairs.groupBy(F.col("p.words").alias("word")).agg(F.sum("p.times").alias("n")), "bpe-words")
-    rank = rank_of(ranks)
-    # At most FREQUENT rows.
-    frequent = counts.where(F.col("n") >= least_count(counts, FREQUENT)).repartition(F.col("word"))
-    known = {r["word"]: tuple(r["ids"]) for r in frequent.select("word", encode_word(F.col("word"), rank).alias("ids")).toLocalIterator()}
+    maps = rank_maps(docs.sparkSession, ranks)
+    rank = rank_in(F.col("_ranks"))
+    # At most FREQUENT words, in rows of about a thousand: each row carries the ranks once.
+    frequent = counts.where(F.col("n") >= least_count(counts, FREQUENT))
+    rows = frequent.groupBy(F.pmod(F.xxhash64("word"), F.lit(FREQUENT // 1024 + 1))).agg(F.collect_list("word").alias("words"))
+    folded = rows.select("words", maps.alias("_ranks")).select("words", F.transform("words", lambda w: encode_word(w, rank)).alias("ids"))
+    known = {w: tuple(i) for r in folded.toLocalIterator() for w, i in zip(r["words"], r["ids"])}
     schema = StructType([f for f in slices.schema if f.name != "times"]).add("rest", ArrayType(StringType()))
-    marked = slices.drop("times").mapInArrow(_unknown(known, schema), schema)
-    return marked.withColumn("rest_ids", F.transform("rest", lambda w: encode_word(w, rank))).drop("rest"), known
+    marked = slices.drop("times").mapInArrow(_unknown(known, schema), schema).withColumn("_ranks", maps)
+    return marked.withColumn("rest_ids", F.transform("rest", lambda w: encode_word(w, rank))).drop("rest", "_ranks"), known
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
