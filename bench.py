@@ -26,8 +26,7 @@ HEADLINE = (
     "label_summary",
     "token_stats",
     "token_breakdown",
-    "subword_tokens",
-    "subword_round_trip",
+    "prepared_splits",
     "pad_batches",
     "vocab_by_group",
     "rouge1",

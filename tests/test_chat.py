@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from textforge.functions.templates import render_messages, render_turn
 from textforge.operators.chat import (
-    apply_field_map,
     build_messages,
     message_rows,
     messages_per_model,
@@ -64,9 +63,10 @@ def test_absent_columns(samples):
 
 
 def test_field_map(spark):
-    df = spark.createDataFrame([(1, "x", "y")], "sample_id int, list string, steps string")
-    mapped = apply_field_map(df, FieldMap(input="list", output="steps"))
-    assert mapped.columns == ["sample_id", "NER", "directions"]
+    df = spark.createDataFrame([(1, "x", "y", "T", "N")], "sample_id int, list string, steps string, title string, NER string")
+    fields = FieldMap(input="title", output="steps", title="list")
+    row = df.select(build_messages(df, get_model("qwen"), True, fields).alias("m")).first().m
+    assert row[1].content == "Include ingredients: T" and "[ x ]" in row[2].content and "y" in row[2].content
 
 
 def test_every_model_agrees_with_single_builds(samples):

@@ -43,14 +43,11 @@ def test_exact_size_and_rows(numbers, n):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 500, 999])
 def test_narrowing_gives_the_same_rows(numbers, n, monkeypatch):
-    monkeypatch.setattr(sampling, "TOP_K_LIMIT", -1)
     monkeypatch.setattr(sampling, "CUT_DIGITS", 1)
-    monkeypatch.setattr(sampling, "FINE_BUCKET", 2)
     assert ids(select_subset(numbers, n, "id", 7)) == sorted(order(range(1000), 7)[:n])
 
 
-def test_too_many_requested_warns(numbers, monkeypatch):
-    monkeypatch.setattr(sampling, "TOP_K_LIMIT", 10)
+def test_too_many_requested_warns(numbers):
     with pytest.warns(UserWarning, match="1000 available"):
         assert select_subset(numbers, 2000, "id").count() == 1000
 
@@ -61,9 +58,21 @@ def test_independent_of_partitioning(numbers):
     assert ids(few) == ids(many)
 
 
-def test_equal_keys_still_give_k_rows_at_the_cut(spark):
-    cut = find_cut(spark.createDataFrame([("x",)] * 10, "k string"), "k", 1, k=3)
-    assert cut.total == 10 and cut.key == "x"
+@pytest.mark.parametrize("n", [0, 1, 29, 30, 31, 64, 999, 1001, 1200, 1500])
+def test_repeated_and_null_keys(spark, n):
+    """Exactly n rows, the same ones for every partitioning, whatever the keys are."""
+    df = spark.range(1200).select(F.when(F.col("id") % 40 != 0, F.col("id") % 7).alias("k"), F.col("id").alias("row"))
+    got = select_subset(df, n, "k", 3)
+    assert got.count() == min(n, 1200)
+    assert ids(got, "row") == ids(select_subset(df.repartition(17), n, "k", 3), "row")
+
+
+def test_equal_rows_at_the_cut(spark):
+    df = spark.createDataFrame([("x",)] * 10, "k string")
+    cut = find_cut(df, "k", 1, k=3)
+    assert (cut.total, cut.tied, cut.wanted) == (10, 10, 3) and select_subset(df, 3, "k", 1).count() == 3
+    with pytest.raises(ValueError, match="must be unique"):
+        split_validation(df.withColumn("split", F.lit("train")), "k", 0.3, 1)
 
 
 @pytest.mark.parametrize("n,share", [(1000, 0.05), (140, 0.05), (7, 0.3), (1, 0.05)])

@@ -2,21 +2,28 @@ from types import SimpleNamespace
 
 import pytest
 
-from textforge.session import fresh_path, materialise, shared_dir, spread
+from textforge.session import fresh_path, materialise, remove, shared_dir, spread
 
 
-def test_few_splits_are_spread_and_many_left_alone(spark):
+def test_one_file_is_spread_and_several_left_alone(spark):
     cores = spark.sparkContext.defaultParallelism
-    few = spark.range(1000, numPartitions=2)
+    few = materialise(spark.range(1000, numPartitions=1), "few")
     assert spread(few, "id").rdd.getNumPartitions() == cores
     assert spread(few, "id").count() == 1000
-    many = spark.range(1000, numPartitions=cores + 3)
+    many = materialise(spark.range(1000, numPartitions=3), "many")
     assert spread(many, "id") is many
 
 
-def test_cluster_without_shared_folder_is_refused():
+def test_written_tables_can_be_removed(spark):
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert remove(spark, path) and not remove(spark, path)
+
+
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_cluster_without_shared_folder_is_refused(master):
     lone = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn")
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master)
     )
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(lone)

@@ -82,15 +82,18 @@ def _tool_block(tools: Sequence[Mapping[str, Any]]) -> Column:
     return F.lit(TOOLS_INTRO + listed + TOOLS_OUTRO)
 
 
-def _calls_text(calls: Column) -> Column:
-    """Assistant tool calls; ``arguments`` holds JSON text already."""
-    one = lambda call: F.concat(
-        F.lit('\n<tool_call>\n{"name": "'),
-        call["name"],
-        F.lit('", "arguments": '),
-        call["arguments"],
-        F.lit("}\n</tool_call>"),
-    )
+def _calls_text(calls: Column, nested: bool = False) -> Column:
+    """Assistant tool calls; ``arguments`` holds JSON text already, and null prints as JSON's null.
+
+    A call is a struct of name and arguments, or holds that struct in a field ``function``.
+    """
+
+    def one(call: Column) -> Column:
+        inner = call["function"] if nested else call
+        name = F.coalesce(inner["name"], F.raise_error(F.lit("a tool call without a name")).cast("string"))
+        arguments = F.coalesce(inner["arguments"], F.lit("null"))
+        return F.concat(F.lit('\n<tool_call>\n{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}\n</tool_call>"))
+
     return F.array_join(F.transform(calls, one), "")
 
 
@@ -99,11 +102,13 @@ def render_messages(
     add_generation_prompt: bool = False,
     tools: Sequence[Mapping[str, Any]] | None = None,
     has_tool_calls: bool = False,
+    nested_calls: bool = False,
 ) -> Column:
     """Render an array of messages to prompt text.
 
     ``has_tool_calls`` says that the message struct carries
-    ``tool_calls ARRAY<STRUCT<name, arguments>>``.
+    ``tool_calls ARRAY<STRUCT<name, arguments>>``; ``nested_calls`` that each call wraps the pair in
+    a field ``function``.
     """
     role_at = lambda i: F.get(messages, i)["role"]
     opens_with_system = F.coalesce(role_at(F.lit(0)) == "system", F.lit(False))
@@ -135,7 +140,7 @@ def render_messages(
             calling = F.concat(
                 F.lit(TURN_START + "assistant"),
                 F.when(content != "", F.concat(F.lit("\n"), content)).otherwise(F.lit("")),
-                _calls_text(m["tool_calls"]),
+                _calls_text(m["tool_calls"], nested_calls),
                 F.lit(TURN_END + "\n"),
             )
             calls = (m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)

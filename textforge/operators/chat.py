@@ -14,17 +14,6 @@ from textforge.options import FieldMap
 from textforge.registry import DEFAULT_REGISTRY, ModelConfig, registry_array
 
 
-def apply_field_map(df: DataFrame, fields: FieldMap) -> DataFrame:
-    """Rename the configured columns to their roles once, at ingest."""
-    roles = {
-        fields.input: "NER",
-        fields.output: "directions",
-        fields.title: "title",
-        fields.ingredients: "ingredients",
-    }
-    return df.withColumnsRenamed({k: v for k, v in roles.items() if k != v and k in df.columns})
-
-
 def _merged_user(system: Column, title: Column | None, user: Column) -> Column:
     lines = [system, F.lit("")] + ([title] if title is not None else []) + [user]
     return F.concat_ws("\n\n", *lines)  # skips a null title line

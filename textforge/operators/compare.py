@@ -16,24 +16,23 @@ from textforge.registry import DEFAULT_REGISTRY, ModelConfig, config_for_path
 
 @dataclass(frozen=True)
 class SummaryRule:
-    """How one metric appears in the summary table."""
+    """How one metric appears in the summary table; changes below ``level`` (as printed) are no change."""
 
     metric: str
     label: str
     relative: bool
     decimals: int
-    interpretation: str
-    always_plus: bool = False
+    level: float = 1.0
 
 
-# The summary's metrics, in order, with their wording.
+# The summary's metrics, in order.
 SUMMARY_RULES: tuple[SummaryRule, ...] = (
-    SummaryRule("rouge1", "ROUGE-1", True, 0, "Major improvement in lexical accuracy", True),
-    SummaryRule("rouge2", "ROUGE-2", True, 0, "Dramatically better phrase matching", True),
-    SummaryRule("rougeL", "ROUGE-L", True, 0, "Much better sequence alignment", True),
-    SummaryRule("bert_f1", "BERT F1", True, 1, "Semantic quality maintained"),
-    SummaryRule("mmlu", "MMLU", False, 1, "Minimal knowledge loss"),
-    SummaryRule("hellaswag", "HellaSwag", False, 1, "Minimal reasoning loss"),
+    SummaryRule("rouge1", "ROUGE-1", True, 0),
+    SummaryRule("rouge2", "ROUGE-2", True, 0),
+    SummaryRule("rougeL", "ROUGE-L", True, 0),
+    SummaryRule("bert_f1", "BERT F1", True, 1),
+    SummaryRule("mmlu", "MMLU", False, 1),
+    SummaryRule("hellaswag", "HellaSwag", False, 1),
 )
 
 
@@ -47,6 +46,26 @@ def to_long(scores: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> Da
     return scores.unpivot(list(ids), list(metrics), "metric", "value").where("value IS NOT NULL")
 
 
+def _sides(long_scores: DataFrame, base: str, tuned: str, variant: str, group: Sequence[str]) -> DataFrame:
+    """Every tuned score beside that of its own base model.
+
+    A tuned row names its base in ``base_model``. Without that column all rows are one family. Two values
+    for one model and metric are an error; a tuned model without its base gives no row.
+    """
+    families = "base_model" in long_scores.columns
+    model = F.col("model") if "model" in long_scores.columns else F.lit("")
+
+    def side(name: str, family: Column, value: str) -> DataFrame:
+        rows = long_scores.where(F.col(variant) == name).select(*group, family.alias("_family"), model.alias("_model"), "value")
+        each = ["_family", *(["_model"] if families else []), *group]
+        one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"more than one {name} score for a model and metric")).cast("double"))
+        return rows.groupBy(*each).agg(F.coalesce(one, F.max("value")).alias(value), F.max("_model").alias(f"_{value}_model"))
+
+    left = side(base, model if families else F.lit(""), "base").drop("_model")
+    right = side(tuned, F.col("base_model") if families else F.lit(""), "finetuned").drop("_model")
+    return left.join(right, ["_family", *group])
+
+
 def change(
     long_scores: DataFrame,
     base: str = "base",
@@ -54,19 +73,13 @@ def change(
     variant: str = "variant",
     group: Sequence[str] = ("metric",),
 ) -> DataFrame:
-    """Base against tuned per metric: relative change in percent, points, retention, direction."""
-
-    def of(name: str) -> Column:
-        return F.max(F.when(F.col(variant) == name, F.col("value")))
-
-    both = (
-        long_scores.groupBy(*group)
-        .agg(of(base).alias("base"), of(tuned).alias("finetuned"))
-        .where("base IS NOT NULL AND finetuned IS NOT NULL")
-    )
+    """Tuned models against their own base per metric: relative change in percent, points, retention, direction."""
+    both = _sides(long_scores, base, tuned, variant, group).where("base IS NOT NULL AND finetuned IS NOT NULL")
     delta = F.col("finetuned") - F.col("base")
     nonzero = F.col("base") != 0
+    names = [F.col("_finetuned_model").alias("model"), F.col("_family").alias("base_model")] if "base_model" in long_scores.columns else []
     return both.select(
+        *names,
         *group,
         "base",
         "finetuned",
@@ -83,31 +96,31 @@ def summary(
     base: str = "base",
     tuned: str = "finetuned",
 ) -> DataFrame:
-    """Formatted table of metric, base, tuned, change and interpretation."""
-    wide = (
-        long_scores.groupBy("metric")
-        .pivot("variant", [base, tuned])
-        .agg(F.first("value", ignorenulls=True))
-        .withColumnsRenamed({base: "b", tuned: "t"})
-    )
-    delta = F.col("t") - F.col("b")
+    """Formatted table of metric, base, tuned, change and what the change says."""
+    changed = change(long_scores, base, tuned)
+
+    def amount(rule: SummaryRule) -> Column:
+        return F.col("relative_pct" if rule.relative else "points")
 
-    def change_text(rule: SummaryRule) -> Column:
-        amount = (delta / F.col("b") if rule.relative else delta) * 100
-        if rule.always_plus:
-            return F.concat(F.lit("+"), F.format_string(f"%.{rule.decimals}f%%", amount))
-        return signed_percent(amount, rule.decimals)
+    def wording(rule: SummaryRule) -> Column:
+        return (
+            F.when(amount(rule) >= rule.level, F.lit("better than its base"))
+            .when(amount(rule) <= -rule.level, F.lit("worse than its base"))
+            .when(amount(rule).isNotNull(), F.lit("about the same"))
+        )
 
     def by_rule(pick) -> Column:
         return F.coalesce(*[F.when(F.col("metric") == r.metric, pick(r)) for r in rules])
 
-    return wide.where(F.col("metric").isin([r.metric for r in rules])).select(
+    models = ["model"] if "model" in changed.columns else []
+    return changed.where(F.col("metric").isin([r.metric for r in rules])).select(
+        *models,
         by_rule(lambda r: F.lit(rules.index(r))).alias("position"),
         by_rule(lambda r: F.lit(r.label)).alias("metric"),
-        percent(F.col("b")).alias("base_model"),
-        percent(F.col("t")).alias("fine_tuned"),
-        by_rule(change_text).alias("change"),
-        by_rule(lambda r: F.lit(r.interpretation)).alias("interpretation"),
+        percent(F.col("base")).alias("base_model"),
+        percent(F.col("finetuned")).alias("fine_tuned"),
+        by_rule(lambda r: signed_percent(amount(r), r.decimals)).alias("change"),
+        by_rule(wording).alias("interpretation"),
     )
 
 

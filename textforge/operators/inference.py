@@ -7,6 +7,7 @@ message lists) to texts. It is shipped to the executors, so it should load its m
 from __future__ import annotations
 
 import time
+from functools import reduce
 from typing import Any, Callable, Iterator, Sequence
 
 import pandas as pd
@@ -24,6 +25,7 @@ _PREDICTION = [T.StructField("prediction", T.StringType()), T.StructField("error
 
 
 def _schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    """Carried columns first, then what the model gives."""
     return T.StructType([df.schema[k] for k in keys] + _PREDICTION)
 
 
@@ -33,9 +35,13 @@ def batch_predict(
     prompt: str,
     make_predict: Callable[[], PredictBatch],
     batch_size: int = 8,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One prediction per row, stripped; prompts reach the function ``batch_size`` at a time."""
-    keys = list(keys)
+    """One prediction per row, stripped; prompts reach the function ``batch_size`` at a time.
+
+    ``carry`` names further columns that travel with the row, so nothing has to be joined afterwards.
+    """
+    keys = [*keys, *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
@@ -48,7 +54,7 @@ def batch_predict(
                 raise ValueError(f"{len(prompts)} prompts gave {len(texts)} predictions")
             yield batch[keys].assign(prediction=[t.strip() for t in texts], error=None)
 
-    return df.select(*keys, prompt).mapInPandas(run, _schema(df, keys))
+    return df.select(*dict.fromkeys([*keys, prompt])).mapInPandas(run, _schema(df, keys))
 
 
 def endpoint_predict(
@@ -58,6 +64,7 @@ def endpoint_predict(
     make_client: Callable[[], CallEndpoint],
     max_workers: int = 10,
     pause: float = 0.25,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Call a remote endpoint row by row from ``max_workers`` tasks at most.
 
@@ -65,7 +72,7 @@ def endpoint_predict(
     task pauses after every call. A retried task repeats its calls, so write the result once
     (see ``predict_once``) before using it.
     """
-    keys = list(keys)
+    dealt_by, keys = list(keys), [*keys, *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make_client()
@@ -82,7 +89,7 @@ def endpoint_predict(
                     time.sleep(pause)
             yield batch[keys].assign(prediction=texts, error=pd.Series(errors, dtype=object).values)
 
-    spread = df.select(*keys, prompt).repartition(max_workers, *keys)
+    spread = df.select(*dict.fromkeys([*keys, prompt])).repartition(max_workers, *dealt_by)
     return spread.mapInPandas(run, _schema(df, keys))
 
 
@@ -114,8 +121,17 @@ def predict_in_waves(
 
 
 def align(samples: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach predictions to their samples by key."""
-    return samples.join(predictions, list(keys))
+    """Attach predictions to their samples by key, which may be null.
+
+    Every sample stays, with a null prediction if it has none. Two predictions for one key are an error.
+    """
+    keys = list(keys)
+    values = [c for c in predictions.columns if c not in keys]
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two predictions for one key")).cast("boolean"))
+    unique = predictions.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(one.alias("_two"), *[F.first(c).alias(c) for c in values])
+    same = reduce(lambda a, b: a & b, [samples[k].eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = samples.join(unique, same, "left").where(F.col("_two").isNull())
+    return joined.select(*[samples[c] for c in samples.columns], *values)
 
 
 def failure_report(predictions: DataFrame, group: str) -> DataFrame:

@@ -73,10 +73,12 @@ def embed_and_match(
     make_embedder,
     prediction: str = "prediction",
     reference: str = "reference",
+    batch_size: int = 32,
 ) -> DataFrame:
     """Embed both texts with a user function (list of texts to list of matrices) and match them.
 
-    Embeddings live only inside the task; just three numbers per pair leave it.
+    The embedder gets ``batch_size`` texts of each side at a time, and their matrices are released
+    before the next ones; just three numbers per pair leave the task.
     """
     keys = list(keys)
     source = df.select(*keys, F.col(prediction).alias("_p"), F.col(reference).alias("_r"))
@@ -85,9 +87,11 @@ def embed_and_match(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = make_embedder()
         for batch in batches:
-            left = embed(batch["_p"].fillna("").tolist())
-            right = embed(batch["_r"].fillna("").tolist())
-            rows = [best_matches(a, b) for a, b in zip(left, right)]
+            texts = batch["_p"].fillna("").tolist(), batch["_r"].fillna("").tolist()
+            rows = []
+            for at in range(0, len(batch), batch_size):
+                left, right = (embed(side[at : at + batch_size]) for side in texts)
+                rows += [best_matches(a, b) for a, b in zip(left, right)]
             scores = pd.DataFrame(rows, columns=["bert_precision", "bert_recall", "bert_f1"], dtype="float64")
             yield pd.concat([batch[keys].reset_index(drop=True), scores], axis=1)
 

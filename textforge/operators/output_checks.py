@@ -7,7 +7,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textforge.functions.ngrams import words
 from textforge.functions.text import is_blank
 
 # Section heads of an answer, in their order.
@@ -15,14 +14,9 @@ SECTION_MARKERS = ("Certainly!", "[ INGREDIENTS ]", "[ DIRECTIONS ]")
 
 
 def sections_in_order(text: Column, markers: Sequence[str] = SECTION_MARKERS) -> Column:
-    """All section heads are there, each after the one before."""
-    tests = [F.instr(text, markers[0]) > 0]
-    for earlier, later in zip(markers, markers[1:]):
-        tests.append(F.instr(text, later) > F.instr(text, earlier))
-    ok = tests[0]
-    for test in tests[1:]:
-        ok = ok & test
-    return F.coalesce(ok, F.lit(False))
+    """All section heads are there, each after the one before: one ordered pattern over the text."""
+    pattern = "(?s)" + ".*?".join("".join(c if c.isalnum() or c == " " else "\\" + c for c in m) for m in markers)
+    return F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False))
 
 
 def output_report(
@@ -41,7 +35,7 @@ def output_report(
         sections_in_order(F.col(text), markers).cast("int").alias("ok"),
         F.coalesce(is_blank(F.col(text)), F.lit(True)).cast("int").alias("empty"),
         F.length(F.coalesce(text, F.lit(""))).alias("chars"),
-        F.size(words(F.col(text))).alias("n_words"),
+        F.coalesce(F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+")), F.lit(0)).alias("n_words"),
     )
     quantile = F.percentile if exact_quantiles else (lambda c, p: F.percentile_approx(c, p, 10_000))
     return measured.groupBy(*group).agg(

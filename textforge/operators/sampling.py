@@ -1,8 +1,9 @@
 """Seeded subsets, exact splits, ranks and reports.
 
-The order is the seeded hash of the row key (which has to be unique). Picking the k smallest
-never sorts the table: counts per hash prefix narrow the k-th position down to one small
-bucket, and the table is then filtered by comparing with that one value.
+The order is the seeded hash of the row key, then the key, then the hash of the whole row; a null key is a
+key. Picking the k smallest never sorts the table: counts per hash prefix narrow the k-th position down to
+one hash, for every k in the same way, and the table is then filtered by comparing with it. Rows that
+are equal in all of this are interchangeable, so of those only as many are taken as are wanted.
 """
 
 from __future__ import annotations
@@ -21,77 +22,98 @@ from textforge.options import SampleCount
 
 CUT_DIGITS = 3  # at most 4,096 counts reach the driver per narrowing step
 RANK_DIGITS = 4  # 65,536 buckets to rank in
-TOP_K_LIMIT = 1_000  # up to here a distributed top-k of whole rows is one job and one small task
-FINE_BUCKET = 10_000  # a bucket of this size is ordered directly
 
 
 @dataclass(frozen=True)
 class Cut:
-    """The k-th smallest (hash, key); ``everything`` when k reaches the row count."""
+    """The k-th smallest hash: how many rows lie below it, and how many of those with it are wanted."""
 
     total: int
     hashed: str = ""
-    key: str = ""
+    tied: int = 0
+    wanted: int = 0
     everything: bool = False
     nothing: bool = False
 
-    def keeps(self, hashed: Column, key: Column) -> Column:
-        if self.everything or self.nothing:
-            return F.lit(self.everything)
-        tied = (hashed == self.hashed) & (key.cast("string") <= self.key)
-        return (hashed < self.hashed) | tied
+    @property
+    def whole(self) -> bool:
+        """All rows with the cut's hash are wanted, so comparing hashes is enough."""
+        return self.everything or self.nothing or self.tied == self.wanted
+
+    def keeps(self, hashed: Column) -> Column:
+        """Rows up to the cut; those with its hash are included."""
+        return F.lit(self.everything) if self.everything or self.nothing else hashed <= self.hashed
+
+
+def row_hash(key: Column, seed: int) -> Column:
+    """The seeded hash of a key that may be null."""
+    return F.coalesce(seeded_hash(key, seed), seeded_hash(F.lit("\0null"), seed))
 
 
 def find_cut(df: DataFrame, key: str, seed: int, k: int | None = None, fraction: float | None = None) -> Cut:
-    """Locate the k-th smallest hash; ``fraction`` asks for ``ceil(fraction * rows)``."""
-    hashed = df.select(
-        seeded_hash(F.col(key), seed).alias("h"), F.col(key).cast("string").alias("k")
-    )
+    """Locate the k-th smallest hash; ``fraction`` asks for ``ceil(fraction * rows)``.
+
+    Every step counts rows per next digits of the hash below the prefix found so far, until one hash
+    is left: three steps for any table whose hashes differ in their first nine digits.
+    """
+    hashed = df.select(row_hash(F.col(key), seed).alias("h"))
     prefix, total, want = "", None, k
-    while True:
+    while len(prefix) < HEX_DIGITS:
         inside = hashed.where(F.col("h").startswith(prefix)) if prefix else hashed
         counted = (
             inside.groupBy(bucket_of(F.col("h"), CUT_DIGITS, len(prefix)).alias("b"))
-            .count()
+            .agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
             .collect()
         )
-        counts = sorted((row["b"], row["count"]) for row in counted)
+        counts = sorted((r["b"], r["n"], r["low"], r["high"]) for r in counted)
         if total is None:
-            total = sum(n for _, n in counts)
+            total = sum(n for _, n, _, _ in counts)
             want = math.ceil(fraction * total) if fraction is not None else k
             if want >= total:
                 return Cut(total, everything=True)
             if want <= 0:
                 return Cut(total, nothing=True)
-        for bucket, n in counts:
+        for bucket, n, low, high in counts:
             if want <= n:
                 prefix += bucket
                 break
             want -= n
-        if n <= FINE_BUCKET or len(prefix) >= HEX_DIGITS:
-            break
-    last = (
-        hashed.where(F.col("h").startswith(prefix))
-        .orderBy("h", "k")
-        .limit(want)
-        .agg(F.max(F.struct("h", "k")).alias("m"))
-        .first()["m"]
-    )
-    return Cut(total, last["h"], last["k"])
+        if low == high:
+            return Cut(total, low, n, want)
+    return Cut(total, prefix, n, want)
 
 
 def select_subset(df: DataFrame, n: SampleCount, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all of them if there are fewer), the same for every partitioning."""
+    """Exactly ``n`` rows (all of them if there are fewer), the same for every partitioning.
+
+    Keys may repeat or be null. Asking for more rows than there are gives a warning.
+    """
+    cut = subset_cut(df, n, key, seed)
+    return df if cut is None else take_cut(df, cut, key, seed)
+
+
+def subset_cut(df: DataFrame, n: SampleCount, key: str, seed: int = 42) -> Cut | None:
+    """Where ``n`` rows end; None if all are wanted."""
     if n is None or n == "all":
-        return df
-    n = int(n)
-    hashed = seeded_hash(F.col(key), seed)
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(hashed, F.col(key).cast("string")).limit(n)
-    cut = find_cut(df, key, seed, k=n)
-    if n > cut.total:
+        return None
+    cut = find_cut(df, key, seed, k=int(n))
+    if int(n) > cut.total:
         warnings.warn(f"{n} samples requested, {cut.total} available; using all of them")
-    return df.where(cut.keeps(hashed, F.col(key)))
+    return cut
+
+
+def take_cut(df: DataFrame, cut: Cut, key: str, seed: int) -> DataFrame:
+    """The rows up to the cut, exactly as many as it wants of those that tie with it."""
+    hashed = row_hash(F.col(key), seed)
+    if cut.whole:
+        return df.where(cut.keeps(hashed))
+    # Only rows with one key (or equal hashes) tie; Spark cuts them to the limit inside tasks.
+    ties = df.where(hashed == cut.hashed).orderBy(F.xxhash64(*df.columns), *_sortable(df)).limit(cut.wanted)
+    return df.where(hashed < cut.hashed).unionByName(ties)
+
+
+def _sortable(df: DataFrame) -> list[Column]:
+    return [F.to_json(F.struct(*df.columns))]
 
 
 def present_splits(df: DataFrame, names: Sequence[str], split: str = "split") -> set[str]:
@@ -125,7 +147,9 @@ def split_validation(
             return df.withColumn(split, renamed)
     is_train = F.col(split) == "train"
     cut = find_cut(df.where(is_train), key, seed, fraction=val_size)
-    chosen = is_train & cut.keeps(seeded_hash(F.col(key), seed), F.col(key))
+    if not cut.whole:
+        raise ValueError(f"{key} must be unique: {cut.tied} rows share the key at the border of the validation split")
+    chosen = is_train & cut.keeps(row_hash(F.col(key), seed))
     return df.withColumn(split, F.when(chosen, F.lit("validation")).otherwise(F.col(split)))
 
 
@@ -145,23 +169,17 @@ def first_n(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
 def first_n_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int, salts: int = 64
 ) -> DataFrame:
-    """The first ``n`` rows of every group.
+    """The first ``n`` rows of every group; rows with equal ``order`` follow by the hash of the row.
 
-    Spark drops rows beyond ``n`` before the shuffle when ``n`` is small. For larger ``n`` the
-    groups are first cut within salted parts, so a group holding much of the table is sorted by
-    many tasks.
+    Groups are cut within salted parts first, so a group holding much of the table is sorted by many
+    tasks. The second step sees at most ``salts * n`` rows of a group.
     """
-    rank = "_rank"
-    if n > 1000:
-        salted = W.partitionBy(*groups, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-            .withColumn(rank, F.row_number().over(salted))
-            .where(F.col(rank) <= n)
-            .drop("_salt", rank)
-        )
-    whole = W.partitionBy(*groups).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n).drop(rank)
+    rank, total = "_rank", [*order, F.xxhash64(*df.columns)]
+    salted = W.partitionBy(*groups, "_salt").orderBy(*total)
+    whole = W.partitionBy(*groups).orderBy(*total)
+    parts = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    parts = parts.withColumn(rank, F.row_number().over(salted)).where(F.col(rank) <= n).drop("_salt", rank)
+    return parts.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n).drop(rank)
 
 
 def with_ordinal(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.functions.text import is_blank
+from textforge.options import FieldMap
 
 # Required columns and the instruction markers.
 REQUIRED = ("title", "ingredients", "directions", "prompt")
@@ -17,6 +18,12 @@ MARKER_COLUMN = "prompt"
 MARKERS = ("[INST]", "[/INST]")
 
 
+def required_columns(fields: FieldMap) -> tuple[str, ...]:
+    """The required columns under a field map."""
+    roles = {"title": fields.title, "ingredients": fields.ingredients, "directions": fields.output}
+    return tuple(roles.get(c, c) for c in REQUIRED)
+
+
 def valid(
     df: DataFrame,
     required: Sequence[str] = REQUIRED,

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from textforge.functions.templates import render_messages
 from textforge.operators.chat import build_messages, reference_column
-from textforge.operators.inference import align, batch_predict, endpoint_predict, predict_once
+from textforge.operators.inference import batch_predict, endpoint_predict, predict_in_waves, predict_once
 from textforge.operators.matching import embed_and_match, match_corpus
 from textforge.operators.rouge import corpus_scores, rouge_scores
+from textforge.operators.sampling import first_n
 from textforge.options import FieldMap
 from textforge.registry import get_model_for_path
-from textforge.sources.records import append_result, prediction_records, write_json_lines
+from textforge.sources.records import MATCH_FIELDS, append_result, prediction_records, write_json_lines
 
 
 @dataclass
@@ -48,40 +49,50 @@ def evaluate_model(
     pause: float = 0.1,
     results_path: str | None = None,
     records_path: str | None = None,
+    num_samples: int | None = None,
+    base_model: str | None = None,
+    adapter_id: str | None = None,
+    answers_path: str | None = None,
 ) -> Evaluation:
-    """Score one model on samples.
+    """Score one model on samples (the first ``num_samples`` by key, if given).
 
     Give ``make_predict`` for a batched model or ``make_client`` for a remote endpoint; an
-    embedder adds embedding-match scores. Model calls are written once and read from there.
+    embedder adds embedding-match scores. The columns of a sample travel with it through the model,
+    and answers and scores are written once each and read from there. With ``answers_path`` the answers
+    are stored there in waves, and a later call goes on after the last complete one. For a tuned model
+    give its base and its adapter: they are stored as its identity.
     """
-    asked = prompts(samples, model_path, fields)
     if (make_predict is None) == (make_client is None):
         raise ValueError("give either make_predict or make_client")
-    if make_predict is not None:
-        made = batch_predict(asked, [key], "text_prompt", make_predict, batch_size)
+    samples = first_n(samples, num_samples, [key])
+    asked = prompts(samples, model_path, fields).withColumn("reference", reference_column(samples, fields))
+    carry = [c for c in (*samples.columns, "reference") if c != key]
+
+    def ask(rows: DataFrame) -> DataFrame:
+        if make_predict is not None:
+            return batch_predict(rows, [key], "text_prompt", make_predict, batch_size, carry)
+        return endpoint_predict(rows, [key], "messages", make_client, max_workers, pause, carry)
+
+    answered = predict_in_waves(asked, [key], ask, answers_path) if answers_path else predict_once(ask(asked))
+    scored = rouge_scores(answered, [key, "prediction", "reference"])
+    measured = [c for c in scored.columns if c not in ("prediction", "reference")]
+    if make_embedder is None:
+        per_sample = predict_once(scored.select(measured), "scores")
+        metrics = corpus_scores(per_sample, ["rouge1", "rouge2", "rougeL"])
     else:
-        made = endpoint_predict(asked, [key], "messages", make_client, max_workers, pause)
-    predictions = predict_once(made)
-    aligned = align(samples, predictions, [key]).withColumn(
-        "reference", reference_column(samples, fields)
-    )
-    per_sample = rouge_scores(aligned, [key])
-    metrics = corpus_scores(per_sample, ["rouge1", "rouge2", "rougeL"])
-    if make_embedder is not None:
-        # Embedding is a model call too, so its three numbers per sample are written once.
-        matched = predict_once(embed_and_match(aligned, [key], make_embedder), "match-scores")
-        per_sample = per_sample.join(matched, key)
+        per_sample = predict_once(embed_and_match(scored, measured, make_embedder), "scores")
         metrics = per_sample.agg(
             *[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL")],
             *[F.avg(m).alias(m) for m in ("bert_precision", "bert_recall", "bert_f1")],
             F.count(F.lit(1)).alias("num_samples"),
         )
     if results_path:
-        append_result(metrics, results_path, {"model_name": model_path})
+        tuned = {"base_model": base_model, "adapter_id": adapter_id or model_path}
+        append_result(metrics, results_path, tuned if base_model else {"model_name": model_path})
     if records_path:
-        rows = aligned if make_embedder is None else aligned.join(matched, key)
+        rows = answered if make_embedder is None else answered.join(per_sample.select(key, *MATCH_FIELDS), key)
         write_json_lines(prediction_records(rows, fields, make_embedder is not None), records_path)
-    return Evaluation(metrics, per_sample, predictions)
+    return Evaluation(metrics, per_sample, answered.select(key, "prediction", "error"))
 
 
 __all__ = ["Evaluation", "evaluate_model", "match_corpus", "prompts"]

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textforge.operators.batching import pad_batches
-from textforge.operators.chat import apply_field_map, with_training_text
-from textforge.operators.sampling import present_splits, select_subset, split_validation
+from textforge.operators.chat import with_training_text
+from textforge.operators.sampling import find_cut, row_hash, subset_cut, take_cut
 from textforge.operators.tokens import tokenize_native, tokenize_with_model
-from textforge.operators.validity import filter_audit, filter_valid
-from textforge.options import PrepOptions
+from textforge.operators.validity import filter_valid, required_columns, valid
+from textforge.options import PrepOptions, SampleCount
 from textforge.registry import get_model_for_path
 from textforge.session import materialise
 
@@ -26,24 +26,46 @@ class PreparedSplits:
 
 
 def prepare_splits(samples: DataFrame, options: PrepOptions, key: str = "sample_id") -> PreparedSplits:
-    """Filter, split and subset. The order matters: sizes are those of valid rows."""
-    samples = apply_field_map(samples, options.fields)
-    kept = filter_valid(samples, options.filter_invalid)
-    split = split_validation(kept, key, options.val_size, options.seed)
-
-    def part(name: str, count) -> DataFrame:
-        return select_subset(split.where(F.col("split") == name), count, key, options.seed)
-
-    test = None
-    if present_splits(kept, ["test"]):
-        test = part("test", options.test)
-    elif options.require_test:
+    """Filter, split and subset. The order matters: sizes are those of valid rows.
+
+    The texts are read once to write a narrow table of key, split and validity; the audit, the splits
+    that exist and all cuts come from it. Each split is then one scan of the samples that compares hashes.
+    """
+    rules = {"required": required_columns(options.fields)}
+    narrow = materialise(samples.select(key, "split", valid(samples, **rules).alias("_valid")), "split-keys")
+    kept = narrow.where("_valid") if options.filter_invalid else narrow
+    # One row per split name.
+    present = {r["split"] for r in kept.select("split").distinct().collect()}
+    border = None
+    if not present & {"validation", "val"}:
+        border = find_cut(kept.where("split = 'train'"), key, options.seed, fraction=options.val_size)
+        if not border.whole:
+            raise ValueError(f"{key} must be unique: {border.tied} rows share the key at the border of the validation split")
+    if "test" not in present and options.require_test:
         raise KeyError("the dataset has no test split")
+
+    def named(df: DataFrame) -> DataFrame:
+        name = F.col("split")
+        if border is not None:
+            moved = (name == "train") & border.keeps(row_hash(F.col(key), options.seed))
+            return df.withColumn("split", F.when(moved, F.lit("validation")).otherwise(name))
+        if "validation" not in present:
+            return df.withColumn("split", F.when(name == "val", F.lit("validation")).otherwise(name))
+        return df
+
+    keys, rows = named(kept), named(filter_valid(samples, options.filter_invalid, **rules))
+
+    def part(name: str, count: SampleCount) -> DataFrame:
+        cut = subset_cut(keys.where(F.col("split") == name), count, key, options.seed)
+        chosen = rows.where(F.col("split") == name)
+        return chosen if cut is None else take_cut(chosen, cut, key, options.seed)
+
+    counts = narrow.groupBy("split").agg(F.count(F.lit(1)).alias("n_before"), F.count_if("_valid").alias("n_after"))
     return PreparedSplits(
         train=part("train", options.train),
         validation=part("validation", options.validation),
-        test=test,
-        audit=filter_audit(samples),
+        test=part("test", options.test) if "test" in present else None,
+        audit=counts.withColumn("n_removed", F.col("n_before") - F.col("n_after")),
     )
 
 
@@ -58,7 +80,7 @@ def training_tokens(
     Native expressions up to the text; a serialised tokeniser adds one Arrow stage.
     """
     model = get_model_for_path(options.base_model)
-    rendered = with_training_text(samples, model).select(key, "text_prompt", "text_full")
+    rendered = with_training_text(samples, model, options.fields).select(key, "text_prompt", "text_full")
     if tokenizer_json is None:
         return tokenize_native(rendered, max_length=options.max_length)
     return tokenize_with_model(rendered, tokenizer_json, max_length=options.max_length)

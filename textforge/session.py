@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="textforge-")
     spark.conf.set(CHECKPOINT_CONF, folder)
@@ -59,11 +59,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Drop what ``materialise`` or ``fresh_path`` wrote, once it is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of too few splits to all cores before row-local work that is heavy on CPU.
+    """Give a table of one file to all cores before row-local work that is heavy on CPU.
 
-    A file with one row group is read by one task. Rows are then hashed by their unique key to
-    as many partitions as there are cores; a table with enough splits is left as it is.
+    A file with one row group is read by one task. Its rows are hashed by their unique key to as many
+    partitions as there are cores; a table of several files is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if len(df.inputFiles()) > 1 else df.repartition(cores, *keys)

@@ -14,6 +14,10 @@ from textforge.options import FieldMap
 SAMPLE_FIELDS = ("title", "NER", "ingredients", "directions")
 MATCH_FIELDS = ("bert_precision", "bert_recall", "bert_f1")
 PHASES = ("benchmarks", "domain", "operational", "final")
+PHASE_SCHEMA = (
+    "timestamp string, model_path string, model_type string, base_model string, duration_minutes double, "
+    "section string, metric string, value double, run_id string, phase string"
+)
 
 
 def prediction_records(
@@ -58,7 +62,7 @@ def append_phase(
     """Store everything known after one evaluation phase under its run and phase.
 
     ``results`` has columns ``section, metric, value``. The base model is recorded for adapter
-    runs only.
+    runs only. Storing a phase again replaces exactly that phase of that run.
     """
     if phase not in PHASES:
         raise ValueError(f"unknown phase {phase!r}")
@@ -74,8 +78,8 @@ def append_phase(
         "section",
         "metric",
         "value",
-    ).coalesce(1).write.mode("append").partitionBy("run_id", "phase").parquet(path)
+    ).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "phase").parquet(path)
 
 
 def read_phases(spark: SparkSession, path: str, phases: Sequence[str] = PHASES) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("phase").isin(*phases))
+    return spark.read.schema(PHASE_SCHEMA).parquet(path).where(F.col("phase").isin(*phases))

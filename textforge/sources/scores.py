@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,16 +102,23 @@ def is_tuned(records: DataFrame) -> Column:
     return tuned
 
 
-def normalise_scores(records: DataFrame, variant: Column | None = None) -> DataFrame:
-    """``model, variant, metric, value, num_samples``; the variant follows the identity keys."""
+def normalise_scores(records: DataFrame, bases: Mapping[str, str] | None = None, variant: Column | None = None) -> DataFrame:
+    """``model, variant, base_model, metric, value, num_samples``.
+
+    ``bases`` maps tuned models to their base models. It decides for the records of these models, which
+    need not name a base themselves (benchmark records do not); others follow their identity keys.
+    """
     records = with_benchmark_columns(records)
     model = F.coalesce(*[F.col(k) for k in IDENTITY_KEYS if k in records.columns])
+    given = F.element_at(F.create_map(*[F.lit(x) for pair in bases.items() for x in pair]), model) if bases else F.lit(None).cast("string")
+    tuned = is_tuned(records) | given.isNotNull()
     if variant is None:
-        variant = F.when(is_tuned(records), F.lit("finetuned")).otherwise(F.lit("base"))
+        variant = F.when(tuned, F.lit("finetuned")).otherwise(F.lit("base"))
+    own = F.when(tuned, F.coalesce(given, F.col("base_model") if "base_model" in records.columns else F.lit(None)))
     wide = records.select(
-        model.alias("model"), variant.alias("variant"), "num_samples", *[F.col(m) for m in METRICS]
+        model.alias("model"), variant.alias("variant"), own.cast("string").alias("base_model"), "num_samples", *[F.col(m) for m in METRICS]
     )
-    return to_long(wide, ["model", "variant", "num_samples"], METRICS)
+    return to_long(wide, ["model", "variant", "base_model", "num_samples"], METRICS)
 
 
 def read_training_log(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

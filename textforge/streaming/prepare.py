@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from textforge.operators.chat import apply_field_map
-from textforge.operators.validity import filter_valid
+from textforge.operators.validity import filter_valid, required_columns
 from textforge.options import PrepOptions
 from textforge.plans.prepare import training_tokens
 
 
 def token_stream(samples: DataFrame, options: PrepOptions, key: str = "sample_id") -> DataFrame:
-    mapped = apply_field_map(samples, options.fields)
-    return training_tokens(filter_valid(mapped, options.filter_invalid), options, key)
+    kept = filter_valid(samples, options.filter_invalid, required=required_columns(options.fields))
+    return training_tokens(kept, options, key)
 
 
 def append_tokens(tokens: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -25,6 +25,19 @@ def _long(spark: SparkSession, folder: str) -> DataFrame:
     return to_long(_model_scores(spark, folder), ["model", "variant"], METRICS)
 
 
+def _families(spark: SparkSession, folder: str) -> DataFrame:
+    """Two base models and a tuned one of each; the second one scores below its base."""
+    scores = _long(spark, folder)
+    row = lambda model, name, variant, base: F.when(F.col("model") == model, F.struct(F.lit(name).alias("model"), F.lit(variant).alias("variant"), F.lit(base).cast("string").alias("base_model")))
+    roles = F.array(
+        row("org/Qwen-echo", "org/Qwen-echo", "base", None),
+        row("org/gemma-tail", "org/gemma-tail", "base", None),
+        row("org/Llama-lead", "org/Qwen-tuned", "finetuned", "org/Qwen-echo"),
+        row("org/Qwen-echo", "org/gemma-tuned", "finetuned", "org/gemma-tail"),
+    )
+    return scores.select(F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"), "metric", "value").select("r.*", "metric", "value")
+
+
 def score_union(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap scores and length figures, from tables with different columns, in one long table."""
     overlap = _model_scores(spark, folder).select("model", *METRICS)
@@ -36,13 +49,13 @@ def score_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relative_change(spark: SparkSession, folder: str) -> DataFrame:
-    changed = change(_long(spark, folder))
+    changed = change(_families(spark, folder))
     numbers = ("base", "finetuned", "relative_pct", "points", "retention")
     return changed.select(*[F.round(c, 5).alias(c) if c in numbers else F.col(c) for c in changed.columns])
 
 
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summary(_long(spark, folder))
+    return summary(_families(spark, folder))
 
 
 def model_ranking(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,16 +69,24 @@ def best_system_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_results(spark: SparkSession, folder: str) -> DataFrame:
-    """One result file per model, written with its identity, read back and normalised."""
+    """One result file per model, written with its identity, read back and normalised.
+
+    The third model's record names no base; the caller's map does.
+    """
     path = fresh_path(spark, "results")
     scores = _model_scores(spark, folder)
-    append_result(scores.where("variant = 'base'").drop("model", "variant"), path, {"model_name": "org/Qwen-echo"})
-    append_result(
-        scores.where("variant = 'finetuned'").drop("model", "variant"),
-        path,
-        {"base_model": "org/Qwen-echo", "adapter_id": "org/Llama-lead"},
-    )
-    stored = normalise_scores(read_score_files(spark, [path]))
+    identities = {
+        "org/Qwen-echo": {"model_name": "org/Qwen-echo"},
+        "org/Llama-lead": {"base_model": "org/Qwen-echo", "adapter_id": "org/Llama-lead"},
+        "org/gemma-tail": {"model_path": "org/gemma-tail", "model_type": "full"},
+    }
+    for model, identity in identities.items():
+        own = scores.where(F.col("model") == model).drop("model", "variant")
+        if model == "org/gemma-tail":
+            accuracy = F.struct(F.col("rouge1").alias("accuracy"), F.col("num_samples").alias("samples"))
+            own = own.withColumn("benchmarks", F.struct(accuracy.alias("mmlu")))
+        append_result(own, path, identity)
+    stored = normalise_scores(read_score_files(spark, [path]), {"org/gemma-tail": "org/Qwen-echo"})
     return stored.withColumn("value", F.round("value", 6))
 
 
@@ -104,31 +125,37 @@ long_scores AS (
     ELSE 'other' END AS variant
   FROM (SELECT model, unnest(['rouge1', 'rouge2', 'rougeL']) AS metric, unnest([rouge1, rouge2, rougeL]) AS value
     FROM per_model)),
-both_variants AS (
-  SELECT metric, max(value) FILTER (WHERE variant = 'base') AS b, max(value) FILTER (WHERE variant = 'finetuned') AS t
-  FROM long_scores GROUP BY metric)"""
+families AS (
+  SELECT f.model, f.base_model, t.metric, b.value AS b, t.value AS t
+  FROM (VALUES ('org/Qwen-tuned', 'org/Qwen-echo', 'org/Llama-lead'), ('org/gemma-tuned', 'org/gemma-tail', 'org/Qwen-echo'))
+    AS f(model, base_model, source)
+  JOIN long_scores t ON t.model = f.source JOIN long_scores b ON b.model = f.base_model AND b.metric = t.metric)"""
 
 ORACLES = {
     "score_union": f"""WITH {_LONG} SELECT model, metric, round(value, 6) AS value FROM long_scores
       UNION ALL SELECT model, 'mean_chars', round(avg(length(prediction)), 6) FROM predictions GROUP BY model""",
-    "relative_change": f"""WITH {_LONG} SELECT metric, round(b, 5) AS base, round(t, 5) AS finetuned,
+    "relative_change": f"""WITH {_LONG} SELECT model, base_model, metric, round(b, 5) AS base, round(t, 5) AS finetuned,
       round((t - b) / b * 100, 5) AS relative_pct, round((t - b) * 100, 5) AS points, round(t / b, 5) AS retention,
-      CASE WHEN t >= b THEN 'positive' ELSE 'negative' END AS direction FROM both_variants""",
-    "score_summary": f"""WITH {_LONG} SELECT
+      CASE WHEN t >= b THEN 'positive' ELSE 'negative' END AS direction FROM families""",
+    "score_summary": f"""WITH {_LONG} SELECT model,
       (list_position(['rouge1', 'rouge2', 'rougeL'], metric) - 1)::INTEGER AS position,
       CASE metric WHEN 'rouge1' THEN 'ROUGE-1' WHEN 'rouge2' THEN 'ROUGE-2' ELSE 'ROUGE-L' END AS metric,
       printf('%.1f%%', b * 100) AS base_model, printf('%.1f%%', t * 100) AS fine_tuned,
-      '+' || printf('%.0f%%', (t - b) / b * 100) AS change,
-      CASE metric WHEN 'rouge1' THEN 'Major improvement in lexical accuracy'
-        WHEN 'rouge2' THEN 'Dramatically better phrase matching' ELSE 'Much better sequence alignment' END AS interpretation
-      FROM both_variants""",
+      CASE WHEN t >= b THEN '+' ELSE '' END || printf('%.0f%%', (t - b) / b * 100) AS change,
+      CASE WHEN (t - b) / b * 100 >= 1 THEN 'better than its base' WHEN (t - b) / b * 100 <= -1 THEN 'worse than its base'
+        ELSE 'about the same' END AS interpretation
+      FROM families""",
     "model_ranking": f"""WITH {_LONG} SELECT model, round(rouge1, 6) AS rouge1,
       (rank() OVER (ORDER BY rouge1 DESC))::INTEGER AS rank, model IN ('org/Qwen-echo', 'org/Llama-lead') AS supports_system
       FROM per_model""",
     "best_model": f"""WITH {_LONG} SELECT model, round(rouge1, 6) AS rouge1 FROM per_model
       WHERE model IN ('org/Qwen-echo', 'org/Llama-lead') ORDER BY rouge1 DESC, model LIMIT 1""",
-    "stored_results": f"""WITH {_LONG} SELECT model, variant, num_samples, metric, round(value, 6) AS value
-      FROM long_scores JOIN (SELECT model, num_samples FROM per_model) USING (model) WHERE variant <> 'other'""",
+    "stored_results": f"""WITH {_LONG}, sized AS (
+        SELECT model, num_samples, metric, value FROM long_scores JOIN (SELECT model, num_samples FROM per_model) USING (model)
+        UNION ALL SELECT model, num_samples, 'mmlu', rouge1 FROM per_model WHERE model = 'org/gemma-tail')
+      SELECT model, CASE model WHEN 'org/Qwen-echo' THEN 'base' ELSE 'finetuned' END AS variant,
+        CASE model WHEN 'org/Qwen-echo' THEN NULL ELSE 'org/Qwen-echo' END AS base_model, num_samples, metric, round(value, 6) AS value
+      FROM sized""",
     "stored_phases": f"""WITH {_LONG} SELECT 'run-1' AS run_id, phase, 'org/Qwen' AS base_model,
       CASE phase WHEN 'final' THEN 1.5::DOUBLE END AS duration_minutes, model AS section, metric, round(value, 6) AS value
       FROM long_scores JOIN (SELECT unnest(['domain', 'final']) AS phase) ON phase = 'final' OR metric = 'rouge1'""",

@@ -133,20 +133,19 @@ TRAINING_TEXT = f"""texts AS (
 
 
 def model_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Three stand-in models over all pairs: repeat the request, or give a part of the reply."""
+    """Three stand-in models over all pairs: repeat the request, drop every third word of the reply, or turn it round."""
     reply_words = F.split("reply", " ")
-    n = F.size(reply_words)
     options = F.array(
         F.struct(F.lit("org/Qwen-echo").alias("model"), F.lit("base").alias("variant"), F.col("request").alias("prediction")),
         F.struct(
             F.lit("org/Llama-lead").alias("model"),
             F.lit("finetuned").alias("variant"),
-            F.concat_ws(" ", F.slice(reply_words, 1, 40)).alias("prediction"),
+            F.concat_ws(" ", F.filter(reply_words, lambda w, i: (i + 1) % 3 != 0)).alias("prediction"),
         ),
         F.struct(
             F.lit("org/gemma-tail").alias("model"),
             F.lit("other").alias("variant"),
-            F.concat_ws(" ", F.slice(reply_words, F.lit(41), F.greatest(n - 40, F.lit(0)))).alias("prediction"),
+            F.concat_ws(" ", F.reverse(reply_words)).alias("prediction"),
         ),
     )
     return (
@@ -161,10 +160,10 @@ predictions AS (
   SELECT conv_id, turn, reply AS reference, 'org/Qwen-echo' AS model, 'base' AS variant, request AS prediction FROM pairs
   UNION ALL
   SELECT conv_id, turn, reply, 'org/Llama-lead', 'finetuned',
-    array_to_string(string_split(reply, ' ')[1:40], ' ') FROM pairs
+    array_to_string(list_filter(string_split(reply, ' '), lambda w, i: i % 3 <> 0), ' ') FROM pairs
   UNION ALL
   SELECT conv_id, turn, reply, 'org/gemma-tail', 'other',
-    array_to_string(string_split(reply, ' ')[41:], ' ') FROM pairs)"""
+    array_to_string(list_reverse(string_split(reply, ' ')), ' ') FROM pairs)"""
 
 
 def words_sql(text: str) -> str:

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from textforge.operators.chat import messages_per_model, reference_column, with_registry, with_training_text
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
-    byte_tokenizer,
     count_tokens,
-    decode_with_model,
     label_summary,
     label_texts,
     token_breakdown,
     token_statistics,
     tokenize_native,
-    tokenize_with_model,
     vocabulary_report,
     vocabulary_sizes,
 )
@@ -116,25 +113,6 @@ def token_stats_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return _stats(count_tokens(keyed), "model")
 
 
-def subword_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rendered = with_training_text(sample_pairs(spark, folder), get_model("qwen"))
-    tokens = tokenize_with_model(
-        rendered.select("sample_id", "text_prompt", "text_full"), byte_tokenizer(), max_length=None
-    )
-    return label_summary(tokens, ["sample_id"]).select("sample_id", "n_tokens", "n_masked", "n_training")
-
-
-def subword_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokenise whole documents and decode the trained part: the answer text comes back."""
-    samples = raw_samples(spark, folder, heavy=True)
-    plain = samples.select(
-        "sample_id", reference_column(samples).alias("text_full"), F.lit("").alias("text_prompt")
-    )
-    model = byte_tokenizer()
-    tokens = tokenize_with_model(plain, model, max_length=None, arrays=["input_ids"])
-    return decode_with_model(tokens, model, "input_ids").select("sample_id", "decoded")
-
-
 def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
     return _padded(training_batches(_pair_tokens(spark, folder)))
 
@@ -197,8 +175,6 @@ QUERIES = {
     "label_texts": masked_and_trained_text,
     "token_stats": token_stats,
     "token_stats_by_model": token_stats_by_model,
-    "subword_tokens": subword_tokens,
-    "subword_round_trip": subword_round_trip,
     "pad_batches": padded_batches,
     "pad_batches_full_only": padded_batches_full_only,
     "vocab_by_group": vocab_by_group,
@@ -297,12 +273,6 @@ ORACLES = {
           {_MODEL_TEXT} || {ANSWER} || '<|im_end|>' || chr(10) AS text_full
         FROM samples CROSS JOIN models),
       {_tokens('texts', 'sample_id, model')}, {_COUNTS.format(keys='sample_id, model')} {_statistics('model')}""",
-    "subword_tokens": f"""WITH {PAIR_SAMPLES}, {TRAINING_TEXT}, sizes AS (
-        SELECT sample_id,
-          strlen(replace(replace(text_full, '<|im_start|>', '*'), '<|im_end|>', '*')) AS n,
-          strlen(replace(replace(text_prompt, '<|im_start|>', '*'), '<|im_end|>', '*')) AS m FROM texts)
-      SELECT sample_id, n::INTEGER AS n_tokens, m::INTEGER AS n_masked, (n - m)::INTEGER AS n_training FROM sizes""",
-    "subword_round_trip": f"WITH {RAW} SELECT sample_id, {ANSWER} AS decoded FROM raw",
     "pad_batches": _padded_sql(4, 42, None, False),
     "pad_batches_full_only": _padded_sql(6, 1, 128, True),
     "vocab_by_group": f"WITH {_VOCAB} SELECT lang, vocab_size FROM vocab",
