@@ -48,12 +48,13 @@ SPECIAL_TOKENS: Mapping[str, int] = {
 PAD_TOKEN = "<|im_end|>"
 PAD_ID = SPECIAL_TOKENS[PAD_TOKEN]
 
-# Turn markers, line breaks, words with the blanks before them, left-over blanks, a lone bracket.
+# Special tokens, line breaks, words with the blanks before them, left-over blanks, a lone bracket.
 # Together they cover every character, so tokens joined give the text back.
 TOKEN_PATTERN = (
-    r"<\|im_start\|>|<\|im_end\|>|\n|[ \t\r\f\x0b]*[^ \t\n\r\f\x0b<]+|[ \t\r\f\x0b]+|<"
+    "|".join(token.replace("|", r"\|") for token in SPECIAL_TOKENS)
+    + r"|\n|[ \t\r\f\x0b]*[^ \t\n\r\f\x0b<]+|[ \t\r\f\x0b]+|<"
 )
-HASH_ID_DIGITS = 7
+HASH_ID_DIGITS = 15  # 60 bits of the hash
 FIRST_HASHED_ID = max(SPECIAL_TOKENS.values()) + 1  # keeps hashed ids clear of the table
 
 
@@ -62,13 +63,10 @@ def split_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 
 def token_id(token: Column) -> Column:
-    """Id of one token: the fixed table for turn markers, else a stable hash of its text."""
-    hashed = F.conv(F.substring(F.md5(token), 1, HASH_ID_DIGITS), 16, 10).cast("int") + FIRST_HASHED_ID
-    return (
-        F.when(token == "<|im_start|>", F.lit(SPECIAL_TOKENS["<|im_start|>"]))
-        .when(token == "<|im_end|>", F.lit(SPECIAL_TOKENS["<|im_end|>"]))
-        .otherwise(hashed)
-    )
+    """Id of one token (BIGINT): the fixed table for special tokens, else a stable 60-bit hash of its text."""
+    hashed = F.conv(F.substring(F.md5(token), 1, HASH_ID_DIGITS), 16, 10).cast("bigint") + FIRST_HASHED_ID
+    special = F.create_map(*[F.lit(x) for pair in SPECIAL_TOKENS.items() for x in pair])
+    return F.coalesce(F.when(token.startswith("<"), F.element_at(special, token)), hashed)
 
 
 def masked_labels(ids: Column, start: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from textforge.operators.sampling import (
     split_validation,
 )
 from textforge.operators.validity import filter_audit, filter_valid
+from textforge.options import PrepOptions
+from textforge.plans.prepare import prepare_splits
 from textforge.registry import config_for_key, config_for_path, is_default_path
 from textforge.session import fresh_path
 from textforge.sources.datasets import load_or_materialise
@@ -40,6 +44,34 @@ def seeded_subset_large(spark: SparkSession, folder: str) -> DataFrame:
     return select_subset(orders, 12_000, "o_orderkey", seed=7)
 
 
+def subset_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly 501 rows of a table whose key repeats."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    chosen = select_subset(items, 501, "l_orderkey", seed=42)
+    return chosen.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def subset_beyond_size(spark: SparkSession, folder: str) -> DataFrame:
+    return select_subset(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), 10_000_000, "c_custkey")
+
+
+def prepared_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Preparation from a configuration: filter, split off validation rows, subsets, test split kept."""
+    config = {"datasets": [{"path": "documents", "val_size": 0.1}], "train_samples": 300, "val_samples": 40, "seed": 7}
+    done = prepare_splits(raw_samples(spark, folder), PrepOptions.from_config(config))
+    parts = [part.select("sample_id", "split") for part in (done.train, done.validation, done.test)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def prepared_without_test(spark: SparkSession, folder: str) -> DataFrame:
+    """The other dialect, on samples that are not filtered, have a ``val`` split and no ``test`` split."""
+    config = {"dataset": {"name": "documents", "splits": {"train": "all", "validation": 25}}}
+    options = replace(PrepOptions.from_config(config), filter_invalid=False, require_test=False)
+    renamed = F.when(F.col("split") == "test", "val").otherwise(F.col("split"))
+    done = prepare_splits(raw_samples(spark, folder).withColumn("split", renamed), options)
+    return done.train.select("sample_id", "split").unionByName(done.validation.select("sample_id", "split"))
+
+
 def train_val_split(spark: SparkSession, folder: str) -> DataFrame:
     kept = filter_valid(raw_samples(spark, folder))
     return split_validation(kept, "sample_id", 0.05, 42).select("sample_id", "split")
@@ -135,6 +167,10 @@ QUERIES = {
     "filter_audit": audit,
     "seeded_subset": seeded_subset,
     "seeded_subset_large": seeded_subset_large,
+    "subset_repeated_keys": subset_repeated_keys,
+    "subset_beyond_size": subset_beyond_size,
+    "prepared_splits": prepared_splits,
+    "prepared_without_test": prepared_without_test,
     "train_val_split": train_val_split,
     "split_report": split_sizes,
     "first_n": first_rows,
@@ -171,6 +207,17 @@ ORACLES = {
       ORDER BY md5('42:' || doc_id), doc_id::VARCHAR LIMIT 200""",
     "seeded_subset_large": """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
       ORDER BY md5('7:' || o_orderkey), o_orderkey::VARCHAR LIMIT 12000""",
+    "subset_repeated_keys": """SELECT l_orderkey, count(*) AS n_rows FROM (
+      SELECT l_orderkey FROM lineitem ORDER BY md5('42:' || l_orderkey) LIMIT 501) GROUP BY l_orderkey""",
+    "subset_beyond_size": "SELECT c_custkey, c_nationkey FROM customer",
+    "prepared_splits": f"""WITH {RAW}, placed AS (
+        SELECT sample_id, split, row_number() OVER (PARTITION BY split ORDER BY md5('7:' || sample_id)) AS place,
+          ceil(0.1 * count(*) OVER (PARTITION BY split)) AS border FROM samples)
+      SELECT sample_id, CASE WHEN split = 'train' AND place <= border THEN 'validation' ELSE split END AS split FROM placed
+      WHERE split = 'test' OR place <= least(border, 40) OR (place > border AND place <= border + 300)""",
+    "prepared_without_test": f"""WITH {RAW} SELECT sample_id, split FROM raw WHERE split = 'train'
+      UNION ALL SELECT sample_id, 'validation' FROM (
+        SELECT sample_id FROM raw WHERE split = 'test' ORDER BY md5('42:' || sample_id) LIMIT 25)""",
     "train_val_split": f"WITH {_SPLIT} SELECT sample_id, split FROM split_samples",
     "split_report": f"""WITH {_SPLIT} SELECT split, count(*) AS n_rows,
       round(count(*) / (SUM(count(*)) OVER ())::DOUBLE * 100, 6) AS pct FROM split_samples GROUP BY split""",

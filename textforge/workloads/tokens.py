@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textforge.operators.chat import messages_per_model, reference_column, with_registry, with_training_text
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
+    SPECIAL_TOKENS,
+    TOKEN_PATTERN,
     count_tokens,
     label_summary,
     label_texts,
@@ -18,7 +20,8 @@ from textforge.operators.tokens import (
     vocabulary_sizes,
 )
 from textforge.operators.validity import filter_valid
-from textforge.plans.prepare import training_batches
+from textforge.options import FieldMap, PrepOptions
+from textforge.plans.prepare import prepare_splits, training_batches, training_tokens
 from textforge.registry import get_model
 from textforge.workloads.relations import (
     ANSWER,
@@ -47,10 +50,10 @@ def _document_tokens(spark: SparkSession, folder: str, max_length: int | None =
     return tokenize_native(rendered.select("sample_id", "split", "text_prompt", "text_full"), max_length=max_length)
 
 
-def _document_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _document_counts(spark: SparkSession, folder: str, max_length: int | None = None) -> DataFrame:
     samples = filter_valid(raw_samples(spark, folder, heavy=True))
     rendered = with_training_text(samples, get_model("qwen"))
-    return count_tokens(rendered.select("sample_id", "split", "text_prompt", "text_full"))
+    return count_tokens(rendered.select("sample_id", "split", "text_prompt", "text_full"), max_length=max_length)
 
 
 def tokenize_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,8 +71,15 @@ def mask_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mapped_training_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of prepared training rows whose input is the title and whose output the list."""
+    options = PrepOptions("documents", base_model="Qwen/x", max_length=None, fields=FieldMap(input="title", output="ingredients"))
+    train = prepare_splits(raw_samples(spark, folder), options).train
+    return training_tokens(train, options).select("sample_id", F.size("input_ids").alias("n_tokens"))
+
+
 def tokenize_truncated(spark: SparkSession, folder: str) -> DataFrame:
-    summed = label_summary(_document_tokens(spark, folder, 512), ["sample_id"])
+    summed = label_summary(_document_counts(spark, folder, 512), ["sample_id"])
     return summed.select("sample_id", "n_tokens", "n_masked", "n_training")
 
 
@@ -82,7 +92,7 @@ def breakdown_first_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return label_summary(_document_tokens(spark, folder), ["sample_id"]).select(
+    return label_summary(_document_counts(spark, folder), ["sample_id"]).select(
         "sample_id",
         "n_tokens",
         "n_masked",
@@ -121,8 +131,7 @@ def padded_batches_full_only(spark: SparkSession, folder: str) -> DataFrame:
     tokens = tokenize_native(
         with_training_text(sample_pairs(spark, folder), get_model("qwen")).select(
             "sample_id", "text_prompt", "text_full"
-        ),
-        max_length=128,
+        )
     )
     return _padded(training_batches(tokens, batch_size=6, seed=1, drop_last=True))
 
@@ -181,9 +190,11 @@ QUERIES = {
     "vocab_share": vocab_share,
     "vocab_extremes": vocab_extremes,
     "vocab_by_model": vocab_by_model,
+    "mapped_training_tokens": mapped_training_tokens,
 }
 
-_PATTERN = r"'<\|im_start\|>|<\|im_end\|>|\n|[ \t\r\f\x0b]*[^ \t\n\r\f\x0b<]+|[ \t\r\f\x0b]+|<'"
+_PATTERN = f"'{TOKEN_PATTERN}'"
+_SPECIAL = " ".join(f"WHEN '{token}' THEN {number}" for token, number in SPECIAL_TOKENS.items())
 
 
 def _tokens(source: str, keys: str, limit: int | None = None) -> str:
@@ -202,8 +213,7 @@ placed AS (
   FROM one),
 tok AS (
   SELECT {keys}, idx, token, begins < plen AS masked,
-    CASE token WHEN '<|im_start|>' THEN 151644 WHEN '<|im_end|>' THEN 151645
-      ELSE ('0x' || substr(md5(token), 1, 7))::INTEGER + 151665 END AS id
+    CASE token {_SPECIAL} ELSE ('0x' || substr(md5(token), 1, 15))::BIGINT + 151665 END AS id
   FROM placed)"""
 
 
@@ -211,8 +221,8 @@ _TOK = f"{PAIR_SAMPLES}, {TRAINING_TEXT}, {_tokens('texts', 'sample_id')}"
 _DOC_TEXT = f"{RAW}, {TRAINING_TEXT}"
 _DOC_TOK = f"{_DOC_TEXT}, {_tokens('texts', 'sample_id, split')}"
 _LABEL = "CASE WHEN masked THEN -100 ELSE id END"
-_BREAKDOWN = f"""SELECT sample_id, idx::INTEGER AS "index", token, id::INTEGER AS input_id, 1::INTEGER AS attention_mask,
-  ({_LABEL})::INTEGER AS label, masked, CASE WHEN masked THEN '[MASKED]' ELSE '[TRAINING]' END AS training FROM tok"""
+_BREAKDOWN = f"""SELECT sample_id, idx::INTEGER AS "index", token, id::BIGINT AS input_id, 1::INTEGER AS attention_mask,
+  ({_LABEL})::BIGINT AS label, masked, CASE WHEN masked THEN '[MASKED]' ELSE '[TRAINING]' END AS training FROM tok"""
 _COUNTS = """counts AS (
   SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE masked) AS m FROM tok GROUP BY {keys})"""
 
@@ -250,7 +260,16 @@ _MODEL_TEXT = (
 )
 _MODELS = "models AS (SELECT unnest(['llama', 'mistral', 'gemma', 'qwen', 'olmo']) AS model)"
 
+# Title as input and list as output; the validation rows are those with the smallest hashes.
+_MAPPED = RAW.replace("samples AS (", "kept AS (") + """,
+samples AS (
+  SELECT sample_id, split, title, title AS NER, ingredients, ingredients AS directions FROM (
+    SELECT *, row_number() OVER (ORDER BY md5('42:' || sample_id)) AS place, count(*) OVER () AS n FROM kept WHERE split = 'train')
+  WHERE place > ceil(0.05 * n))"""
+
 ORACLES = {
+    "mapped_training_tokens": f"""WITH {_MAPPED}, {TRAINING_TEXT}
+      SELECT sample_id, len(regexp_extract_all(text_full, {_PATTERN}))::INTEGER AS n_tokens FROM texts""",
     "tokenize_words": f"""WITH {_TOK} SELECT sample_id, count(*)::INTEGER AS n_tokens,
       string_agg(id::VARCHAR, ' ' ORDER BY idx) AS ids, repeat('1', count(*)) AS mask FROM tok GROUP BY sample_id""",
     "mask_labels": f"""WITH {_TOK} SELECT sample_id, string_agg(({_LABEL})::VARCHAR, ' ' ORDER BY idx) AS labels
@@ -274,7 +293,7 @@ ORACLES = {
         FROM samples CROSS JOIN models),
       {_tokens('texts', 'sample_id, model')}, {_COUNTS.format(keys='sample_id, model')} {_statistics('model')}""",
     "pad_batches": _padded_sql(4, 42, None, False),
-    "pad_batches_full_only": _padded_sql(6, 1, 128, True),
+    "pad_batches_full_only": _padded_sql(6, 1, None, True),
     "vocab_by_group": f"WITH {_VOCAB} SELECT lang, vocab_size FROM vocab",
     "vocab_share": f"""WITH {_VOCAB} SELECT lang, vocab_size,
       round(vocab_size / (max(vocab_size) OVER ())::DOUBLE * 100, 6) AS pct_of_max,
