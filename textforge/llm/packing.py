@@ -8,7 +8,7 @@ fit ``budget`` tokens. Sequences longer than ``budget`` are batches of their own
 The histogram has one row per length up to ``budget``, so it is bounded by a parameter and not by the
 table; only it reaches the driver. Lengths are written once and read for the histogram and for the
 batches. Sequences get their number in a bucket from ranks inside hash slots plus the sizes of the
-slots before (at most ``SLOTS`` rows per bucket, broadcast), so a bucket that holds most of the table
+slots before (4,096 rows per bucket at most, broadcast), so a bucket that holds most of the table
 is numbered by many tasks, and only ids and lengths move.
 
 Null and empty texts are sequences of one end token. Null ids and repeated rows are sequences like
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textforge.functions.hashing import bucket_of, seeded_hash
 from textforge.llm.common import materialise, n_words
 
 BUDGET = 8_192
 BUCKETS = 16
-SLOTS = 4_096
+SLOT_DIGITS = 3  # 16**3 hash slots
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int =
         "n_tokens",
         F.when(own, F.lit(len(bounds))).otherwise(bucket).cast("int").alias("bucket"),
         F.when(own, F.col("n_tokens")).otherwise(F.get(edges, bucket)).alias("padded_tokens"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("_slot"),
+        F.coalesce(bucket_of(seeded_hash(F.col("doc_id"), 0), SLOT_DIGITS), F.lit("")).alias("_slot"),
     )
     sizes = placed.groupBy("bucket", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("bucket").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textforge.llm import bpe, chatlog, lines, near, nearest, packing, quality, suffix_tree, suffixes, toxicity
+from textforge.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +69,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
