@@ -1,10 +1,9 @@
-import json
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from textforge.functions.templates import render_messages, render_turn
+from textforge.functions.templates import DEFAULT_SYSTEM, TOOLS_INTRO, TOOLS_OUTRO, render_messages, render_turn
 from textforge.operators.chat import (
     build_messages,
     message_rows,
@@ -93,77 +92,76 @@ def test_training_text_has_prompt_as_prefix(samples):
     assert {r.sample_id: r.t for r in full.collect()} == {r.sample_id: r.text_full for r in one.collect()}
 
 
-def reference_render(messages, tools=None, generation=False):
-    """The template's rules written out turn by turn."""
-    system = messages[0]["content"] if messages[0]["role"] == "system" else (
-        "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
-    )
-    out = "<|im_start|>system\n" + system
-    if tools:
-        out += (
-            "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided "
-            "with function signatures within <tools></tools> XML tags:\n<tools>"
-        )
-        out += "".join("\n" + json.dumps(t) for t in tools)
-        out += (
-            "\n</tools>\n\nFor each function call, return a json object with function name and arguments within "
-            '<tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": '
-            "<args-json-object>}\n</tool_call>"
-        )
-    out += "<|im_end|>\n"
-    for i, m in enumerate(messages):
-        if m["role"] == "system" and i == 0:
-            continue
-        if m["role"] == "assistant" and m.get("tool_calls"):
-            out += "<|im_start|>assistant" + ("\n" + m["content"] if m["content"] else "")
-            for name, arguments in m["tool_calls"]:
-                out += f'\n<tool_call>\n{{"name": "{name}", "arguments": {arguments}}}\n</tool_call>'
-            out += "<|im_end|>\n"
-        elif m["role"] == "tool":
-            if i == 0 or messages[i - 1]["role"] != "tool":
-                out += "<|im_start|>user"
-            out += f"\n<tool_response>\n{m['content']}\n</tool_response>"
-            if i == len(messages) - 1 or messages[i + 1]["role"] != "tool":
-                out += "<|im_end|>\n"
-        else:
-            out += f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n"
-    return out + ("<|im_start|>assistant\n" if generation else "")
-
-
-CONVERSATIONS = [
-    [("user", "hi")],
-    [("system", "s"), ("user", "hi"), ("assistant", "yo")],
-    [("user", "hi"), ("system", "late"), ("assistant", "yo")],
-    [("tool", "alone")],
-    [("user", "q"), ("assistant", "", [("f", '{"a": 1}'), ("g", "{}")]), ("tool", "1"), ("tool", "2"), ("assistant", "ok")],
-    [("user", "q"), ("assistant", "wait", [("f", "{}")]), ("tool", "1"), ("user", "and"), ("tool", "2")],
+# Message lists and the texts that the template gives for them, typed out; {S} is the default system text.
+TEMPLATE_CASES = [
+    ([("user", "hi")], "<|im_start|>system\n{S}<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n"),
+    (
+        [("system", "s"), ("user", "hi"), ("assistant", "yo")],
+        "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n",
+    ),
+    (
+        [("user", "hi"), ("system", "late"), ("assistant", "yo")],
+        "<|im_start|>system\n{S}<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n<|im_start|>system\nlate<|im_end|>\n"
+        "<|im_start|>assistant\nyo<|im_end|>\n",
+    ),
+    (
+        [("tool", "alone")],
+        "<|im_start|>system\n{S}<|im_end|>\n<|im_start|>user\n<tool_response>\nalone\n</tool_response><|im_end|>\n",
+    ),
+    (
+        [("user", "q"), ("assistant", "", [("f", '{"a": 1}'), ("g", "{}")]), ("tool", "1"), ("tool", "2"), ("assistant", "ok")],
+        "<|im_start|>system\n{S}<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<tool_call>\n"
+        '{"name": "f", "arguments": {"a": 1}}\n</tool_call>\n<tool_call>\n{"name": "g", "arguments": {}}\n</tool_call><|im_end|>\n'
+        "<|im_start|>user\n<tool_response>\n1\n</tool_response>\n<tool_response>\n2\n</tool_response><|im_end|>\n"
+        "<|im_start|>assistant\nok<|im_end|>\n",
+    ),
+    (
+        [("user", "q"), ("assistant", "wait", [("f", None)]), ("tool", "1"), ("user", "and"), ("tool", "2")],
+        "<|im_start|>system\n{S}<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nwait\n<tool_call>\n"
+        '{"name": "f", "arguments": null}\n</tool_call><|im_end|>\n'
+        "<|im_start|>user\n<tool_response>\n1\n</tool_response><|im_end|>\n<|im_start|>user\nand<|im_end|>\n"
+        "<|im_start|>user\n<tool_response>\n2\n</tool_response><|im_end|>\n",
+    ),
 ]
-TYPE = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
+CALLS = "name:string,arguments:string"
 
 
-@pytest.mark.parametrize("generation", [False, True])
-@pytest.mark.parametrize("tools", [None, [{"name": "f", "x": [1, "é"]}]])
-def test_template(spark, generation, tools):
-    rows = [
-        (i, [(m[0], m[1], m[2] if len(m) > 2 else None) for m in c]) for i, c in enumerate(CONVERSATIONS)
-    ]
-    df = spark.createDataFrame(rows, f"i int, messages {TYPE}")
-    text = render_messages(F.col("messages"), generation, tools, has_tool_calls=True)
-    plain = tools and [{**t, "x": [1, "e"]} for t in tools]
-    for r in df.select("i", text.alias("t")).collect():
-        messages = [
-            {"role": m[0], "content": m[1], "tool_calls": m[2] if len(m) > 2 else None} for m in CONVERSATIONS[r.i]
-        ]
-        expected = reference_render(messages, plain, generation)
-        assert r.t == (expected.replace('"e"', '"é"') if tools else expected)
+def rendered(spark, nested=False, **options):
+    wrap = (lambda call: (call,)) if nested else (lambda call: call)
+    rows = [(i, [(m[0], m[1], [wrap(c) for c in m[2]] if len(m) > 2 else None) for m in c]) for i, (c, _) in enumerate(TEMPLATE_CASES)]
+    call = f"struct<function:struct<{CALLS}>>" if nested else f"struct<{CALLS}>"
+    df = spark.createDataFrame(rows, f"i int, messages array<struct<role:string,content:string,tool_calls:array<{call}>>>")
+    text = render_messages(F.col("messages"), has_tool_calls=True, nested_calls=nested, **options)
+    return [r.t for r in df.select("i", text.alias("t")).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_template(spark, nested):
+    want = [text.replace("{S}", DEFAULT_SYSTEM) for _, text in TEMPLATE_CASES]
+    assert rendered(spark, nested) == want
+    assert rendered(spark, nested, add_generation_prompt=True) == [w + "<|im_start|>assistant\n" for w in want]
+
+
+def test_template_with_tools(spark):
+    tool = '\n{"name": "f", "x": [1, "é"]}'
+    for got, (messages, text) in zip(rendered(spark, tools=[{"name": "f", "x": [1, "é"]}]), TEMPLATE_CASES):
+        system = "s" if messages[0][0] == "system" else DEFAULT_SYSTEM
+        head = f"<|im_start|>system\n{system}"
+        assert got == head + TOOLS_INTRO + tool + TOOLS_OUTRO + text.replace("{S}", DEFAULT_SYSTEM).removeprefix(head)
+
+
+def test_a_call_needs_a_name(spark):
+    df = spark.createDataFrame([([("assistant", "", [(None, "{}")])],)], f"m array<struct<role:string,content:string,tool_calls:array<struct<{CALLS}>>>>")
+    with pytest.raises(Exception, match="without a name"):
+        df.select(render_messages(F.col("m"), has_tool_calls=True)).collect()
 
 
 def test_turn_blocks_join_to_the_conversation(spark):
-    for roles in (["user", "assistant"], ["system", "user", "assistant"]):
-        turns = [{"role": r, "content": f"c{i}"} for i, r in enumerate(roles)]
-        df = spark.createDataFrame([(i, t["role"], t["content"]) for i, t in enumerate(turns)], "i int, r string, c string")
+    for case in (0, 1, 2):
+        messages, text = TEMPLATE_CASES[case]
+        df = spark.createDataFrame([(i, *m) for i, m in enumerate(messages)], "i int, r string, c string")
         blocks = df.select("i", render_turn(F.col("r"), F.col("c"), F.col("i") == 0).alias("b")).orderBy("i").collect()
-        assert "".join(b.b for b in blocks) == reference_render(turns)
+        assert "".join(b.b for b in blocks) == text.replace("{S}", DEFAULT_SYSTEM)
 
 
 def test_message_rows_and_preview(samples):

@@ -230,5 +230,5 @@ def test_choices(spark):
     by_subject = accuracy(pick_choices(df, item), ["subject"])
     assert {r.subject: (r.accuracy, r.samples) for r in by_subject.collect()} == {"s": (0.5, 2), "t": (1.0, 1)}
     macro = macro_average(by_subject, "subject", 66).first()
-    assert (macro.accuracy, macro.samples, macro.subjects, macro.configured_samples) == (0.75, 3, ["s", "t"], 66)
+    assert (macro.accuracy, macro.samples, macro.n_subjects, macro.configured_samples) == (0.75, 3, 2, 66)
     assert macro_average(by_subject.where("false"), "subject").count() == 0

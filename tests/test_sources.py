@@ -178,7 +178,11 @@ def test_phases(spark, tmp_path):
     part = spark.createDataFrame([("mmlu", "accuracy", 0.7)], "section string, metric string, value double")
     append_phase(spark, path, "r1", "benchmarks", {"model_type": "full", "base_model": "x"}, part)
     append_phase(spark, path, "r1", "final", {"model_type": "lora", "base_model": "x", "duration_minutes": 2.0}, part)
-    rows = {r.phase: (r.base_model, r.duration_minutes, r.value) for r in read_phases(spark, path).collect()}
+    append_phase(spark, path, "r1", "final", {"model_type": "lora", "base_model": "x", "duration_minutes": 2.0}, part)
+    append_phase(spark, path, "r2", "final", {"model_type": "full"}, part)
+    assert read_phases(spark, path).count() == 3
+    first = read_phases(spark, path).where("run_id = 'r1'").collect()
+    rows = {r.phase: (r.base_model, r.duration_minutes, r.value) for r in first}
     assert rows == {"benchmarks": (None, None, 0.7), "final": ("x", 2.0, 0.7)}
     with pytest.raises(ValueError):
         append_phase(spark, path, "r1", "other", {}, part)

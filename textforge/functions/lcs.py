@@ -18,9 +18,9 @@ def _positions(tokens: Sequence[str]) -> dict[str, int]:
     return masks
 
 
-def _rows(outer: Sequence[str], inner: Sequence[str]):
+def _rows(outer: Sequence[str], inner: Sequence[str], masks: dict[str, int] | None = None):
     """Yield one bit vector per token of ``outer``; a zero bit j marks a length step at inner[j]."""
-    masks = _positions(inner)
+    masks = _positions(inner) if masks is None else masks
     full = (1 << len(inner)) - 1
     row = full
     for token in outer:
@@ -38,7 +38,7 @@ def lcs_length(left: Sequence[str], right: Sequence[str]) -> int:
     return len(right) - row.bit_count()
 
 
-def lcs_indices(reference: Sequence[str], candidate: Sequence[str]) -> list[int]:
+def lcs_indices(reference: Sequence[str], candidate: Sequence[str], masks: dict[str, int] | None = None) -> list[int]:
     """Reference positions on one longest common subsequence.
 
     Walks back from the ends; on a tie between dropping the last candidate token and
@@ -46,7 +46,7 @@ def lcs_indices(reference: Sequence[str], candidate: Sequence[str]) -> list[int]
     """
     width = len(candidate)
     full = (1 << width) - 1
-    table = [full, *_rows(reference, candidate)]
+    table = [full, *_rows(reference, candidate, masks)]
 
     def value(i: int, j: int) -> int:
         return j - (table[i] & ((1 << j) - 1)).bit_count()
@@ -65,12 +65,23 @@ def lcs_indices(reference: Sequence[str], candidate: Sequence[str]) -> list[int]
 
 
 def union_hits(reference: Sequence[Sequence[str]], candidate: Sequence[Sequence[str]]) -> int:
-    """Clipped number of reference tokens covered by the union of sentence-wise subsequences."""
+    """Clipped number of reference tokens covered by the union of sentence-wise subsequences.
+
+    The masks of a candidate sentence are built once, repeated sentences count once, and pairs without a
+    common token are skipped.
+    """
+    others = [(sentence, _positions(sentence)) for sentence in dict.fromkeys(map(tuple, candidate))]
     left_reference = Counter(token for sentence in reference for token in sentence)
     left_candidate = Counter(token for sentence in candidate for token in sentence)
     hits = 0
     for sentence in reference:
-        covered = {index for other in candidate for index in lcs_indices(sentence, other)}
+        words = set(sentence)
+        covered: set[int] = set()
+        for other, masks in others:
+            if not words.isdisjoint(masks):
+                covered.update(lcs_indices(sentence, other, masks))
+            if len(covered) == len(sentence):
+                break
         for index in sorted(covered):
             token = sentence[index]
             if left_reference[token] > 0 and left_candidate[token] > 0:

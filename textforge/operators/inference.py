@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.session import materialise
-from textforge.sources.datasets import path_exists
+from textforge.sources.datasets import mark_complete, path_exists
 
 PredictBatch = Callable[[list[Any]], Sequence[str]]
 CallEndpoint = Callable[[Any], str]
@@ -117,6 +117,7 @@ def predict_in_waves(
         if not path_exists(spark, part):
             rows = df.where(F.pmod(F.xxhash64(*keys), F.lit(waves)) == wave)
             predict(rows).write.mode("overwrite").parquet(part)
+            mark_complete(spark, part)
     return spark.read.parquet(path).drop("wave")
 
 

@@ -47,12 +47,16 @@ def benchmark_results(
                         F.col("accuracy"),
                         F.lit("samples"),
                         F.col("configured_samples").cast("double"),
+                        F.lit("observed"),
+                        F.col("samples").cast("double"),
                     )
                 ).alias("metric", "value"),
             )
         )
     if options.completion_items > 0 and completion_choices is not None:
-        scored = answered(completion_choices, options.completion_items, True)
+        # One section whatever subjects the items have.
+        whole = completion_choices.withColumn("subject", F.lit("completion"))
+        scored = answered(whole, options.completion_items, True)
         parts.append(
             scored.select(
                 F.lit("hellaswag").alias("section"),
@@ -62,6 +66,8 @@ def benchmark_results(
                         F.col("accuracy"),
                         F.lit("samples"),
                         F.lit(float(options.completion_items)),
+                        F.lit("observed"),
+                        F.col("samples").cast("double"),
                     )
                 ).alias("metric", "value"),
             )

@@ -23,10 +23,21 @@ SAMPLE_SCHEMA = T.StructType(
 )
 
 
+def _marker(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_COMPLETE")
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a complete table lies at ``path`` (its success marker does)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    """Whether a complete table lies at ``path``: the marker that :func:`mark_complete` puts there does."""
+    place, files = _marker(spark, path)
+    return files.exists(place)
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Put a marker beside a table that has been written in full, whatever its committer leaves."""
+    place, files = _marker(spark, path)
+    files.create(place, True).close()
 
 
 def read_splits(spark: SparkSession, files: Mapping[str, Any], fmt: str, **options: Any) -> DataFrame:
@@ -50,6 +61,7 @@ def load_or_materialise(spark: SparkSession, name: str, base_dir: str, ingest, s
     path = dataset_path(name, base_dir)
     if not path_exists(spark, path):
         ingest().write.mode("overwrite").partitionBy(split).parquet(path)
+        mark_complete(spark, path)
     return spark.read.parquet(path)
 
 

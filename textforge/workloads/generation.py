@@ -39,11 +39,11 @@ from textforge.workloads.relations import (
 )
 
 
-def make_leading_words():
-    """A stand-in model: the first twenty blank-separated words of the prompt."""
+def make_reversed_words():
+    """A stand-in model: the blank-separated words of the whole prompt in reverse order."""
 
     def predict(prompts):
-        return [" ".join(p.split(" ")[:20]) + " " for p in prompts]
+        return [" ".join(p.split(" ")[::-1]) + " " for p in prompts]
 
     return predict
 
@@ -92,7 +92,7 @@ def make_word_embedder():
 
 def batched(spark: SparkSession, folder: str) -> DataFrame:
     asked = pairs(spark, folder).select("conv_id", "turn", "request")
-    return batch_predict(asked, ["conv_id", "turn"], "request", make_leading_words).drop("error")
+    return batch_predict(asked, ["conv_id", "turn"], "request", make_reversed_words).drop("error")
 
 
 def _endpoint(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ def endpoint_failures(spark: SparkSession, folder: str) -> DataFrame:
 def _aligned(spark: SparkSession, folder: str) -> DataFrame:
     samples = sample_pairs(spark, folder)
     asked = samples.select("sample_id", F.col("NER").alias("request"))
-    made = batch_predict(asked, ["sample_id"], "request", make_leading_words)
+    made = batch_predict(asked, ["sample_id"], "request", make_reversed_words)
     return align(samples, made, ["sample_id"])
 
 
@@ -153,7 +153,7 @@ def waves(spark: SparkSession, folder: str) -> DataFrame:
     asked = pairs(spark, folder).select("conv_id", "turn", "request")
     keys = ["conv_id", "turn"]
     made = predict_in_waves(
-        asked, keys, lambda rows: batch_predict(rows, keys, "request", make_leading_words), fresh_path(spark, "waves"), 3
+        asked, keys, lambda rows: batch_predict(rows, keys, "request", make_reversed_words), fresh_path(spark, "waves"), 3
     )
     return made.drop("error")
 
@@ -171,7 +171,7 @@ def match_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def suite(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark phase over line items as choices: three subjects, and a normalised task."""
+    """All four phases: line items as choices of two tasks, and a model over all conversation pairs."""
     items = table(spark, folder, "lineitem").select(
         F.concat(F.lit("subject"), (F.col("l_orderkey") % 4).cast("string")).alias("subject"),
         F.col("l_orderkey").alias("item_id"),
@@ -182,14 +182,17 @@ def suite(spark: SparkSession, folder: str) -> DataFrame:
     )
     options = SuiteOptions(
         enable_benchmarks=True,
+        enable_domain=True,
+        enable_operational=True,
         per_subject=33,
         subjects=("subject0", "subject1", "subject2"),
         completion_items=100,
     )
     path = fresh_path(spark, "suite")
     info = {"model_path": "org/Qwen", "model_type": "full"}
-    run_suite(options, path, info, items, items.where("subject = 'subject3'"), run_id="run-1")
-    stored = read_phases(spark, path)
+    domain = lambda: evaluate_model(sample_pairs(spark, folder), "Qwen/x", make_predict=make_prompt_tail)
+    run_suite(options, path, info, items, items.where("subject = 'subject3'"), domain, run_id="run-1")
+    stored = read_phases(spark, path).where("metric <> 'median_chars'")  # a sketch
     return stored.select("phase", "section", "metric", F.round("value", 6).alias("value"))
 
 
@@ -228,7 +231,7 @@ QUERIES = {
     "output_lengths_by_model": output_format_by_model,
 }
 
-_LEAD = "trim(array_to_string(string_split({0}, ' ')[1:20], ' '))"
+_LEAD = "trim(array_to_string(list_reverse(string_split({0}, ' ')), ' '))"
 _PREDICTED = f"{PAIR_SAMPLES}, made AS (SELECT *, {_LEAD.format('NER')} AS prediction FROM samples)"
 _ENDPOINT = f"""{PAIRS}, made AS (
   SELECT conv_id, turn, CASE WHEN length(request) % 7 = 0 THEN '' ELSE replace(request, ' ', '_') END AS prediction,
@@ -236,6 +239,8 @@ _ENDPOINT = f"""{PAIRS}, made AS (
 _EVALUATED = f"{PAIR_SAMPLES}, texts AS (SELECT sample_id, NER AS prediction, {ANSWER} AS reference FROM samples)"
 _WORDS = "len(list_filter(string_split(regexp_replace(lower(prediction), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 
+_IN_ORDER = r"regexp_matches(prediction, '(?s)Certainly!.*\[ INGREDIENTS \].*\[ DIRECTIONS \]')"
+
 _CALLED = f"""{PAIR_SAMPLES}, asked AS (SELECT *, {MERGED} AS content FROM samples),
   texts AS (SELECT sample_id, CASE WHEN length(content) % 5 = 0 THEN '' ELSE trim(content, chr(10) || ' ') END AS prediction,
     {ANSWER} AS reference, length(content) % 5 = 0 AS failed FROM asked)"""
@@ -270,6 +275,8 @@ results AS (
   SELECT 'mmlu' AS section, 'accuracy' AS metric, avg(a) AS value FROM (
     SELECT avg(hit::INTEGER) AS a FROM plain WHERE subject <> 'subject3' GROUP BY subject)
   UNION ALL SELECT 'mmlu', 'samples', 99
+  UNION ALL SELECT 'mmlu', 'observed', count(*) FROM plain WHERE subject <> 'subject3'
+  UNION ALL SELECT 'hellaswag', 'observed', count(*) FROM normalised WHERE subject = 'subject3'
   UNION ALL SELECT 'hellaswag', 'accuracy_norm', avg(hit::INTEGER) FROM normalised WHERE subject = 'subject3'
   UNION ALL SELECT 'hellaswag', 'samples', 100)"""
 
@@ -281,8 +288,20 @@ ORACLES = {
     "match_records": f"""WITH {_WORD_MATCH} SELECT 'Conversation ' || conv_id AS title, reply AS prediction,
       round(p, 6) AS bert_precision, round(r, 6) AS bert_recall, round(2 * p * r / (p + r), 6) AS bert_f1
       FROM pairs JOIN sides USING (conv_id, turn)""",
-    "suite_phases": f"""WITH {_SUITE} SELECT phase, section, metric, round(value, 6) AS value
-      FROM results CROSS JOIN (SELECT unnest(['benchmarks', 'final']) AS phase)""",
+    "suite_phases": f"""WITH {_EVALUATED}, {rouge_sql('texts', 'sample_id', 1, 'r1')},
+      {rouge_sql('texts', 'sample_id', 2, 'r2')}, {lcs_sql('texts', 'sample_id', 'rl')}, {_SUITE},
+      overlap AS (SELECT avg(r1.f) AS a, avg(r2.f) AS b, avg(rl.f) AS c, count(*) AS n
+        FROM r1 JOIN r2 USING (sample_id) JOIN rl USING (sample_id)),
+      lengths AS (SELECT count(*) AS n, avg({_IN_ORDER}::INTEGER) AS ok, avg((trim(prediction) = '')::INTEGER) AS empty,
+        avg(length(prediction)) AS chars, avg({_WORDS}) AS words, min(length(prediction)) AS low, max(length(prediction)) AS high FROM texts),
+      stored AS (
+        SELECT 1 AS since, section, metric, value::DOUBLE AS value FROM results
+        UNION ALL SELECT 2, 'domain', unnest(['rouge1', 'rouge2', 'rougeL', 'num_samples']), unnest([a, b, c, n]::DOUBLE[]) FROM overlap
+        UNION ALL SELECT 3, 'operational',
+          unnest(['n_outputs', 'format_rate', 'empty_rate', 'mean_chars', 'mean_words', 'min_chars', 'max_chars']),
+          unnest([n, ok, empty, chars, words, low, high]::DOUBLE[]) FROM lengths)
+      SELECT phase, section, metric, round(value, 6) AS value FROM stored
+      JOIN (VALUES ('benchmarks', 1), ('domain', 2), ('operational', 3), ('final', 4)) AS p(phase, upto) ON since <= upto""",
     "batch_predict": f"WITH {PAIRS} SELECT conv_id, turn, {_LEAD.format('request')} AS prediction FROM pairs",
     "endpoint_predict": f"WITH {_ENDPOINT} SELECT conv_id, turn, prediction, error FROM made",
     "endpoint_failures": f"""WITH {_ENDPOINT} SELECT turn, count(*) AS n_calls, count(error) AS n_failed
@@ -301,8 +320,7 @@ ORACLES = {
         SELECT split, CASE WHEN trim(ingredients) <> '' THEN {ANSWER} WHEN title IS NOT NULL
           THEN 'Certainly! Here''s nothing' ELSE ' ' END AS prediction FROM raw)
       SELECT split, count(*) AS n_outputs,
-        round(avg((contains(prediction, 'Certainly!') AND strpos(prediction, '[ INGREDIENTS ]') > strpos(prediction, 'Certainly!')
-          AND strpos(prediction, '[ DIRECTIONS ]') > strpos(prediction, '[ INGREDIENTS ]'))::INTEGER), 6) AS format_rate,
+        round(avg({_IN_ORDER}::INTEGER), 6) AS format_rate,
         round(avg((trim(prediction) = '')::INTEGER), 6) AS empty_rate, round(avg(length(prediction)), 6) AS mean_chars,
         round(avg({_WORDS}), 6) AS mean_words, min(length(prediction))::INTEGER AS min_chars,
         round(quantile_cont(length(prediction), 0.5)::DOUBLE, 6) AS median_chars, max(length(prediction))::INTEGER AS max_chars
