@@ -54,7 +54,7 @@ class Rule:
 
 #: The method's rules; slack keeps groups of nearly equal texts from having no room at all.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 3.0, two_sided=True),
+    Rule("word_length", "word_chars", "n_words", 5.0, two_sided=True),
     Rule("symbols", "n_symbols", "n_words", 0.15),
     Rule("dup_lines", "n_dup_lines", "n_lines", 0.5),
     Rule("repeats", "n_repeat_words", "n_words", 0.2),

@@ -13,7 +13,7 @@ texts get grade 1, 2 or 3 by terciles of the log odds of their features.
 The model is fitted on at most ``MAX_TRAIN`` labelled texts (those with the smallest hashes of their
 ids) and ``MAX_FEATURES`` features, so what the driver holds is bounded. Scoring is one pass over all
 whole texts without a shuffle. ``expected_severity`` is the sum of grade times probability; a text is
-``toxic`` if grade 0 is the less likely side.
+``toxic`` if it is ``TOXIC_FROM`` or more.
 
 Null and empty texts have no features and get the severity of the cuts alone. Repeated rows are scored
 one by one; repeated labels of one id count as one, the higher one. Without labels, or with labels of
@@ -39,6 +39,7 @@ MAX_FEATURES = 5_000
 SIGNIFICANT = 25.0  # chi-square: p < 1e-6, for many words looked at together
 PREFIXES = (4, 5, 6, 7)
 GRADES = 4
+TOXIC_FROM = 0.2  # expected severity; low, as a missed toxic text costs more than a second look
 STEPS = 500
 RATE = 0.1
 SHRINK = 1e-5
@@ -212,7 +213,7 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
             "doc_id": rows.column(rows.schema.get_field_index(key)),
             "severity": chance.argmax(1).astype(np.int32),
             "expected_severity": chance @ np.arange(GRADES),
-            "toxic": chance[:, 0] < 0.5,
+            "toxic": chance @ np.arange(GRADES) >= TOXIC_FROM,
         }
 
     schema = StructType().add("doc_id", docs.schema[key].dataType).add("severity", "integer")
