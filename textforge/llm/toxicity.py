@@ -39,9 +39,9 @@ MAX_FEATURES = 5_000
 SIGNIFICANT = 25.0  # chi-square: p < 1e-6, for many words looked at together
 PREFIXES = (4, 5, 6, 7)
 GRADES = 4
-TOXIC_FROM = 0.2  # expected severity; low, as a missed toxic text costs more than a second look
-STEPS = 500
-RATE = 0.1
+TOXIC_FROM = 0.1  # expected severity; low, as a missed toxic text costs more than a second look
+STEPS = 800
+RATE = 0.2
 SHRINK = 1e-5
 
 _LETTER = np.zeros(256, bool)
@@ -105,8 +105,9 @@ def fit_ordinal(
     share = np.clip(np.array([(grades <= k).mean() for k in range(top)]), 1e-3, 1 - 1e-3)
     cuts = np.log(share / (1 - share))
     base, gaps = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))
-    squares = [np.full(n_features, 1e-8), np.full(1, 1e-8), np.full(top - 1, 1e-8)]
-    for _ in range(STEPS):
+    means = [np.zeros(n_features), np.zeros(1), np.zeros(top - 1)]
+    squares = [np.zeros_like(m) for m in means]
+    for turn in range(1, STEPS + 1):
         cuts = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         score = np.bincount(rows, weights[columns] * values, minlength=n)
         upto = 1 / (1 + np.exp(-(cuts[None, :] - score[:, None])))
@@ -121,10 +122,12 @@ def fit_ordinal(
             np.array([by_cut.sum()]),
             np.array([by_cut[k + 1 :].sum() for k in range(top - 1)]) * np.exp(gaps),
         )
-        for square, move in zip(squares, moves):
-            square *= 0.95
-            square += 0.05 * move * move
-        steps = [RATE * m / np.sqrt(s) for m, s in zip(moves, squares)]
+        # Steps by running means of gradients and their squares (Adam), falling to zero at the end.
+        rate, steps = RATE * (1 - turn / (STEPS + 1)), []
+        for mean, square, move in zip(means, squares, moves):
+            mean += 0.1 * (move - mean)
+            square += 0.01 * (move * move - square)
+            steps.append(rate * mean / (1 - 0.9**turn) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-10))
         weights, base, gaps = weights + steps[0], base + steps[1][0], gaps + steps[2]
     return weights, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
