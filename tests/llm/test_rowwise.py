@@ -15,10 +15,6 @@ import cases
 from textforge.llm import bpe, packing, quality, suffix_tree, toxicity
 
 
-def rows_by_text(df, *keys):
-    return df.collect()
-
-
 @pytest.fixture(scope="module")
 def edge(spark):
     return cases.docs(spark)
