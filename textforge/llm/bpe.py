@@ -178,6 +178,7 @@ def encoded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     frequent = counts.where(F.col("n") >= least_count(counts, FREQUENT))
     rows = frequent.groupBy(F.pmod(F.xxhash64("word"), F.lit(FREQUENT // 1024 + 1))).agg(F.collect_list("word").alias("words"))
     folded = rows.select("words", maps.alias("_ranks")).select("words", F.transform("words", lambda w: encode_word(w, rank)).alias("ids"))
+    folded = materialise(folded, "bpe-frequent")  # all tasks at once; reading it back is cheap
     known = {w: tuple(i) for r in folded.toLocalIterator() for w, i in zip(r["words"], r["ids"])}
     return slices.drop("times"), known
 
