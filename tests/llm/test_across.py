@@ -168,6 +168,23 @@ def test_keep_one(spark):
     assert near.keep_one(cases.empty(spark)).collect() == [] and near.near_duplicates(cases.empty(spark)).collect() == []
 
 
+def test_keep_one_by_group_not_by_id(spark):
+    """Unrelated documents with null or repeated ids stay; one of each group of similar ones stays."""
+    rows = list(dict.fromkeys(copies()))
+    _, group = brute_links(rows)
+    of = {r: g for r, g in zip(rows, group)}
+    got = [(r.doc_id, r.text) for r in near.keep_one(cases.docs(spark, rows)).collect()]
+    assert sorted(of[r] for r in got) == sorted(set(group))
+    found = near.near_duplicates(cases.docs(spark, rows)).where("n_runs > 0")
+    sizes = sorted(r["count"] for r in found.groupBy("set_id").count().collect())
+    assert sizes == sorted(n for g, n in Counter(group).items() if cases.words(rows[g][1]))
+    alone = [(None, cases.prose(700 + k, 60)) for k in range(9)] + [(3, cases.prose(720 + k, 60)) for k in range(4)]
+    assert near.keep_one(cases.docs(spark, alone)).count() == 13
+    # A group takes its id from a member that has one.
+    both = near.near_duplicates(cases.docs(spark, [(None, alone[0][1]), (5, alone[0][1])])).collect()
+    assert [r.class_id for r in both] == [5, 5]
+
+
 def test_least_matches_is_the_posterior():
     """The least number of matches agrees with the posterior integrated numerically."""
     grid = (np.arange(200_000) + 0.5) / 200_000

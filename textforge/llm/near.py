@@ -13,8 +13,7 @@ that meets in several buckets counts in its first band only. Tasks give counts a
 class and local group, not pairs: rows grow with the classes, not with the square of a group.
 
 Null and empty texts have no run, no links, and are classes of their own. Rows that repeat an id and a
-text are copies of each other and count as such; where one document is kept, they stay together. Empty
-tables give empty tables; extra columns are not read.
+text are copies of each other and count as such. Empty tables give empty tables; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -282,17 +281,23 @@ def links(duty: DataFrame, classes: DataFrame, runs: DataFrame, threshold: float
     return dealt.mapInArrow(_match(threshold, least_matches(threshold, TOLERANCE)), "node long, links long, root long")
 
 
+def _by_id() -> Column:
+    """Orders documents by id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, _h, set_id, class_id, n_links, n_runs``.
 
-    ``class_id`` is the smallest id of the connected group of similar documents; ``n_links`` counts the
+    ``set_id`` tells the connected groups of similar documents apart, also where ids are null or repeated
+    (null for a document without runs). ``class_id`` is the smallest id of the group; ``n_links`` counts the
     other documents with a similarity of ``threshold`` or more, copies included. A document without
     runs has its own id as class (null if the id is null) and no links.
     """
     sets = materialise(text_sets(docs, key, text), "near-sets")
     with_runs = sets.where("n_runs > 0")
     # Equal sets: narrow rows are combined in tasks; the first member speaks for its class.
-    groups = with_runs.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "_h")).alias("first"))
+    groups = with_runs.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min(_by_id()).alias("first"))
     groups = materialise(groups.withColumn("node", F.xxhash64("s1", "s2")), "near-groups")
     speakers = groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first._h").alias("_h"), "node", "copies")
     classes = join_identified(with_runs.select("doc_id", "_h", "n_runs", "signature"), speakers, "inner")
@@ -314,10 +319,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     per_class = materialise(per_class, "near-classes")
     smallest = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = per_class.join(smallest, "root").select(
-        "s1", "s2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")
+        "s1", "s2", F.col("root").alias("set_id"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")
     )
-    found_rows = with_runs.select("doc_id", "_h", "n_runs", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "_h", "class_id", "n_links", "n_runs")
-    rest = sets.where("n_runs = 0").select("doc_id", "_h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_runs")
+    found_rows = with_runs.select("doc_id", "_h", "n_runs", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "_h", "set_id", "class_id", "n_links", "n_runs")
+    rest = sets.where("n_runs = 0").select("doc_id", "_h", F.lit(None).cast("long").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_runs")
     return found_rows.unionByName(rest)
 
 
@@ -325,7 +330,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     """The rows of ``docs`` without all but the first document of each group of similar ones."""
     found = near_duplicates(docs, key, text, threshold)
     # The document that gives a class its id stays; texts without runs stay too.
-    ranked = found.where("n_runs > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "_h")).alias("first"))
+    ranked = found.where("n_runs > 0").groupBy("set_id").agg(F.min(_by_id()).alias("first"))
     stays = ranked.select(F.col("first.doc_id").alias("_tf_id"), F.col("first._h").alias("_tf_h")).unionByName(
         found.where("n_runs = 0").select(F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"))
     )
