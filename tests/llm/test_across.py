@@ -185,6 +185,23 @@ def test_keep_one_by_group_not_by_id(spark):
     assert [r.class_id for r in both] == [5, 5]
 
 
+def test_repeated_rows_reach_packing_once(spark):
+    """A document that was loaded twice goes on as one row, with its whole text."""
+    import corpus_pipeline
+
+    rows = [(i, cases.prose(800 + i, 90 + i)) for i in range(1, 7)]
+    for many in (2, 5):
+        docs = cases.docs(spark, rows + [rows[2]] * (many - 1) + [(None, rows[4][1])] * many)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+        assert sorted(tuple(r) for r in docs.select("doc_id", "text").collect()) == rows
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert sorted(r.doc_id for r in packed.collect()) == [i for i, _ in rows]
+    blank = [(1, ""), (1, ""), (2, None), (2, None), (2, " ")]
+    kept = [(r.doc_id, r.text) for r in near.keep_one(cases.docs(spark, blank)).collect()]
+    assert Counter(kept) == Counter(set(blank))
+
+
 def test_least_matches_is_the_posterior():
     """The least number of matches agrees with the posterior integrated numerically."""
     grid = (np.arange(200_000) + 0.5) / 200_000

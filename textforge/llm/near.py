@@ -13,7 +13,8 @@ that meets in several buckets counts in its first band only. Tasks give counts a
 class and local group, not pairs: rows grow with the classes, not with the square of a group.
 
 Null and empty texts have no run, no links, and are classes of their own. Rows that repeat an id and a
-text are copies of each other and count as such. Empty tables give empty tables; extra columns are not read.
+text are copies of each other and count as such; where one document is kept, it is one row. Empty tables
+give empty tables; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -327,12 +328,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without all but the first document of each group of similar ones."""
+    """The rows of ``docs`` without all but the first document of each group of similar ones.
+
+    Of rows that repeat an id and a text one stays, with or without runs.
+    """
     found = near_duplicates(docs, key, text, threshold)
+    distinct = found.groupBy("set_id", "doc_id", "_h").agg(F.count(F.lit(1)).alias("copies"))
     # The document that gives a class its id stays; texts without runs stay too.
-    ranked = found.where("n_runs > 0").groupBy("set_id").agg(F.min(_by_id()).alias("first"))
-    stays = ranked.select(F.col("first.doc_id").alias("_tf_id"), F.col("first._h").alias("_tf_h")).unionByName(
-        found.where("n_runs = 0").select(F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"))
+    ranked = distinct.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(_by_id().alias("by"), "copies")).alias("first"))
+    stays = ranked.select(F.col("first.by.doc_id").alias("_tf_id"), F.col("first.by._h").alias("_tf_h"), F.col("first.copies").alias("_tf_copies"))
+    stays = stays.unionByName(
+        distinct.where("set_id is null").select(F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"), F.col("copies").alias("_tf_copies"))
     )
+    # Written once, as it is read for single rows and for repeated ones.
+    stays = materialise(stays, "near-stays")
     same = (F.xxhash64(docs[key], docs[text]) == F.col("_tf_h")) & docs[key].eqNullSafe(F.col("_tf_id"))
-    return docs.join(stays, same, "left_semi")
+    single = docs.join(stays.where("_tf_copies = 1"), same, "left_semi")
+    # Copies are reduced inside tasks before they are dealt, by id and hash.
+    again = docs.join(stays.where("_tf_copies > 1"), same).dropDuplicates(["_tf_id", "_tf_h"])
+    return single.unionByName(again.select(*docs.columns))
