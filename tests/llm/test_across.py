@@ -111,6 +111,58 @@ def test_line_dedup_edges(spark, edge):
     assert lines.drop_repeated_lines(cases.empty(spark)).collect() == []
 
 
+def brute_runs(rows):
+    """Every two neighbouring worded lines that occur again go but for their first place."""
+    pairs, cut = {}, {}
+    for n, (i, t) in enumerate(rows):
+        cut[n] = (t or "").split("\n")
+        worded = [k for k, x in enumerate(cut[n]) if cases.words(x)]
+        for a, b in zip(worded, worded[1:]):
+            pairs.setdefault("\n".join(cut[n][a : b + 1]), []).append((i, n, a, b))
+    again, stay = set(), set()
+    for places in pairs.values():
+        places.sort()
+        for k, (_, n, a, b) in enumerate(places):
+            if len(places) > 1:
+                (again if k else stay).update((n, j) for j in range(a, b + 1))
+    gone = again - stay
+    return [(i, None if t is None else "\n".join(x for j, x in enumerate(cut[n]) if (n, j) not in gone), sum(m == n for m, _ in gone)) for n, (i, t) in enumerate(rows)]
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    """Short passages inside other texts, blank lines, runs of one line: all that brute force finds goes."""
+    rows = []
+    for g in range(8):  # passages of 2 to 6 lines, each in three texts
+        shared = cases.lines_of(500 + g, 2 + g % 5).replace("\n", "\n\n" if g % 3 == 0 else "\n")
+        rows += [(10 * g + k, cases.lines_of(600 + 3 * g + k, 3 + k) + "\n" + shared + "\n" + cases.lines_of(700 + 3 * g + k, 4)) for k in range(3)]
+    alone = cases.prose(900, 7)
+    rows += [(200, "\n".join([alone] * 40)), (201, "head\n" + "\n".join([alone] * 6) + "\ntail"), (202, alone)]
+    chain = cases.lines_of(901, 5).split("\n")
+    rows += [(210, "\n".join(chain[:3])), (211, "\n".join(chain)), (212, "\n".join(chain[2:]))]
+    rows += [(220, None), (221, ""), (222, "\n\n"), (223, " \nword\n"), (224, "\r\n".join(chain))]
+    got = [tuple(r) for r in lines.drop_repeated_runs(cases.docs(spark, rows), count="gone").select("doc_id", "text", "gone").collect()]
+    want = brute_runs(rows)
+    assert sorted(got, key=lambda r: r[0]) == want
+    texts = {i: t for i, t, _ in got}
+    before = dict(rows)
+    for g in range(8):
+        head, tail = cases.lines_of(600 + 3 * g + 2, 5), cases.lines_of(700 + 3 * g + 2, 4)
+        assert texts[10 * g] == before[10 * g] and texts[10 * g + 2] == head + "\n" + tail
+    assert texts[200] == alone + "\n" + alone and texts[201] == "head\ntail" and texts[202] == alone
+    # What a repeated pair is first in stays whole.
+    assert texts[211] == "\n".join(chain[2:]) and texts[212] == ""
+
+
+def test_line_dedup_runs_edges(spark, edge):
+    out = lines.drop_repeated_runs(edge)
+    assert out.schema == edge.schema and out.count() == len(cases.edge_texts())
+    assert Counter(r.text for r in out.where("doc_id = 20").collect())[cases.prose(16, 100)] == 2
+    twice = [(1, cases.lines_of(5, 6))] * 2 + [(None, cases.lines_of(6, 4)), (None, cases.lines_of(6, 4) + "\nmore")]
+    got = Counter(r.n for r in lines.drop_repeated_runs(cases.docs(spark, twice).drop("n"), count="n").collect())
+    assert got == Counter({0: 3, 4: 1})
+    assert lines.drop_repeated_runs(cases.empty(spark)).collect() == []
+
+
 # -- Jaccard join ----------------------------------------------------------------------------
 
 

@@ -64,7 +64,7 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), count="n_lines_removed")
+    found = lines.drop_repeated_runs(table(spark, sf_dir, "documents"), count="n_lines_removed")
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines_removed")
 
 
