@@ -323,6 +323,27 @@ def test_graph_search_finds_the_nearest_centroids():
     assert np.allclose(dist, np.take_along_axis(exact, ids, 1)) and (np.diff(dist, axis=1) >= 0).all()
 
 
+def test_queries_visit_a_share_of_all_lists():
+    """Isotropic vectors: with ten times the lists, a query visits more of them, the nearest first."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.normal(size=(n, 32)))
+    asked = unit(30)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(30)), pa.array(range(30)), pa.array(asked.tolist(), pa.list_(pa.float64()))], names=["first_id", "h", "v"]
+    )
+    for n in (200, 2000):
+        centres = nearest._lifted(0.5 * unit(n), 1.0)
+        routed = pa.Table.from_batches(nearest._route(nearest.CentroidGraph.build(centres), 1.0)([batch]))
+        visits = Counter(routed["first_id"].to_pylist())
+        assert sorted(visits) == list(range(30)) and min(visits.values()) >= n // nearest.LIST_SHARE
+        mine = {x for x, q in zip(routed["list"].to_pylist(), routed["first_id"].to_pylist()) if q == 0}
+        if n == 2000:
+            exact = np.argsort(((np.append(asked[0], 0.0) - centres) ** 2).sum(1))
+            assert mine == set(exact[: len(mine)].tolist())
+
+
 # -- chat ------------------------------------------------------------------------------------
 
 EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string, head string"

@@ -10,7 +10,9 @@ nearest and, if it lies near a boundary, also on those at most ``REPLICATE`` tim
 ``MAX_REPLICAS`` lists. All vectors are indexed.
 
 Search: the graph gives a query's nearest centroids; those at most ``PRUNE`` times as far as the
-nearest, and in any case the first ``MIN_LISTS``, are its lists. Lists are cut into blocks of at most ``BLOCK`` vectors by their counted sizes,
+nearest, and in any case the first ``MIN_LISTS``, are its lists, at most ``MAX_LISTS`` or, where that is more,
+one in ``LIST_SHARE`` of all: the share of a table that is searched does not shrink as it grows. So many
+lists are ranked by all distances, as a walk would be no shorter. Lists are cut into blocks of at most ``BLOCK`` vectors by their counted sizes,
 queries visit every block, and each block answers with its best. Scores are inner products in double
 precision on the original vectors. Inner products are turned into distances by one more dimension,
 which holds what a vector lacks to the length of the longest.
@@ -44,6 +46,7 @@ MAX_CENTROIDS = 2_048
 LIST_SIZE = 128  # vectors per list that the number of centroids aims at
 REPLICATE, MAX_REPLICAS = 1.1, 4
 PRUNE, MIN_LISTS, MAX_LISTS = 1.3, 40, 96
+LIST_SHARE = 4
 BLOCK = 4_096
 NEIGHBOURS = 24
 ENTRIES = 8
@@ -101,6 +104,12 @@ class CentroidGraph:
         ids = np.concatenate([p[0] for p in parts])[:, :count]
         return ids, np.concatenate([p[1] for p in parts])[:, :count]
 
+    def rank(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`search`, by the distances to all centroids."""
+        dist = np.concatenate([_distances(points[i : i + 512], self.centres) for i in range(0, len(points), 512)])
+        ids = np.argsort(dist, axis=1, kind="stable")[:, :count]
+        return ids, np.take_along_axis(dist, ids, 1)
+
     def _walk(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         m, n = len(points), len(self.centres)
         row = np.arange(m)[:, None]
@@ -182,6 +191,7 @@ def _place(graph: CentroidGraph, longest: float):
 
 def _route(graph: CentroidGraph, longest: float):
     """Lists that each query visits; queries lie on the plane of the original vectors."""
+    most = max(MAX_LISTS, -(-len(graph.centres) // LIST_SHARE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +201,7 @@ def _route(graph: CentroidGraph, longest: float):
             # The direction decides; the length of a query does not change the order of its candidates.
             q = q / np.sqrt((q * q).sum(1))[:, None] * longest
             x = np.concatenate([q, np.zeros((len(q), 1))], 1)
-            ids, dist = graph.search(x, MAX_LISTS)
+            ids, dist = graph.rank(x, most) if most > MAX_LISTS else graph.search(x, MAX_LISTS)
             close = dist <= PRUNE**2 * dist[:, :1]
             close[:, :MIN_LISTS] = True
             row, col = np.nonzero((ids >= 0) & close)
