@@ -146,4 +146,34 @@ SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
-ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8()}
+def op12() -> str:
+    """Cells of failed filters, and every step of every order summed over them."""
+    return f"""WITH split_up AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+failed AS (
+  SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > first)::INT AS mask FROM split_up),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND list_unique([a.bit, b.bit, c.bit, d.bit, e.bit]) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step])::INT AS after, list_sum(bits[1:step])::INT - bits[step] AS before
+  FROM orders CROSS JOIN (SELECT unnest(range(1, 6)) AS step)),
+found AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (mask & after = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM found"""
+
+
+ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8(), "op12_filter_audit": op12()}
