@@ -146,6 +146,36 @@ SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
+def op11() -> str:
+    """Dense: every group with every kept term of its language, in whole numbers."""
+    return """WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS lang_total, coalesce(own, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN langs USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS own FROM c GROUP BY ALL) USING (lang, source)),
+dense AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p,
+    1 + 1000000000 * (kept.n + 1) // (g.lang_total + g.v) AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def op12() -> str:
     """Cells of failed filters, and every step of every order summed over them."""
     return f"""WITH split_up AS (
@@ -176,4 +206,4 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM found"""
 
 
-ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8(), "op12_filter_audit": op12()}
+ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8(), "op11_divergence": op11(), "op12_filter_audit": op12()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textforge.llm import bpe, chatlog, filter_audit, lines, near, nearest, packing, quality, suffix_tree, suffixes, toxicity
+from textforge.llm import bpe, chatlog, divergence, filter_audit, lines, near, nearest, packing, quality, suffix_tree, suffixes, toxicity
 from textforge.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -68,8 +68,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines_removed")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup, op11_divergence, op12_filter_audit)}
