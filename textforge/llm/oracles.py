@@ -206,4 +206,31 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM found"""
 
 
-ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8(), "op11_divergence": op11(), "op12_filter_audit": op12()}
+def op13() -> str:
+    """Chains by list functions, the next document by a window over the whole table."""
+    from textforge.llm import spotsigs as spot
+
+    def words(values: tuple[str, ...]) -> str:
+        return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+    def codes(words_of: str, text: str) -> str:
+        chain = f"list_prepend({words_of}[i], list_filter({words_of}[i + 1 : i + {spot.LOOK}], lambda w: NOT list_contains(c, w))[1:{spot.CHAIN}])"
+        chains = f"list_transform(list_filter(range(1, len({words_of}) + 1), lambda i: list_contains(a, {words_of}[i])), lambda i: {chain})"
+        found = f"list_sort(list_distinct(list_transform(list_filter({chains}, lambda x: len(x) = {spot.CHAIN + 1}), lambda x: substr(md5(array_to_string(x, ' ')), 1, {spot.DIGITS}))))"
+        return f"CASE WHEN len({found}) > 0 THEN {found} ELSE [substr(md5({text}), 1, {spot.DIGITS})] END"
+
+    like = "len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents),
+met AS (
+  SELECT d.doc_id, d.text, d.n, left(d.text, d.n - d.n // 3) || left(e.text, d.n // 3) AS edited, e.text AS following
+  FROM d JOIN d e ON e.r = d.r % (SELECT count(*) FROM d) + 1),
+split_up AS (
+  SELECT *, {words(spot.ANCHORS)} AS a, {words(spot.COMMON)} AS c, {", ".join(f"regexp_extract_all(lower({t}), '{spot.WORD}') AS w_{t}" for t in ("text", "edited", "following"))}
+  FROM met),
+coded AS (SELECT *, {", ".join(f"{codes(f'w_{t}', t)} AS s_{t}" for t in ("text", "edited", "following"))} FROM split_up)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s_text, '') AS fingerprint,
+  array_to_string(s_edited, '') AS edited_fingerprint, {like.format("s_text", "s_edited")} AS near_edited,
+  {like.format("s_text", "s_following")} AS near_next FROM coded"""
+
+
+ORACLES = {"op1_packing": op1(), "op3_chat_format": op3(), "op6_quality": op6(), "op8_jaccard_join": op8(), "op11_divergence": op11(), "op12_filter_audit": op12(), "op13_spotsigs": op13()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textforge.llm import bpe, chatlog, divergence, filter_audit, lines, near, nearest, packing, quality, suffix_tree, suffixes, toxicity
+from textforge.llm import bpe, chatlog, divergence, filter_audit, lines, near, nearest, packing, quality, spotsigs, suffix_tree, suffixes, toxicity
 from textforge.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -76,4 +76,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup, op11_divergence, op12_filter_audit)}
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_chat_format, op4_toxicity, op5_suffix_dedup, op6_quality, op7_byte_bpe, op8_jaccard_join, op9_suffix_tree, op10_line_dedup, op11_divergence, op12_filter_audit, op13_spotsigs)}
