@@ -28,7 +28,7 @@ def test_query(spark, connection, name):
 def test_registered():
     import __spark_entry__ as contract
 
-    assert {*queries.QUERIES, "pipeline"} <= set(contract.queries()) and len(queries.QUERIES) == 10
+    assert {*queries.QUERIES, "pipeline"} <= set(contract.queries()) and len(queries.QUERIES) == 13
 
 
 def test_pipeline_stages(spark):

@@ -155,8 +155,8 @@ def near_pairs(prints: DataFrame, like: float = LIKE) -> DataFrame:
     # A signature of one set alone leads nowhere, but it fills a place before the common ones.
     shared = single.join(counts, "sig").groupBy("fingerprint", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("shared"))
     lead = F.col("n") - F.ceil(F.lit(like) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("shared"))
-    rare = shared.where(lead > 0).select("fingerprint", "n", F.explode(F.slice("shared", F.lit(1), lead)).getField("sig").alias("sig"))
-    rare = materialise(rare.withColumn("part", length_part(F.col("n"), like)), "spot-rare")
+    rare = shared.where(lead > 0).select("fingerprint", "n", F.explode(F.slice("shared", F.lit(1), lead)).alias("x"))
+    rare = materialise(rare.select("fingerprint", "n", F.col("x.sig").alias("sig")).withColumn("part", length_part(F.col("n"), like)), "spot-rare")
     shorter = rare.select(F.col("fingerprint").alias("a"), F.col("n").alias("an"), "sig", "part")
     longer = rare.select(F.col("fingerprint").alias("b"), F.col("n").alias("bn"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
     fits = (F.struct("an", "a") < F.struct("bn", "b")) & (F.col("an") >= F.lit(like) * F.col("bn") - 1e-9)
