@@ -89,10 +89,10 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """``(key, after, n_chars)``: for each document the key of the one that stands before it, from ``(doc_id, key, n_chars)``."""
+    """``(key, after, after_id, n_chars)``: for each document the one that stands before it, and that one's length; from ``(doc_id, key, n_chars)``."""
     order = (F.desc_nulls_last("doc_id"), F.asc("key"))
     distinct = materialise(docs.select("doc_id", "key", "n_chars").distinct(), "spot-documents")
-    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "n_chars", F.monotonically_increasing_id().alias("at"))
+    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "key", "n_chars", F.monotonically_increasing_id().alias("at"))
     placed = materialise(placed, "spot-order")
     part = F.shiftright("at", 33)
     sizes = sorted(placed.groupBy(part.alias("part")).count().collect())  # one row for each range
@@ -103,9 +103,9 @@ def next_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     starts = spark.createDataFrame(starts, "part long, start long")
     ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part")
-    ranked = ranked.select("key", "n_chars", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
-    before = ranked.select(F.col("key").alias("after"), "n_chars", ((F.col("rank") + 1) % F.lit(max(total, 1))).alias("rank"))
-    return ranked.select("key", "rank").join(before, "rank").select("key", "after", "n_chars")
+    ranked = ranked.select("doc_id", "key", "n_chars", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    before = ranked.select(F.col("key").alias("after"), F.col("doc_id").alias("after_id"), "n_chars", ((F.col("rank") + 1) % F.lit(max(total, 1))).alias("rank"))
+    return ranked.select("key", "rank").join(before, "rank").select("key", "after", "after_id", "n_chars")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,15 +115,18 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), whole)
-    rows = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(name.cast("binary"))).alias("key"), whole.alias("text"))
-    follows = materialise(next_documents(rows.select("doc_id", "key", F.length("text").alias("n_chars"))), "spot-next")
+    name = F.unhex(F.md5(name.cast("binary"))).alias("key")
+    listed = docs.select(F.col(key).alias("doc_id"), name, F.length(whole).alias("n_chars"))
+    follows = materialise(next_documents(listed), "spot-next")
 
+    # Both joins read the same columns of the texts, so that one exchange serves both.
+    rows = docs.select(name, whole.alias("text"))
     given = rows.join(follows, "key").select(
         F.col("after").alias("key"),
-        F.struct(F.expr("substring(text, 1, n_chars div 3)").alias("start"), fingerprint(F.col("text")).alias("next_print")).alias("given"),
+        F.struct("after_id", F.expr("substring(text, 1, n_chars div 3)").alias("start"), fingerprint(F.col("text")).alias("next_print")).alias("given"),
     )
     given = given.groupBy("key").agg(F.first("given").alias("given"))
-    met = rows.join(given, "key").select("doc_id", "text", F.length("text").alias("n_chars"), "given.start", "given.next_print")
+    met = rows.join(given, "key").select(F.col("given.after_id").alias("doc_id"), "text", F.length("text").alias("n_chars"), "given.start", "given.next_print")
     met = met.withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 3)"), F.col("start")))
     met = met.withColumn("own", signatures(F.col("text"))).withColumn("changed", signatures(F.col("edited")))
     met = met.withColumn("following", members(F.col("next_print")))
