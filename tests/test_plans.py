@@ -8,7 +8,6 @@ from textforge.options import FieldMap, PrepOptions, SuiteOptions
 from textforge.plans.evaluate import evaluate_model
 from textforge.plans.prepare import prepare_splits, training_batches, training_tokens
 from textforge.plans.suite import run_suite
-from textforge.operators.tokens import byte_tokenizer
 from textforge.session import shared_dir
 from textforge.sources.records import read_phases
 from textforge.streaming.prepare import append_tokens, token_stream
@@ -35,7 +34,8 @@ def test_prepare(spark):
     assert (done.train.count(), done.validation.count(), done.test.count()) == (100, 9, 5)
     assert done.train.join(done.validation, "sample_id").count() == 0
     tokens = training_tokens(done.train, options)
-    subwords = training_tokens(done.train, options, tokenizer_json=byte_tokenizer())
+    make_encode = lambda: lambda texts: [(list(t.encode()), [(i, i + 1) for i in range(len(t.encode()))]) for t in texts]
+    subwords = training_tokens(done.train, options, make_encode=make_encode)
     assert tokens.where("size(input_ids) > 64").count() == 0 and subwords.where("size(labels) = 64").count() == 100
     batches = training_batches(tokens, batch_size=8, drop_last=True)
     assert batches.select("batch_id").distinct().count() == 12 and batches.count() == 96

@@ -34,3 +34,14 @@ def test_materialised_copy_has_no_lineage(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 10 and "Exchange" not in plan and "Range" not in plan
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_local_master_without_shared_folder_gets_one_of_its_own():
+    def lone(application):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: default),
+            sparkContext=SimpleNamespace(master="local[4]", applicationId=application),
+        )
+
+    first = shared_dir(lone("app-1"))
+    assert shared_dir(lone("app-1")) == first and shared_dir(lone("app-2")) != first

@@ -75,18 +75,27 @@ def rendered(samples):
     return with_training_text(samples, get_model("qwen")).select("sample_id", "text_prompt", "text_full")
 
 
-@pytest.mark.parametrize("limit", [None, 512, 40, 1])
-def test_subword_labels_against_offsets(rendered, limit):
-    from tokenizers import Tokenizer
+def piece_encoder():
+    """Words cut into pieces of up to four characters, with offsets; blanks belong to no token."""
+
+    def make():
+        def encode(texts):
+            spans = [[(i, min(i + 4, m.end())) for m in re.finditer(r"\S+", t) for i in range(m.start(), m.end(), 4)] for t in texts]
+            return [([ord(t[a]) * 100 + b - a for a, b in at], at) for t, at in zip(texts, spans)]
+
+        return encode
+
+    return make
 
-    serialised = tk.byte_tokenizer()
-    model = Tokenizer.from_str(serialised)
-    got = {r.sample_id: r for r in tk.tokenize_with_model(rendered, serialised, max_length=limit).collect()}
+
+@pytest.mark.parametrize("limit", [None, 512, 40, 1])
+def test_encoded_labels_against_offsets(rendered, limit):
+    got = {r.sample_id: r for r in tk.encode_texts(rendered, piece_encoder(), max_length=limit, batch_size=5).collect()}
     assert len(got) == 23
+    encode = piece_encoder()()
     for r in rendered.collect():
-        item = model.encode(r.text_full, add_special_tokens=False)
-        ids = item.ids[:limit]
-        begins = [o[0] for o in item.offsets[: len(ids)]]
+        ((ids, offsets),) = encode([r.text_full])
+        ids, begins = ids[:limit], [o[0] for o in offsets[:limit]]
         start = next((i for i, b in enumerate(begins) if b >= len(r.text_prompt)), len(ids))
         assert got[r.sample_id].input_ids == ids
         assert got[r.sample_id].labels == [-100] * start + ids[start:]
@@ -94,27 +103,37 @@ def test_subword_labels_against_offsets(rendered, limit):
 
 
 def test_straddling_and_far_boundaries(spark):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    model = Tokenizer(models.WordLevel({"aa": 1, "bb": 2, "cc": 3, "[UNK]": 0}, unk_token="[UNK]"))
-    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     cases = [("", [1, 2, 3]), ("a", [-100, 2, 3]), ("aa", [-100, 2, 3]), ("aa ", [-100, 2, 3]),
-             ("aa bb c", [-100, -100, -100]), ("x" * 50, [-100, -100, -100])]
+             ("aa bb c", [-100, -100, -100]), ("x" * 50, [-100, -100, -100]), (None, [1, 2, 3])]
     df = spark.createDataFrame([(p, "aa bb cc") for p, _ in cases], "text_prompt string, text_full string")
     df = df.withColumn("p", F.col("text_prompt"))
-    got = {r.p: r.labels for r in tk.tokenize_with_model(df, model.to_str()).collect()}
-    assert got == dict(cases)
+
+    def make():
+        return lambda texts: [([1, 2, 3], [(0, 2), (3, 5), (6, 8)]) for _ in texts]
+
+    assert {r.p: r.labels for r in tk.encode_texts(df, make).collect()} == dict(cases)
+
+
+def test_encoded_null_and_empty_texts_and_wrong_offsets(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "", "abcdefgh")], "k int, text_prompt string, text_full string")
+    got = {r.k: r for r in tk.encode_texts(df, piece_encoder()).collect()}
+    assert [got[k].input_ids for k in (1, 2)] == [[], []] and len(got[3].labels) == 2
+    with pytest.raises(Exception, match="other numbers of ids and offsets"):
+        tk.encode_texts(df, lambda: lambda texts: [([1], []) for _ in texts]).collect()
 
 
 def test_decode(rendered):
-    serialised = tk.byte_tokenizer()
-    tokens = tk.tokenize_with_model(rendered, serialised, max_length=None).join(
-        rendered.select("sample_id", "text_full"), "sample_id"
-    )
-    for r in tk.decode_with_model(tokens, serialised, "input_ids").collect():
-        assert r.decoded == r.text_full
-    short = tk.decode_with_model(tokens, serialised, "input_ids", length=10).first()
-    assert short.decoded == short.text_full[:10] + "..."
+    def make_encode():
+        return lambda texts: [([ord(c) for c in t], [(i, i + 1) for i in range(len(t))]) for t in texts]
+
+    def make_decode():
+        return lambda rows: ["".join(map(chr, ids)) for ids in rows]
+
+    tokens = tk.encode_texts(rendered.withColumn("full", F.col("text_full")), make_encode, max_length=None)
+    for r in tk.decode_ids(tokens, make_decode, "input_ids").collect():
+        assert r.decoded == r.full
+    short = tk.decode_ids(tokens, make_decode, "input_ids", length=10).first()
+    assert short.decoded == short.full[:10] + "..."
 
 
 def test_statistics(spark):
@@ -192,3 +211,15 @@ def test_single_row_batch(rendered):
 def test_batch_assignment_moves_no_arrays(rendered):
     tokens = tk.tokenize_native(rendered).select("sample_id", F.size("input_ids").alias("n_tokens"))
     assert set(assign_batches(tokens, "sample_id").columns) == {"sample_id", "batch_id", "batch_length"}
+
+
+def test_batches_of_null_and_repeated_keys(spark):
+    rows = [(None, [1]), ("a", [2, 2]), ("a", [3, 3, 3]), ("b", [4]), (None, [1])]
+    df = spark.createDataFrame(rows, "k string, input_ids array<int>").selectExpr("*", "input_ids as attention_mask", "input_ids as labels")
+    got = pad_batches(df, "k", 2).collect()
+    assert sorted((str(r.k), [x for x in r.labels if x != -100]) for r in got) == sorted((str(k), ids) for k, ids in rows)
+    sizes = [sum(r.batch_id == b for r in got) for b in range(3)]
+    assert sizes == [2, 2, 1] and all(len(r.input_ids) == max(len(s.input_ids) for s in got if s.batch_id == r.batch_id) for r in got)
+    assert len(pad_batches(df, "k", 2, drop_last=True).collect()) == 4
+    one_key = spark.range(500).selectExpr("'x' as k", "array(cast(id as int)) as input_ids", "array(1) as attention_mask", "array(1) as labels")
+    assert sorted(r.input_ids[0] for r in pad_batches(one_key, "k", 3).collect()) == list(range(500))

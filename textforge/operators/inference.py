@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textforge.operators.batched import MapBatch, map_batches
 from textforge.session import materialise
 from textforge.sources.datasets import mark_complete, path_exists
 
@@ -43,18 +44,20 @@ def batch_predict(
     """
     keys = [*keys, *carry]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> MapBatch:
         predict = make_predict()
-        for batch in batches:
-            prompts = batch[prompt].tolist()
-            texts: list[str] = []
+
+        def run(columns: dict[str, list]) -> dict[str, list]:
+            prompts, texts = columns[prompt], []
             for begin in range(0, len(prompts), batch_size):
                 texts.extend(predict(prompts[begin : begin + batch_size]))
             if len(texts) != len(prompts):
                 raise ValueError(f"{len(prompts)} prompts gave {len(texts)} predictions")
-            yield batch[keys].assign(prediction=[t.strip() for t in texts], error=None)
+            return {"prediction": [t.strip() for t in texts], "error": [None] * len(texts)}
+
+        return run
 
-    return df.select(*dict.fromkeys([*keys, prompt])).mapInPandas(run, _schema(df, keys))
+    return map_batches(df, make, [prompt], T.StructType(_PREDICTION), list(dict.fromkeys(keys)))
 
 
 def endpoint_predict(

@@ -1,22 +1,23 @@
 """Tokens, assistant-only labels and token statistics.
 
 Two tokenisers share one output schema (``input_ids``, ``attention_mask``, ``labels``): a native
-one made of array expressions, and any serialised ``tokenizers`` model run in Arrow batches.
+one made of array expressions, and any encode function of the user's own, run over batches.
 """
 
 from __future__ import annotations
 
-import os
-from typing import Iterator, Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textforge.functions.text import preview
+from textforge.operators.batched import MapBatch, map_batches
+
+#: Texts to (token ids, character offsets) each, and token ids back to texts.
+Encode = Callable[[list[str]], Sequence[tuple[Sequence[int], Sequence[tuple[int, int]]]]]
+Decode = Callable[[list[list[int]]], Sequence[str]]
 
 IGNORED = -100
 
@@ -141,84 +142,59 @@ def _counts(df: DataFrame) -> tuple[Column, Column]:
     return F.size("input_ids"), masked_count(F.col("labels"))
 
 
-def tokenize_with_model(
+def encode_texts(
     df: DataFrame,
-    tokenizer_json: str,
+    make_encode: Callable[[], Encode],
     text: str = "text_full",
     prompt: str = "text_prompt",
     max_length: int | None = 512,
     keep: Sequence[str] | None = None,
-    arrays: Sequence[str] = ("input_ids", "attention_mask", "labels"),
+    batch_size: int = 1000,
 ) -> DataFrame:
-    """Tokenise with a serialised tokeniser, broadcast once and built once per task.
+    """``input_ids``, ``attention_mask`` and ``labels`` by an encode function of the user's own.
 
-    ``arrays`` names the columns wanted; Spark cannot prune what a Python stage returns.
+    The function gives ids and character offsets ``(start, end)`` per text; everything else is an expression:
+    both are cut to ``max_length``, labels count from the first token that starts at or after the end of the prompt, and a
+    token that straddles it stays masked. A null text is encoded as an empty one. ``keep`` names the columns
+    that stay, all but the texts by default.
     """
     keep = [c for c in df.columns if c not in (text, prompt)] if keep is None else list(keep)
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-    source = df.select(*keep, F.col(text).alias("_text"), F.length(prompt).alias("_plen"))
-    schema = T.StructType(
-        [source.schema[c] for c in keep] + [T.StructField(a, T.ArrayType(T.IntegerType())) for a in arrays]
+
+    def make() -> MapBatch:
+        encode = make_encode()
+
+        def run(columns: dict[str, list]) -> dict[str, list]:
+            encoded = list(encode(columns["_text"]))
+            ids, offsets = ([row[k] for row in encoded] for k in (0, 1))
+            if wrong := [i for i, (x, y) in enumerate(zip(ids, offsets)) if len(x) != len(y)]:
+                raise ValueError(f"{len(wrong)} texts with other numbers of ids and offsets, e.g. {columns['_text'][wrong[0]][:80]!r}")
+            return {"_ids": ids, "_offsets": [[{"start": int(a), "end": int(b)} for a, b in row] for row in offsets]}
+
+        return run
+
+    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.length(prompt), F.lit(0)).alias("_plen"))
+    made = map_batches(source, make, ["_text"], "_ids array<int>, _offsets array<struct<start: int, end: int>>", [*keep, "_plen"], batch_size)
+
+    def cut(values: Column) -> Column:
+        return values if max_length is None else F.slice(values, 1, max_length)
+
+    start = start_from_offsets(cut(F.col("_offsets")), F.col("_plen"))
+    cut_ids = made.select(*keep, cut(F.col("_ids")).alias("input_ids"), start.alias("_start"))
+    return cut_ids.select(
+        *keep, "input_ids", attention(F.col("input_ids")).alias("attention_mask"), masked_labels(F.col("input_ids"), F.col("_start")).alias("labels")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _load_tokenizer(shared.value)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
-            bounds = batch.column("_plen").fill_null(0).to_pylist()
-            # Only labels need character offsets; the fast form skips them.
-            encode = model.encode_batch if "labels" in arrays else model.encode_batch_fast
-            encoded = encode(texts, add_special_tokens=False)
-            rows = [np.asarray(item.ids[:max_length], dtype=np.int32) for item in encoded]
-            ends = np.cumsum([0] + [len(row) for row in rows]).astype(np.int32)
-            ids = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
-            made = {"input_ids": ids}
-            if "attention_mask" in arrays:
-                made["attention_mask"] = np.ones_like(ids)
-            if "labels" in arrays:
-                made["labels"] = ids.copy()
-                for item, text, bound, begin, end in zip(encoded, texts, bounds, ends, ends[1:]):
-                    made["labels"][begin : min(begin + _first_from(item, text, bound), end)] = IGNORED
-            lists = [pa.ListArray.from_arrays(ends, made[a]) for a in arrays]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + lists, names=schema.names)
-
-    return source.mapInArrow(run, schema)
-
-
-def _load_tokenizer(serialised: str):
-    """Build the tokeniser in a task. Spark runs one task per core, so the library must not
-    start threads of its own."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(serialised)
-
-
-def _first_from(encoding, text: str, bound: int) -> int:
-    """Index of the first token that begins at character ``bound`` or later."""
-    for position in range(bound, len(text)):
-        index = encoding.char_to_token(position)
-        if index is not None:
-            while index < len(encoding) and encoding.token_to_chars(index)[0] < bound:
-                index += 1
-            return index
-    return len(encoding)
-
-
-def decode_with_model(
-    df: DataFrame, tokenizer_json: str, ids: str, name: str = "decoded", length: int | None = None
+
+def decode_ids(
+    df: DataFrame, make_decode: Callable[[], Decode], ids: str, name: str = "decoded", length: int | None = None, batch_size: int = 1000
 ) -> DataFrame:
-    """Token ids back to text, special tokens included; optionally shortened for display."""
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
+    """Token ids back to text by a function of the user's own; optionally shortened for display."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _load_tokenizer(shared.value)
-        for batch in batches:
-            texts = model.decode_batch(batch.column(ids).to_pylist(), skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(texts, pa.string())], names=schema.names)
+    def make() -> MapBatch:
+        decode = make_decode()
+        return lambda columns: {name: list(decode([[] if row is None else row for row in columns[ids]]))}
 
-    decoded = df.mapInArrow(run, schema)
+    decoded = map_batches(df, make, [ids], f"`{name}` string", [c for c in df.columns if c != name], batch_size)
     return decoded.withColumn(name, preview(F.col(name), length)) if length else decoded
 
 
@@ -341,19 +317,3 @@ def declared_vocabularies(loaders: Mapping[str, object], spark, paths: Mapping[s
     return spark.createDataFrame(rows, "model string, vocab_size bigint, model_path string").orderBy(
         F.desc("vocab_size"), "model"
     )
-
-
-def byte_tokenizer() -> str:
-    """A byte-level tokeniser without merges plus the special tokens, serialised.
-
-    It stands in where no trained tokeniser file is at hand: every byte is one token.
-    """
-    from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers
-
-    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
-    vocabulary = {symbol: index for index, symbol in enumerate(alphabet)} | dict(SPECIAL_TOKENS)
-    model = Tokenizer(models.BPE(vocab=vocabulary, merges=[]))
-    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    model.decoder = decoders.ByteLevel()
-    model.add_special_tokens([AddedToken(t, special=True) for t in SPECIAL_TOKENS])
-    return model.to_str()

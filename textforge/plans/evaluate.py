@@ -12,10 +12,12 @@ from textforge.functions.templates import render_messages
 from textforge.operators.chat import build_messages, reference_column
 from textforge.operators.inference import batch_predict, endpoint_predict, predict_in_waves, predict_once
 from textforge.operators.matching import embed_and_match, match_corpus
+from textforge.operators.ordering import number_rows
 from textforge.operators.rouge import corpus_scores, rouge_scores
 from textforge.operators.sampling import first_n
 from textforge.options import FieldMap
 from textforge.registry import get_model_for_path
+from textforge.sources.positions import align_by_position, read_records
 from textforge.sources.records import MATCH_FIELDS, append_result, prediction_records, write_json_lines
 
 
@@ -74,25 +76,47 @@ def evaluate_model(
         return endpoint_predict(rows, [key], "messages", make_client, max_workers, pause, carry)
 
     answered = predict_in_waves(asked, [key], ask, answers_path) if answers_path else predict_once(ask(asked))
-    scored = rouge_scores(answered, [key, "prediction", "reference"])
-    measured = [c for c in scored.columns if c not in ("prediction", "reference")]
+    # Records with embedding scores need the whole sample beside them, so it comes along; nothing is joined.
+    carried = answered.columns if records_path and make_embedder is not None else [key, "prediction", "reference"]
+    scored = rouge_scores(answered, carried)
+    figures = [c for c in scored.columns if c not in carried]
     if make_embedder is None:
-        per_sample = predict_once(scored.select(measured), "scores")
-        metrics = corpus_scores(per_sample, ["rouge1", "rouge2", "rougeL"])
+        kept = predict_once(scored.select(key, *figures), "scores")
+        metrics = corpus_scores(kept, ["rouge1", "rouge2", "rougeL"])
     else:
-        per_sample = predict_once(embed_and_match(scored, measured, make_embedder), "scores")
-        metrics = per_sample.agg(
-            *[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL")],
-            *[F.avg(m).alias(m) for m in ("bert_precision", "bert_recall", "bert_f1")],
-            F.count(F.lit(1)).alias("num_samples"),
-        )
+        kept = predict_once(embed_and_match(scored, list(dict.fromkeys([key, *(carried if records_path else []), *figures])), make_embedder), "scores")
+        figures += MATCH_FIELDS
+        metrics = kept.agg(*[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL", *MATCH_FIELDS)], F.count(F.lit(1)).alias("num_samples"))
+    per_sample = kept.select(key, *figures)
     if results_path:
         tuned = {"base_model": base_model, "adapter_id": adapter_id or model_path}
         append_result(metrics, results_path, tuned if base_model else {"model_name": model_path})
     if records_path:
-        rows = answered if make_embedder is None else answered.join(per_sample.select(key, *MATCH_FIELDS), key)
+        rows = answered if make_embedder is None else kept
         write_json_lines(prediction_records(rows, fields, make_embedder is not None), records_path)
     return Evaluation(metrics, per_sample, answered.select(key, "prediction", "error"))
 
 
-__all__ = ["Evaluation", "evaluate_model", "match_corpus", "prompts"]
+def score_prediction_file(
+    samples: DataFrame,
+    path: str | list[str],
+    key: str = "sample_id",
+    order: tuple[str, ...] = (),
+    prediction: str = "prediction",
+    fields: FieldMap = FieldMap(),
+) -> Evaluation:
+    """Score stored predictions that carry no key: JSON Lines whose n-th line answers the n-th sample.
+
+    Samples are in the order of ``order``, of ``key`` if it is not given, and the lines in that of the files' names. A
+    file with more or fewer lines than there are samples is an error.
+    """
+    numbered = number_rows(samples, *(order or (key,)))
+    read = read_records(samples.sparkSession, path, f"`{prediction}` string")
+    answers = read.select("position", F.coalesce(F.col(prediction), F.lit("")).alias("prediction"))
+    aligned = align_by_position(numbered.withColumn("reference", reference_column(samples, fields)).drop("prediction"), answers)
+    predictions = predict_once(aligned, "aligned")
+    per_sample = predict_once(rouge_scores(predictions, [key, "position"]), "scores")
+    return Evaluation(corpus_scores(per_sample, ["rouge1", "rouge2", "rougeL"]), per_sample, predictions.select(key, "position", "prediction"))
+
+
+__all__ = ["Evaluation", "evaluate_model", "match_corpus", "prompts", "score_prediction_file"]

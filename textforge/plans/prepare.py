@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from textforge.operators.batching import pad_batches
 from textforge.operators.chat import with_training_text
 from textforge.operators.sampling import find_cut, row_hash, subset_cut, take_cut
-from textforge.operators.tokens import tokenize_native, tokenize_with_model
+from textforge.operators.tokens import Encode, encode_texts, tokenize_native
 from textforge.operators.validity import filter_valid, required_columns, valid
 from textforge.options import PrepOptions, SampleCount
 from textforge.registry import get_model_for_path
@@ -73,22 +74,22 @@ def training_tokens(
     samples: DataFrame,
     options: PrepOptions,
     key: str = "sample_id",
-    tokenizer_json: str | None = None,
+    make_encode: Callable[[], Encode] | None = None,
 ) -> DataFrame:
     """Messages, rendered text, tokens and assistant-only labels for one model family.
 
-    Native expressions up to the text; a serialised tokeniser adds one Arrow stage.
+    Native expressions up to the text; an encode function of the user's own adds one Arrow stage.
     """
     model = get_model_for_path(options.base_model)
     rendered = with_training_text(samples, model, options.fields).select(key, "text_prompt", "text_full")
-    if tokenizer_json is None:
+    if make_encode is None:
         return tokenize_native(rendered, max_length=options.max_length)
-    return tokenize_with_model(rendered, tokenizer_json, max_length=options.max_length)
+    return encode_texts(rendered, make_encode, max_length=options.max_length)
 
 
 def training_batches(
     tokens: DataFrame, key: str = "sample_id", batch_size: int = 4, seed: int = 42, drop_last: bool = False
 ) -> DataFrame:
-    """Padded batches from token arrays, which are written once because they are read twice."""
+    """Padded batches from token arrays."""
     arrays = tokens.select(key, "input_ids", "attention_mask", "labels")
-    return pad_batches(materialise(arrays, "tokens"), key, batch_size, seed=seed, drop_last=drop_last)
+    return pad_batches(arrays, key, batch_size, seed=seed, drop_last=drop_last)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}  # by application: Spark does not let a running session set the option
 
 
 def local_session(cores: int | str = "*", name: str = "textforge", **conf: str) -> SparkSession:
@@ -38,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="textforge-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="textforge-")
+    return _local_folders[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textforge.operators.bootstrap import change_intervals, poisson_steps, score_intervals
 from textforge.operators.compare import best_model, change, rank_models, stack_scores, summary, to_long
 from textforge.operators.rouge import corpus_scores, rouge_scores
 from textforge.session import fresh_path
 from textforge.sources.records import append_phase, append_result, read_phases
 from textforge.sources.scores import normalise_scores, read_score_files
-from textforge.workloads.relations import model_predictions
+from textforge.workloads.relations import PREDICTIONS, model_predictions, rouge_sql
 from textforge.workloads.scoring import CORPUS_CTES
 
 METRICS = ["rouge1", "rouge2", "rougeL"]
@@ -109,7 +110,25 @@ def stored_phases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return rouge_scores(model_predictions(spark, folder), ["conv_id", "turn", "model"], subsequence=False)
+
+
+def score_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 95 % bounds of each model's mean overlap, by 200 Poisson bootstrap replicates."""
+    found = score_intervals(_pair_scores(spark, folder), ["conv_id", "turn"], ["rouge1", "rouge2"])
+    return found.select("model", "metric", *[F.round(c, 6).alias(c) for c in ("median", "low", "high")], "replicates")
+
+
+def change_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and bounds of the relative change against the echoing model, on the same replicates."""
+    found = change_intervals(_pair_scores(spark, folder), ["conv_id", "turn"], ["rouge1", "rouge2"], "org/Qwen-echo", level=0.9)
+    return found.select("model", "metric", *[F.round(c, 5).alias(c) for c in ("median", "low", "high")], "replicates")
+
+
 QUERIES = {
+    "score_intervals": score_bounds,
+    "change_intervals": change_bounds,
     "score_union": score_union,
     "relative_change": relative_change,
     "score_summary": score_summary,
@@ -131,7 +150,30 @@ families AS (
     AS f(model, base_model, source)
   JOIN long_scores t ON t.model = f.source JOIN long_scores b ON b.model = f.base_model AND b.metric = t.metric)"""
 
+_STEPS = " + ".join(f"(digits >= '{step}')::INTEGER" for step in poisson_steps())
+_REPLICATES = f"""{PREDICTIONS}, {rouge_sql('predictions', 'conv_id, turn, model', 1, 'r1')}, {rouge_sql('predictions', 'conv_id, turn, model', 2, 'r2')},
+hashed AS (
+  SELECT conv_id, turn, block, md5('42:' || conv_id || ':' || turn || ':' || block) AS h FROM pairs CROSS JOIN range(25) AS b(block)),
+drawn AS (
+  SELECT conv_id, turn, 8 * block + place AS replicate, {_STEPS} AS weight
+  FROM (SELECT conv_id, turn, block, place, substr(h, (4 * place + 1)::INTEGER, 4) AS digits FROM hashed CROSS JOIN range(8) AS p(place))),
+means AS (
+  SELECT model, replicate, sum(weight * r1.f) / sum(weight) AS rouge1, sum(weight * r2.f) / sum(weight) AS rouge2
+  FROM drawn JOIN r1 USING (conv_id, turn) JOIN r2 USING (conv_id, turn, model) WHERE weight > 0 GROUP BY model, replicate)"""
+
+
+def _bounds_sql(source: str, tail: float, decimals: int) -> str:
+    ends = ", ".join(f"round(quantile_cont(value, {q}), {decimals}) AS {name}" for q, name in ((0.5, "median"), (tail, "low"), (1 - tail, "high")))
+    return f"""SELECT model, metric, {ends}, count(*) AS replicates FROM (
+      SELECT model, unnest(['rouge1', 'rouge2']) AS metric, unnest([rouge1, rouge2]) AS value FROM {source}) GROUP BY model, metric"""
+
+
 ORACLES = {
+    "score_intervals": f"WITH {_REPLICATES} {_bounds_sql('means', 0.025, 6)}",
+    "change_intervals": f"""WITH {_REPLICATES}, changes AS (
+      SELECT a.model, (a.rouge1 - b.rouge1) / b.rouge1 * 100 AS rouge1, (a.rouge2 - b.rouge2) / b.rouge2 * 100 AS rouge2
+      FROM means a JOIN means b USING (replicate) WHERE a.model <> 'org/Qwen-echo' AND b.model = 'org/Qwen-echo')
+      {_bounds_sql('changes', 0.05, 5)}""",
     "score_union": f"""WITH {_LONG} SELECT model, metric, round(value, 6) AS value FROM long_scores
       UNION ALL SELECT model, 'mean_chars', round(avg(length(prediction)), 6) FROM predictions GROUP BY model""",
     "relative_change": f"""WITH {_LONG} SELECT model, base_model, metric, round(b, 5) AS base, round(t, 5) AS finetuned,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textforge.functions.templates import ANSWER_TEMPLATE, MESSAGE_TYPE, message
+from textforge.operators.batched import map_batches
 from textforge.operators.inference import (
     align,
     batch_predict,
@@ -18,7 +19,7 @@ from textforge.operators.matching import embed_and_match
 from textforge.operators.output_checks import output_report
 from textforge.operators.chat import reference_column
 from textforge.options import SuiteOptions
-from textforge.plans.evaluate import evaluate_model
+from textforge.plans.evaluate import evaluate_model, score_prediction_file
 from textforge.plans.suite import run_suite
 from textforge.session import fresh_path
 from textforge.sources.records import dialogue_records, prediction_records, read_phases, write_json_lines
@@ -81,6 +82,16 @@ def make_literal_client():
     return call
 
 
+def make_word_shapes():
+    """A stand-in batch function: for every text the lengths and the first letters of its words."""
+
+    def shapes(columns):
+        words = [text.split(" ") for text in columns["request"]]
+        return {"lengths": [[len(w) for w in ws] for ws in words], "initials": [[w[:1] for w in ws] for ws in words]}
+
+    return shapes
+
+
 def make_word_embedder():
     """A stand-in embedder: a word is its length, its number of e's and a one."""
 
@@ -158,6 +169,24 @@ def waves(spark: SparkSession, folder: str) -> DataFrame:
     return made.drop("error")
 
 
+def mapped_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Two array columns per conversation pair, made in batches; the texts are dropped."""
+    asked = pairs(spark, folder)
+    return map_batches(asked, make_word_shapes, ["request"], "lengths array<int>, initials array<string>", ["conv_id", "turn"], 64)
+
+
+def stored_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions stored without a key in several files, scored against the samples by position."""
+    samples = sample_pairs(spark, folder)
+    made = samples.select("sample_id", F.concat_ws(" ", F.reverse(F.split("NER", " ")), F.lit("and so on")).alias("prediction"))
+    path = fresh_path(spark, "no-key")
+    in_order = made.repartitionByRange(7, "sample_id").sortWithinPartitions("sample_id")
+    write_json_lines(in_order.select("prediction"), path)
+    done = score_prediction_file(samples, path)
+    scores = [F.round(c, 6).alias(c) for c in ("rouge1", "rouge2")]
+    return done.predictions.join(done.per_sample, ["sample_id", "position"]).select("sample_id", "position", "prediction", *scores)
+
+
 def match_records(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction records with embedding scores of the reply against the request."""
     samples = sample_pairs(spark, folder)
@@ -226,6 +255,8 @@ QUERIES = {
     "evaluate_endpoint": endpoint_evaluation,
     "predict_in_waves": waves,
     "match_records": match_records,
+    "map_batches": mapped_columns,
+    "positional_scores": stored_in_order,
     "suite_phases": suite,
     "output_format_report": output_format,
     "output_lengths_by_model": output_format_by_model,
@@ -284,6 +315,14 @@ ORACLES = {
     "evaluate_endpoint": f"""WITH {_CALLED}, {rouge_sql('texts', 'sample_id', 1, 'r1')}, {rouge_sql('texts', 'sample_id', 2, 'r2')}
       SELECT round(avg(r1.f), 6) AS rouge1, round(avg(r2.f), 6) AS rouge2, count(*) AS num_samples,
         (SELECT count(*) FROM texts WHERE failed) AS n_failed FROM r1 JOIN r2 USING (sample_id)""",
+    "map_batches": f"""WITH {PAIRS} SELECT conv_id, turn, list_transform(string_split(request, ' '), lambda w: length(w)::INTEGER) AS lengths,
+      list_transform(string_split(request, ' '), lambda w: w[1:1]) AS initials FROM pairs""",
+    "positional_scores": f"""WITH {PAIR_SAMPLES}, texts AS (
+        SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position, {ANSWER} AS reference,
+          array_to_string(list_reverse(string_split(NER, ' ')), ' ') || ' and so on' AS prediction FROM samples),
+      {rouge_sql('texts', 'sample_id', 1, 'r1')}, {rouge_sql('texts', 'sample_id', 2, 'r2')}
+      SELECT sample_id, position, prediction, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2
+      FROM texts JOIN r1 USING (sample_id) JOIN r2 USING (sample_id)""",
     "predict_in_waves": f"WITH {PAIRS} SELECT conv_id, turn, {_LEAD.format('request')} AS prediction FROM pairs",
     "match_records": f"""WITH {_WORD_MATCH} SELECT 'Conversation ' || conv_id AS title, reply AS prediction,
       round(p, 6) AS bert_precision, round(r, 6) AS bert_recall, round(2 * p * r / (p + r), 6) AS bert_f1

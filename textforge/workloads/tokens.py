@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textforge.operators.batching import pad_batches
 from textforge.operators.chat import messages_per_model, reference_column, with_registry, with_training_text
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
@@ -123,6 +124,34 @@ def token_stats_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return _stats(count_tokens(keyed), "model")
 
 
+def make_chunk_encoder():
+    """A stand-in tokeniser: every three characters are a token, whose id is the code of its first one."""
+
+    def encode(texts):
+        starts = [range(0, len(t), 3) for t in texts]
+        return [([ord(t[i]) for i in at], [(i, min(i + 3, len(t))) for i in at]) for t, at in zip(texts, starts)]
+
+    return encode
+
+
+def encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and labels by an encode function with offsets; tokens that straddle the end of the prompt stay masked."""
+    options = PrepOptions("pairs", base_model="Qwen/x", max_length=400)
+    tokens = training_tokens(sample_pairs(spark, folder), options, make_encode=make_chunk_encoder)
+    joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "labels")]
+    return tokens.select("sample_id", *joined, F.size("attention_mask").alias("n_tokens"))
+
+
+def padded_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of rows whose keys repeat or are null: per key, as many rows and tokens come out as go in."""
+    counts = _document_tokens(spark, folder, 64)
+    key = F.when(F.col("sample_id") % 7 > 0, F.col("sample_id") % 50).alias("sample_key")
+    arrays = ("input_ids", "attention_mask", "labels")
+    padded = pad_batches(counts.select(key, *arrays), "sample_key", 8)
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return padded.groupBy("sample_key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(real).alias("n_tokens"))
+
+
 def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
     return _padded(training_batches(_pair_tokens(spark, folder)))
 
@@ -184,7 +213,9 @@ QUERIES = {
     "label_texts": masked_and_trained_text,
     "token_stats": token_stats,
     "token_stats_by_model": token_stats_by_model,
+    "encode_offsets": encoded,
     "pad_batches": padded_batches,
+    "pad_batches_repeated_keys": padded_repeated_keys,
     "pad_batches_full_only": padded_batches_full_only,
     "vocab_by_group": vocab_by_group,
     "vocab_share": vocab_share,
@@ -292,6 +323,14 @@ ORACLES = {
           {_MODEL_TEXT} || {ANSWER} || '<|im_end|>' || chr(10) AS text_full
         FROM samples CROSS JOIN models),
       {_tokens('texts', 'sample_id, model')}, {_COUNTS.format(keys='sample_id, model')} {_statistics('model')}""",
+    "encode_offsets": f"""WITH {PAIR_SAMPLES}, {TRAINING_TEXT}, cut AS (
+        SELECT sample_id, text_full, length(text_prompt) AS plen, least((length(text_full) + 2) // 3, 400) AS n FROM texts),
+      coded AS (SELECT *, list_transform(range(0, n), lambda i: unicode(text_full[3 * i + 1 : 3 * i + 1])) AS ids FROM cut)
+      SELECT sample_id, array_to_string(ids, ' ') AS input_ids, n::INTEGER AS n_tokens,
+        array_to_string(list_transform(range(0, n), lambda i: CASE WHEN 3 * i >= plen THEN ids[i + 1] ELSE -100 END), ' ') AS labels FROM coded""",
+    "pad_batches_repeated_keys": f"""WITH {_DOC_TEXT}, {_tokens('texts', 'sample_id', 64)}
+      SELECT CASE WHEN sample_id % 7 > 0 THEN sample_id % 50 END AS sample_key, count(DISTINCT sample_id) AS n_rows, count(*) AS n_tokens
+      FROM tok GROUP BY 1""",
     "pad_batches": _padded_sql(4, 42, None, False),
     "pad_batches_full_only": _padded_sql(6, 1, None, True),
     "vocab_by_group": f"WITH {_VOCAB} SELECT lang, vocab_size FROM vocab",
