@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,13 +176,25 @@ def ranks():
 def test_bpe(spark, edge, ranks, monkeypatch, frequent):
     monkeypatch.setattr(bpe, "FREQUENT", frequent)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    short = edge.where("doc_id is null or doc_id <> 14")
     texts = Counter()
     for i, t in cases.edge_texts():
-        if i != 14:
-            ids = library.encode_ordinary(t or "")
-            texts[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
-    assert Counter(map(tuple, bpe.digest(short, ranks, public_tokenizers.PATTERN).collect())) == texts
+        ids = library.encode_ordinary(t or "")
+        texts[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.digest(edge, ranks, public_tokenizers.PATTERN).collect())) == texts
+
+
+def test_words_merge_alike_at_any_length_and_with_a_full_cache(ranks, monkeypatch):
+    rng = random.Random(8)
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(rng.choices("aeinrst ouü語", k=n)) for n in (1, 2, 3, 9, 60, 63, 64, 65, 127, 128, 129, 400) for _ in range(8)] + ["a" * 300]
+    want = [tuple(library.encode_ordinary(w)) for w in words]
+    assert [bpe.merge_word(w.encode(), ranks) for w in words] == want
+    monkeypatch.setattr(bpe, "SHORT_WORD", 0)
+    assert [bpe.merge_word(w.encode(), ranks) for w in words] == want
+    made = []
+    cache = bpe.WordCache(lambda w: made.append(w) or w.upper(), 5)
+    assert [cache.all(x) for x in (["a", "b"], ["b", "c"], ["a", "d", "e", "f"], ["f"])] == [["A", "B"], ["B", "C"], ["A", "D", "E", "F"], ["F"]]
+    assert made == ["a", "b", "c", "a", "d", "e", "f"]
 
 
 def test_bpe_round_trip(spark, ranks):

@@ -9,13 +9,13 @@ Words are encoded once, not where they occur. Each task cuts slices of whole tex
 codes into the slice's list of distinct words. Counts over all slices give the ``FREQUENT`` most frequent
 words (bounded by the parameter, 96 of 100 occurrences in the test data); they are folded on Spark once and
 sent to the tasks. The other distinct words of a slice get the same merges from :func:`merge_word` in the
-task: the higher-order fold takes some 130 microseconds a word, which is beyond the limits for millions of
-rare words. So texts never move, no join brings words back to texts, and only counts are shuffled.
+task, which keeps what it made of up to ``CACHED_WORDS`` words: the higher-order fold takes some 130 microseconds
+a word, which is beyond the limits for millions of rare words. So texts never move, no join brings words back to texts, and only counts are shuffled.
 
 Ids are decoded by joining the binary pieces of each id.
 
 Null and empty texts have no ids. Repeated rows and null ids are rows like any other. A byte without a
-rank is an error when it occurs. An empty table gives an empty table. Extra columns are not read.
+rank is an error when it occurs. A very long text is a slice of its own: its task holds its words and codes. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ from textforge.llm.common import least_count, materialise
 SLICE_TEXT = 1 << 22
 FREQUENT = 1 << 18
 RANK_MAPS = 8_192
+SHORT_WORD = 128  # bytes; longer words are merged with a heap
+CACHED_WORDS = 1 << 18  # of a task, some 90 MB
+_NO_RANK = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,12 +94,29 @@ def encode_word(word: Column, rank: Callable[[Column], Column]) -> Column:
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of a word by the same merges: lowest rank first, leftmost among equals.
 
-    Candidate pairs wait in a heap, so a word of any length costs n log n.
+    A short word keeps the ranks of its pairs in a list, of which a merge changes two. In a long word, pairs wait
+    in a heap, so that any length costs n log n.
     """
     whole = ranks.get(word)
     if whole is not None or not word:
         return (whole,) if word else ()
     n = len(word)
+    if n <= SHORT_WORD:
+        get = ranks.get
+        parts = [word[i : i + 1] for i in range(n)]
+        pairs = [get(word[i : i + 2], _NO_RANK) for i in range(n - 1)]
+        while pairs:
+            least = min(pairs)
+            if least == _NO_RANK:
+                break
+            at = pairs.index(least)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], _NO_RANK)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], _NO_RANK)
+        return tuple([ranks[x] for x in parts])
     ends, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
     def offer(start: int) -> None:
@@ -158,13 +178,29 @@ def word_slices(docs: DataFrame, pattern: str, key: str = "doc_id", text: str =
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], known: dict[str, tuple[int, ...]], ranks: dict[bytes, int]) -> Iterator[tuple[list, list, np.ndarray, list]]:
-    """Per slice: document ids, sizes, codes, and the ids of each of its distinct words."""
+class WordCache:
+    """What is made of a word, kept for the next slices of the task; emptied when ``most`` words are in it."""
+
+    def __init__(self, make: Callable[[str], object], most: int = CACHED_WORDS) -> None:
+        self.make, self.most, self.words = make, most, {}
+
+    def all(self, words: list[str]) -> list:
+        if len(self.words) + len(words) > self.most:
+            self.words.clear()
+        kept, make = self.words, self.make
+        for word in words:
+            if word not in kept:
+                kept[word] = make(word)
+        return [kept[word] for word in words]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], cache: WordCache) -> Iterator[tuple[list, list, np.ndarray, list]]:
+    """Per slice: document ids, sizes, codes, and what the cache has of each of its distinct words."""
     for batch in batches:
         get = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
         for i in range(batch.num_rows):
-            ids = [known.get(w) or merge_word(w.encode(), ranks) for w in get["words"][i].as_py()]
-            yield get["doc_ids"][i].as_py(), get["sizes"][i].as_py(), np.frombuffer(get["codes"][i].as_py(), np.uint32), ids
+            made = cache.all(get["words"][i].as_py())
+            yield get["doc_ids"][i].as_py(), get["sizes"][i].as_py(), np.frombuffer(get["codes"][i].as_py(), np.uint32), made
 
 
 def encoded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
@@ -190,7 +226,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     schema = StructType().add("doc_id", doc_type).add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, sizes, codes, ids in _encoded(batches, known, ranks):
+        cache = WordCache(lambda w: known.get(w) or merge_word(w.encode(), ranks))
+        for doc_ids, sizes, codes, ids in _slices(batches, cache):
             ends = np.cumsum(sizes)
             rows = [[i for c in codes[e - s : e] for i in ids[c]] for s, e in zip(sizes, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, to_arrow_type(doc_type)), pa.array(rows, pa.list_(pa.int32()))], names=schema.names)
@@ -219,10 +256,13 @@ def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     schema = StructType().add("doc_id", doc_type).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, sizes, codes, ids in _encoded(batches, known, ranks):
-            listed = [",".join(map(str, i)) for i in ids]
-            decoded = [b"".join([pieces[x] for x in i]) for i in ids]
-            n = np.array([len(i) for i in ids], np.int64)
+        def make(word: str) -> tuple[int, str, bytes]:
+            ids = known.get(word) or merge_word(word.encode(), ranks)
+            return len(ids), ",".join(map(str, ids)), b"".join([pieces[x] for x in ids])
+
+        for doc_ids, sizes, codes, made in _slices(batches, WordCache(make)):
+            counts, listed, decoded = zip(*made) if made else ((), (), ())
+            n = np.array(counts, np.int64)
             out, end = [], 0
             for size in sizes:
                 part = codes[end : end + size]
