@@ -40,7 +40,8 @@ def test_pipeline_stages(spark):
         after = queries_written(spark, stage(spark, before, FOLDER))
         assert after.schema.names == docs.schema.names
         kept = {r.doc_id for r in after.select("doc_id").collect()}
-        assert kept <= ids and (kept == ids or name in ("quality rules", "n-gram jaccard join"))
+        assert kept <= ids and (kept == ids or name != "line dedup")
+        assert name == "line dedup" or all(r.text.strip() for r in after.collect())
         assert after.where("n_chars <> length(text)").count() == 0
         ids, before = kept, after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, FOLDER)
