@@ -41,7 +41,7 @@ from textforge.llm.common import join_small, map_slices, materialise
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 DIGIT = 8
 
 _LETTER = np.zeros(256, bool)
@@ -56,9 +56,11 @@ def digits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     ``data`` has ``DIGIT`` bytes to spare behind the last term.
     """
     out = np.zeros(len(starts), np.uint64)
-    for k in range(DIGIT):
-        at = starts + k
-        out = (out << np.uint64(8)) | np.where(at < ends, data[at], 0).astype(np.uint64)
+    for first in range(0, len(starts), tb.BLOCK):
+        start, end, value = starts[first : first + tb.BLOCK], ends[first : first + tb.BLOCK], out[first : first + tb.BLOCK]
+        for k in range(DIGIT):
+            value <<= np.uint64(8)
+            value |= np.where(start + k < end, data[start + k], 0).astype(np.uint64)
     return out
 
 
