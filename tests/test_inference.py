@@ -9,6 +9,7 @@ from textforge.operators.inference import (
     batch_predict,
     endpoint_predict,
     failure_report,
+    predict_once,
     predict_in_waves,
     predict_once,
 )
@@ -109,3 +110,72 @@ def test_waves_resume(asked, tmp_path):
     out = predict_in_waves(asked, ["id"], predict, path, waves=4)
     assert sorted(r.id for r in out.collect()) == list(range(10))
     assert len(seen) == 5 and out.columns == ["id", "prediction", "error"]
+
+
+def _most_open(rows):
+    """Most calls open at once, from answers that say when they began and ended."""
+    events = [(float(x), step) for r in rows for x, step in zip(r.prediction.split(":"), (1, -1))]
+    now = most = 0
+    for _, step in sorted(events):
+        now += step
+        most = max(most, now)
+    return most
+
+
+@pytest.mark.parametrize("workers,in_flight,tasks", [(6, 3, 2), (4, 4, 1), (3, 1, 3), (2, 9, 1)])
+def test_calls_in_flight_are_bounded_and_in_order(spark, workers, in_flight, tasks):
+    import time
+
+    def make():
+        def call(text):
+            begin = time.monotonic()
+            time.sleep(0.05)
+            return f"{begin}:{time.monotonic()}"
+
+        return call
+
+    df = spark.range(24).select("id", F.col("id").cast("string").alias("prompt"))
+    out = endpoint_predict(df, ["id"], "prompt", make, workers, pause=0, in_flight=in_flight)
+    assert out.rdd.getNumPartitions() == tasks
+    rows = predict_once(out).collect()
+    assert {r.id for r in rows} == set(range(24)) and all(r.error is None for r in rows)
+    assert 1 < _most_open(rows) <= workers
+
+
+def test_retries_and_rate(spark):
+    import time
+
+    def make():
+        seen = {}
+
+        def call(text):
+            seen[text] = seen.get(text, 0) + 1
+            if seen[text] <= int(text) % 4:
+                raise RuntimeError(f"attempt {seen[text]}")
+            return f"{text} after {seen[text]}"
+
+        return call
+
+    df = spark.range(12).select("id", F.col("id").cast("string").alias("prompt"))
+    rows = {r.id: r for r in endpoint_predict(df, ["id"], "prompt", make, 3, pause=0, in_flight=3, retries=2, backoff=0.001).collect()}
+    for i in range(12):
+        assert (rows[i].prediction, rows[i].error) == (("", "attempt 3") if i % 4 == 3 else (f"{i} after {i % 4 + 1}", None))
+    begin = time.monotonic()
+    paced = endpoint_predict(df, ["id"], "prompt", lambda: lambda text: text, 4, pause=0, in_flight=4, calls_per_second=20)
+    assert len(paced.collect()) == 12 and time.monotonic() - begin >= 11 / 20
+
+
+def test_answers_stay_beside_their_rows(spark):
+    import random
+    import time
+
+    def make():
+        def call(text):
+            time.sleep(random.random() / 100)
+            return "re " + text
+
+        return call
+
+    df = spark.range(200).select("id", F.concat(F.lit("q"), F.col("id")).alias("prompt"), F.lit("x").alias("more"))
+    rows = endpoint_predict(df, ["id"], "prompt", make, 8, pause=0, in_flight=8, carry=["more"]).collect()
+    assert sorted((r.id, r.prediction, r.more) for r in rows) == [(i, f"re q{i}", "x") for i in range(200)]

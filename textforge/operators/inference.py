@@ -6,7 +6,9 @@ message lists) to texts. It is shipped to the executors, so it should load its m
 
 from __future__ import annotations
 
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any, Callable, Iterator, Sequence
 
@@ -60,6 +62,20 @@ def batch_predict(
     return map_batches(df, make, [prompt], T.StructType(_PREDICTION), list(dict.fromkeys(keys)))
 
 
+class _Pace:
+    """At most ``rate`` starts a second, over all threads of a task."""
+
+    def __init__(self, rate: float | None) -> None:
+        self.gap, self.due, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                at = max(time.monotonic(), self.due)
+                self.due = at + self.gap
+            time.sleep(max(0.0, at - time.monotonic()))
+
+
 def endpoint_predict(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,31 +84,51 @@ def endpoint_predict(
     max_workers: int = 10,
     pause: float = 0.25,
     carry: Sequence[str] = (),
+    in_flight: int = 1,
+    retries: int = 0,
+    backoff: float = 1.0,
+    calls_per_second: float | None = None,
 ) -> DataFrame:
-    """Call a remote endpoint row by row from ``max_workers`` tasks at most.
-
-    A failing call gives an empty prediction and its error text, and never fails the job. Each
-    task pauses after every call. A retried task repeats its calls, so write the result once
-    (see ``predict_once``) before using it.
+    """Call a remote endpoint for every row, with at most ``max_workers`` calls in flight over all tasks.
+
+    A task keeps up to ``in_flight`` calls open at a time, each on a thread with a client of its own, and gives its
+    rows back in order; there are ``max_workers / in_flight`` tasks, rounded down. A failing call is repeated
+    up to ``retries`` times after ``backoff``, twice ``backoff``, and so on; if all fail, the row has an empty prediction
+    and the last error's text, and the job goes on. ``calls_per_second`` is shared out evenly among the
+    tasks, and each call is followed by ``pause``. A retried task repeats its calls, so write the result once (see
+    ``predict_once``) before using it.
     """
     dealt_by, keys = list(keys), [*keys, *carry]
+    in_flight = max(1, min(in_flight, max_workers))
+    tasks = max(1, max_workers // in_flight)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = make_client()
-        for batch in batches:
-            texts, errors = [], []
-            for item in batch[prompt]:
+        own, pace = threading.local(), _Pace(calls_per_second / tasks if calls_per_second else None)
+
+        def ask(item: Any) -> tuple[str, str | None]:
+            if not hasattr(own, "call"):
+                own.call = make_client()
+            for attempt in range(retries + 1):
+                pace.wait()
                 try:
-                    texts.append(call(item).strip())
-                    errors.append(None)
+                    return own.call(item).strip(), None
                 except Exception as problem:
-                    texts.append("")
-                    errors.append(str(problem) or type(problem).__name__)
-                if pause:
-                    time.sleep(pause)
-            yield batch[keys].assign(prediction=texts, error=pd.Series(errors, dtype=object).values)
-
-    spread = df.select(*dict.fromkeys([*keys, prompt])).repartition(max_workers, *dealt_by)
+                    error = str(problem) or type(problem).__name__
+                finally:
+                    if pause:
+                        time.sleep(pause)
+                if attempt < retries:
+                    time.sleep(backoff * 2**attempt)
+            return "", error
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                answers = list(pool.map(ask, batch[prompt]))
+                yield batch[keys].assign(
+                    prediction=[text for text, _ in answers], error=pd.Series([error for _, error in answers], dtype=object).values
+                )
+
+    spread = df.select(*dict.fromkeys([*keys, prompt])).repartition(tasks, *dealt_by)
     return spread.mapInPandas(run, _schema(df, keys))
 
 

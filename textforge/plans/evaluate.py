@@ -55,6 +55,7 @@ def evaluate_model(
     base_model: str | None = None,
     adapter_id: str | None = None,
     answers_path: str | None = None,
+    run_id: str | None = None,
 ) -> Evaluation:
     """Score one model on samples (the first ``num_samples`` by key, if given).
 
@@ -62,7 +63,7 @@ def evaluate_model(
     embedder adds embedding-match scores. The columns of a sample travel with it through the model,
     and answers and scores are written once each and read from there. With ``answers_path`` the answers
     are stored there in waves, and a later call goes on after the last complete one. For a tuned model
-    give its base and its adapter: they are stored as its identity.
+    give its base and its adapter: they are stored as its identity. With ``run_id`` a result is stored once per run.
     """
     if (make_predict is None) == (make_client is None):
         raise ValueError("give either make_predict or make_client")
@@ -90,7 +91,7 @@ def evaluate_model(
     per_sample = kept.select(key, *figures)
     if results_path:
         tuned = {"base_model": base_model, "adapter_id": adapter_id or model_path}
-        append_result(metrics, results_path, tuned if base_model else {"model_name": model_path})
+        append_result(metrics, results_path, tuned if base_model else {"model_name": model_path}, run_id)
     if records_path:
         rows = answered if make_embedder is None else kept
         write_json_lines(prediction_records(rows, fields, make_embedder is not None), records_path)

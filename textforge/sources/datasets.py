@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.options import dataset_path
+from textforge.session import remove
+from textforge.sources.publish import publish_folder
 
 SAMPLE_SCHEMA = T.StructType(
     [
@@ -56,12 +58,19 @@ def load_or_materialise(spark: SparkSession, name: str, base_dir: str, ingest, s
     """The stored copy of a dataset, or ``ingest()`` stored in full first.
 
     Filters come later, so every later choice of rows reads the same copy; reading one split
-    touches that split's folder only.
+    touches that split's folder only. The copy appears whole, marker included: of two drivers that
+    ingest at once, the slower one drops its copy and reads the other's.
     """
     path = dataset_path(name, base_dir)
-    if not path_exists(spark, path):
-        ingest().write.mode("overwrite").partitionBy(split).parquet(path)
-        mark_complete(spark, path)
+
+    def write(staging: str) -> None:
+        ingest().write.partitionBy(split).parquet(staging)
+        mark_complete(spark, staging)
+
+    if not path_exists(spark, path) and not publish_folder(spark, path, write) and not path_exists(spark, path):
+        # What lies there has no marker, so it was not published like this: a torn copy of something else.
+        remove(spark, path)
+        publish_folder(spark, path, write)
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textforge.operators.chat import reference_column
-from textforge.options import FieldMap
+from textforge.options import FieldMap, safe_name
+from textforge.sources.publish import publish_json
 
 # Record fields, in order.
 SAMPLE_FIELDS = ("title", "NER", "ingredients", "directions")
@@ -45,10 +46,18 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).json(path, ignoreNullFields=False)
 
 
-def append_result(scores: DataFrame, path: str, identity: Mapping[str, str | None]) -> None:
-    """Add one run's aggregated scores and its identity to a results folder."""
+def append_result(scores: DataFrame, path: str, identity: Mapping[str, str | None], run_id: str | None = None) -> bool:
+    """Add one run's aggregated scores and its identity to a results folder.
+
+    With a ``run_id`` the result is one file of that name: it is stored once, however often the run is repeated and
+    whoever does it at the same time. False means that it was there already; the stored one stays.
+    """
     columns = [F.lit(v).cast("string").alias(k) for k, v in identity.items()]
-    scores.select("*", *columns).coalesce(1).write.mode("append").json(path, ignoreNullFields=False)
+    named = scores.select("*", *columns)
+    if run_id is not None:
+        return publish_json(named, path, safe_name(run_id))
+    named.coalesce(1).write.mode("append").json(path, ignoreNullFields=False)
+    return True
 
 
 def append_phase(

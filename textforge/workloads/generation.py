@@ -117,6 +117,14 @@ def endpoint(spark: SparkSession, folder: str) -> DataFrame:
     return _endpoint(spark, folder)
 
 
+def endpoint_in_flight(spark: SparkSession, folder: str) -> DataFrame:
+    """The same calls from two tasks with four of them open in each, and a failed one made once more."""
+    asked = pairs(spark, folder).select(
+        "conv_id", "turn", F.array(message("user", F.col("request"))).cast(MESSAGE_TYPE).alias("messages")
+    )
+    return endpoint_predict(asked, ["conv_id", "turn"], "messages", make_answering_endpoint, 8, pause=0, in_flight=4, retries=1, backoff=0.001)
+
+
 def endpoint_failures(spark: SparkSession, folder: str) -> DataFrame:
     return failure_report(predict_once(_endpoint(spark, folder)), "turn")
 
@@ -248,6 +256,7 @@ def output_format_by_model(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "batch_predict": batched,
     "endpoint_predict": endpoint,
+    "endpoint_in_flight": endpoint_in_flight,
     "endpoint_failures": endpoint_failures,
     "prediction_records": records,
     "dialogue_records": dialogue,
@@ -343,6 +352,7 @@ ORACLES = {
       JOIN (VALUES ('benchmarks', 1), ('domain', 2), ('operational', 3), ('final', 4)) AS p(phase, upto) ON since <= upto""",
     "batch_predict": f"WITH {PAIRS} SELECT conv_id, turn, {_LEAD.format('request')} AS prediction FROM pairs",
     "endpoint_predict": f"WITH {_ENDPOINT} SELECT conv_id, turn, prediction, error FROM made",
+    "endpoint_in_flight": f"WITH {_ENDPOINT} SELECT conv_id, turn, prediction, error FROM made",
     "endpoint_failures": f"""WITH {_ENDPOINT} SELECT turn, count(*) AS n_calls, count(error) AS n_failed
       FROM made GROUP BY turn""",
     "prediction_records": f"""WITH {_PREDICTED} SELECT title, NER, ingredients, directions, {ANSWER} AS reference_full,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textforge.operators.batching import pad_batches
 from textforge.operators.chat import messages_per_model, reference_column, with_registry, with_training_text
+from textforge.operators.epochs import PRIME, epoch_batches, round_keys
+from textforge.operators.ordering import number_rows
 from textforge.operators.sampling import extremes
 from textforge.operators.tokens import (
     SPECIAL_TOKENS,
@@ -142,6 +144,14 @@ def encoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.select("sample_id", *joined, F.size("attention_mask").alias("n_tokens"))
 
 
+def epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of all documents in three epochs, the last one resumed at its third batch."""
+    rows = number_rows(documents(spark, folder).select("doc_id"), "doc_id", name="number")
+    n = rows.count()
+    parts = [epoch_batches(rows, "number", n, 16, seed=7, epoch=e, first_batch=2 if e == 2 else 0).withColumn("epoch", F.lit(e)) for e in range(3)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).select("doc_id", "epoch", "place", "batch_id")
+
+
 def padded_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of rows whose keys repeat or are null: per key, as many rows and tokens come out as go in."""
     counts = _document_tokens(spark, folder, 64)
@@ -214,6 +224,7 @@ QUERIES = {
     "token_stats": token_stats,
     "token_stats_by_model": token_stats_by_model,
     "encode_offsets": encoded,
+    "epoch_batches": epochs,
     "pad_batches": padded_batches,
     "pad_batches_repeated_keys": padded_repeated_keys,
     "pad_batches_full_only": padded_batches_full_only,
@@ -298,7 +309,27 @@ samples AS (
     SELECT *, row_number() OVER (ORDER BY md5('42:' || sample_id)) AS place, count(*) OVER () AS n FROM kept WHERE split = 'train')
   WHERE place > ceil(0.05 * n))"""
 
+
+
+def _epochs_sql() -> str:
+    """A recursive walk per epoch, every round a subquery so that the expression stays short."""
+    parts = []
+    for epoch in range(3):
+        step = f"SELECT doc_id, n, m, steps, x // m AS l, x % m AS r FROM walk{epoch} WHERE steps = 0 OR x >= n"
+        for a, b in round_keys(7, epoch):
+            step = f"SELECT doc_id, n, m, steps, r AS l, (l + (((r + {a}) % {PRIME}) * ((r + {a}) % {PRIME})) % {PRIME} * {b} % {PRIME}) % m AS r FROM ({step})"
+        parts.append(f"""walk{epoch}(doc_id, n, m, steps, x) AS (
+      SELECT doc_id, n, m, 0, number FROM numbered UNION ALL SELECT doc_id, n, m, steps + 1, l * m + r FROM ({step}))""")
+    found = " UNION ALL ".join(f"SELECT doc_id, {e} AS epoch, x AS place FROM walk{e} WHERE steps > 0 AND x < n" for e in range(3))
+    return f"""WITH RECURSIVE numbered AS (
+      SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number, count(*) OVER () AS n,
+        ceil(sqrt(count(*) OVER ()))::BIGINT AS m FROM documents),
+    {", ".join(parts)}
+    SELECT doc_id, epoch::INTEGER AS epoch, place, place // 16 AS batch_id FROM ({found}) WHERE epoch < 2 OR place // 16 >= 2"""
+
+
 ORACLES = {
+    "epoch_batches": _epochs_sql(),
     "mapped_training_tokens": f"""WITH {_MAPPED}, {TRAINING_TEXT}
       SELECT sample_id, len(regexp_extract_all(text_full, {_PATTERN}))::INTEGER AS n_tokens FROM texts""",
     "tokenize_words": f"""WITH {_TOK} SELECT sample_id, count(*)::INTEGER AS n_tokens,
