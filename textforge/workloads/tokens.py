@@ -23,9 +23,11 @@ from textforge.operators.tokens import (
     vocabulary_sizes,
 )
 from textforge.operators.validity import filter_valid
+from textforge.operators.vocabulary import build_vocabulary, decode_vocabulary, encode_vocabulary
 from textforge.options import FieldMap, PrepOptions
 from textforge.plans.prepare import prepare_splits, training_batches, training_tokens
 from textforge.registry import get_model
+from textforge.session import materialise
 from textforge.workloads.relations import (
     ANSWER,
     DEFAULT_SYSTEM,
@@ -194,6 +196,19 @@ def vocab_by_group(spark: SparkSession, folder: str) -> DataFrame:
     return _vocabulary(spark, folder)
 
 
+def vocabulary_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return build_vocabulary(documents(spark, folder))
+
+
+def vocabulary_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents as dense ids and back; ids are told by a sum that depends on their order."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    encoded = encode_vocabulary(docs, build_vocabulary(docs), head=1000)
+    back = decode_vocabulary(materialise(encoded, "dense-ids"), build_vocabulary(docs), head=500)
+    weighted = F.aggregate(F.transform("ids", lambda x, i: x * (i % 1000 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), weighted.alias("checksum"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
 def vocab_share(spark: SparkSession, folder: str) -> DataFrame:
     report = vocabulary_report(_vocabulary(spark, folder), "lang")
     return report.withColumn("pct_of_max", F.round("pct_of_max", 6))
@@ -229,6 +244,8 @@ QUERIES = {
     "pad_batches_repeated_keys": padded_repeated_keys,
     "pad_batches_full_only": padded_batches_full_only,
     "vocab_by_group": vocab_by_group,
+    "vocabulary_ids": vocabulary_ids,
+    "vocabulary_round_trip": vocabulary_round_trip,
     "vocab_share": vocab_share,
     "vocab_extremes": vocab_extremes,
     "vocab_by_model": vocab_by_model,
@@ -295,6 +312,9 @@ def _padded_sql(batch: int, seed: int, limit: int | None, drop_last: bool) -> st
 _VOCAB = f"""vocab AS (
   SELECT lang, count(DISTINCT token) AS vocab_size
   FROM (SELECT lang, unnest(regexp_extract_all(text, {_PATTERN})) AS token FROM documents) GROUP BY lang)"""
+_DENSE = f"""dense AS (
+  SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS token_id FROM (
+    SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_PATTERN})) AS token FROM documents) GROUP BY token))"""
 _MODEL_TEXT = (
     f"CASE WHEN model IN ('llama', 'qwen') THEN {block(chr(39) + 'system' + chr(39), SYSTEM)} || "
     f"{block(chr(39) + 'user' + chr(39), '(' + USER + ')')} ELSE {block(chr(39) + 'system' + chr(39), DEFAULT_SYSTEM)} || "
@@ -365,6 +385,12 @@ ORACLES = {
     "pad_batches": _padded_sql(4, 42, None, False),
     "pad_batches_full_only": _padded_sql(6, 1, None, True),
     "vocab_by_group": f"WITH {_VOCAB} SELECT lang, vocab_size FROM vocab",
+    "vocabulary_ids": f"WITH {_DENSE} SELECT token, n, token_id FROM dense",
+    "vocabulary_round_trip": f"""WITH {_DENSE}, placed AS (
+        SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS i FROM (
+          SELECT doc_id, regexp_extract_all(text, {_PATTERN}) AS t FROM documents))
+      SELECT doc_id, coalesce(count(token_id), 0)::INTEGER AS n_tokens, coalesce(sum(token_id * (i % 1000 + 1)), 0)::BIGINT AS checksum, true AS same
+      FROM documents LEFT JOIN placed USING (doc_id) LEFT JOIN dense USING (token) GROUP BY doc_id""",
     "vocab_share": f"""WITH {_VOCAB} SELECT lang, vocab_size,
       round(vocab_size / (max(vocab_size) OVER ())::DOUBLE * 100, 6) AS pct_of_max,
       (rank() OVER (ORDER BY vocab_size DESC, lang))::INTEGER AS position FROM vocab""",
