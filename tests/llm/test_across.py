@@ -312,6 +312,32 @@ def test_search_small(spark):
         nearest.search(df.union(spark.createDataFrame([(9, [1.0])], df.schema)), lambda i: i % 20 == 0)
 
 
+def test_search_breaks_ties_by_id(spark):
+    """Vectors of few small whole numbers: most scores tie, so the ids decide."""
+    rng = np.random.default_rng(11)
+    vectors = rng.integers(-2, 3, (3000, 6)).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, lambda i: i % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = [i for i in range(0, 3000, 20) if vectors[i].any()]
+    assert sorted(got) == asked
+    for i in asked:
+        score = vectors @ vectors[i]
+        order = [j for j in np.lexsort((np.arange(3000), -score)) if j != i and vectors[j].any()][:20]
+        assert sorted(got[i]) == [(n, j, score[j]) for n, j in enumerate(order, 1)]
+
+
+def test_best_entries_keep_every_tie_until_ids_are_compared():
+    rng = np.random.default_rng(2)
+    x, queries, ids = rng.integers(0, 2, (500, 8)).astype(float), rng.integers(0, 2, (40, 8)).astype(float), rng.permutation(500)
+    for most in (1, 7, 500):
+        row, col, score = nearest.best_entries(queries, x, ids, most)
+        for q in range(40):
+            want = np.lexsort((ids, -(x @ queries[q])))[:most]
+            assert (col[row == q] == want).all() and (score[row == q] == x[want] @ queries[q]).all()
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(500, 16))

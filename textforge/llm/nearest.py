@@ -213,6 +213,26 @@ def _route(graph: CentroidGraph, longest: float):
     return run
 
 
+def best_entries(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, entry and score of the ``most`` best entries of each query; equal scores by smaller id.
+
+    A matrix product finds the border; every entry that reaches it but for rounding is scored by itself, ties and
+    all, before any is left out.
+    """
+    rough = queries @ x.T
+    border = np.partition(rough, len(x) - most, axis=1)[:, len(x) - most]
+    rounding = 1e-12 * np.sqrt((queries * queries).sum(1) * (x * x).sum(1).max(initial=0.0))
+    row, col = np.nonzero(rough >= (border - rounding)[:, None])
+    score = np.empty(len(row))
+    for at in range(0, len(row), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        score[part] = np.einsum("ij,ij->i", x[col[part]], queries[row[part]])
+    by = np.lexsort((ids[col], -score, row))
+    row, col, score = row[by], col[by], score[by]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return row[kept], col[kept], score[kept]
+
+
 def _answer(k: int):
     """Best ``k + 1`` entries of a block for each query that visits it."""
 
@@ -229,10 +249,8 @@ def _answer(k: int):
             most = min(k + 1, len(mine))
             for at in range(0, len(other), 512):
                 part = other[at : at + 512]
-                rough = v[part] @ x.T
-                best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-                score = np.einsum("ijk,ik->ij", x[best], v[part])
-                out.append((np.repeat(part, most), mine[best].ravel(), score.ravel()))
+                row, entry, score = best_entries(v[part], x, ids[mine], most)
+                out.append((part[row], mine[entry], score))
             q, e, score = (np.concatenate(c) for c in zip(*out))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids[q]), pa.array(hs[q]), pa.array(ids[e]), pa.array(hs[e]), pa.array(score)],
