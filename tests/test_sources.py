@@ -16,7 +16,7 @@ from textforge.sources.records import (
 from textforge.sources.scores import normalise_scores, read_score_files, read_training_log
 from textforge.sources.snapshots import latest_snapshot
 
-# Published scores, as stored by their producers.
+# Published scores and record keys, as stored by their producers.
 SCORE_FILES = {
     "rouge_llama": {"model_name": "meta-llama/Llama-3.2-1B-Instruct", "num_samples": 200,
                     "rouge1": 0.27199354931101266, "rouge2": 0.08040581104495602, "rougeL": 0.17256304164527156},

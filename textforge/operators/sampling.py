@@ -174,12 +174,14 @@ def first_n_per_group(
     Groups are cut within salted parts first, so a group holding much of the table is sorted by many
     tasks. The second step sees at most ``salts * n`` rows of a group.
     """
-    rank, total = "_rank", [*order, F.xxhash64(*df.columns)]
-    salted = W.partitionBy(*groups, "_salt").orderBy(*total)
+    rank, hashed, salt = "_rank", "_hash", "_salt"
+    total = [*order, hashed]
+    salted = W.partitionBy(*groups, salt).orderBy(*total)
     whole = W.partitionBy(*groups).orderBy(*total)
-    parts = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    parts = parts.withColumn(rank, F.row_number().over(salted)).where(F.col(rank) <= n).drop("_salt", rank)
-    return parts.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n).drop(rank)
+    # The row is hashed once; its hash deals it to a salt, breaks ties, and goes along to the second step.
+    rows = df.withColumn(hashed, F.xxhash64(*df.columns)).withColumn(salt, F.pmod(F.col(hashed), F.lit(salts)))
+    parts = rows.withColumn(rank, F.row_number().over(salted)).where(F.col(rank) <= n).drop(salt, rank)
+    return parts.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n).drop(rank, hashed)
 
 
 def with_ordinal(df: DataFrame, key: str, seed: int = 42, name: str = "ordinal") -> DataFrame:

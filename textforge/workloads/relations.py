@@ -83,7 +83,7 @@ flagged AS (
   FROM raw),
 samples AS (SELECT * EXCLUDE (ok) FROM flagged WHERE ok)"""
 
-# Texts as SQL expressions over the columns of ``samples``.
+# The texts of prompts and answers, as SQL expressions over the columns of ``samples``.
 SYSTEM = (
     "'You will generate one cooking recipe. List all necessary ingredients and give detailed steps.'"
 )
