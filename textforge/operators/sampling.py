@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textforge.functions.hashing import HEX_DIGITS, bucket_of, seeded_hash
+from textforge.operators.ordering import number_rows
 from textforge.options import SampleCount
 
 CUT_DIGITS = 3  # at most 4,096 counts reach the driver per narrowing step
@@ -107,13 +108,11 @@ def take_cut(df: DataFrame, cut: Cut, key: str, seed: int) -> DataFrame:
     hashed = row_hash(F.col(key), seed)
     if cut.whole:
         return df.where(cut.keeps(hashed))
-    # Only rows with one key (or equal hashes) tie; Spark cuts them to the limit inside tasks.
-    ties = df.where(hashed == cut.hashed).orderBy(F.xxhash64(*df.columns), *_sortable(df)).limit(cut.wanted)
-    return df.where(hashed < cut.hashed).unionByName(ties)
-
-
-def _sortable(df: DataFrame) -> list[Column]:
-    return [F.to_json(F.struct(*df.columns))]
+    # Rows of one key tie, and may be much of the table: they are numbered by ranges of their own hash, not sorted in one task.
+    # Equal rows are interchangeable; the last column only keeps them from sharing a range.
+    tied = df.where(hashed == cut.hashed).withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_any", F.monotonically_increasing_id())
+    ties = number_rows(tied, "_tie", "_any", name="_place").where(F.col("_place") < cut.wanted)
+    return df.where(hashed < cut.hashed).unionByName(ties.select(*df.columns))
 
 
 def present_splits(df: DataFrame, names: Sequence[str], split: str = "split") -> set[str]:

@@ -76,7 +76,7 @@ def evaluate_model(
             return batch_predict(rows, [key], "text_prompt", make_predict, batch_size, carry)
         return endpoint_predict(rows, [key], "messages", make_client, max_workers, pause, carry)
 
-    answered = predict_in_waves(asked, [key], ask, answers_path) if answers_path else predict_once(ask(asked))
+    answered = predict_in_waves(predict_once(asked, "asked"), [key], ask, answers_path) if answers_path else predict_once(ask(asked))
     # Records with embedding scores need the whole sample beside them, so it comes along; nothing is joined.
     carried = answered.columns if records_path and make_embedder is not None else [key, "prediction", "reference"]
     scored = rouge_scores(answered, carried)
