@@ -33,6 +33,7 @@ HEADLINE = (
     "rouge_l",
     "rouge_corpus",
     "rouge_documents",
+    "rouge_lsum_documents",
     "greedy_match_score",
     "mc_accuracy",
     "macro_accuracy",

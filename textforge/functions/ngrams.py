@@ -14,6 +14,12 @@ def spaced_words(text: Column, pattern: str = WORD_BREAK) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), pattern, " ")
 
 
+def spaced_lines(text: Column, pattern: str = WORD_BREAK) -> Column:
+    """As ``spaced_words`` for each line, with the line breaks kept."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.array_join(F.transform(lines, lambda line: spaced_words(line, pattern)), "\n")
+
+
 def words(text: Column, pattern: str = WORD_BREAK) -> Column:
     """Lower-cased words as an array."""
     return F.filter(F.split(spaced_words(text, pattern), " "), lambda w: w != "")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.functions.lcs import lcs_length, union_hits
-from textforge.functions.ngrams import WORD_BREAK, f_measure, spaced_words, word_sequences, words
+from textforge.functions.ngrams import WORD_BREAK, f_measure, spaced_lines, spaced_words, word_sequences, words
 
 
 def _safe_ratio(part: Column, whole: Column) -> Column:
@@ -137,27 +137,19 @@ def rouge_lsum(
     """Sentence-wise subsequence score: texts are cut at line breaks, and for every reference
     sentence the subsequences with all predicted sentences are united."""
 
-    def sentences(column: str) -> Column:
-        lines = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), "\n"), lambda s: s != "")
-        return F.transform(lines, lambda s: words(s, pattern))
-
-    @F.pandas_udf(T.IntegerType())
-    def hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("hits int, n_pred int, n_ref int")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for left, right in batches:
-            yield pd.Series(
-                [
-                    union_hits([list(s) for s in r], [list(s) for s in p])
-                    for p, r in zip(left, right)
-                ],
-                dtype="int32",
-            )
-
-    cut = df.select(*keys, sentences(prediction).alias("_p"), sentences(reference).alias("_r"))
-    counted = cut.select(
-        *keys,
-        hits("_p", "_r").alias("_hits"),
-        F.size(F.flatten("_p")).alias("_np"),
-        F.size(F.flatten("_r")).alias("_nr"),
+            rows = []
+            for prediction, reference in zip(left, right):
+                p, r = ([[w for w in line.split(" ") if w] for line in text.split("\n")] for text in (prediction, reference))
+                rows.append((union_hits(r, p), sum(map(len, p)), sum(map(len, r))))
+            yield pd.DataFrame(rows, columns=["hits", "n_pred", "n_ref"], dtype="int32")
+
+    # Cleaned lines travel as one string a text: nested arrays would cost several times the bytes and a list per word.
+    counts = count(spaced_lines(F.col(prediction), pattern), spaced_lines(F.col(reference), pattern))
+    counted = df.select(*keys, counts.alias("_c")).select(
+        *keys, F.col("_c.hits").alias("_hits"), F.col("_c.n_pred").alias("_np"), F.col("_c.n_ref").alias("_nr")
     )
     precision = _safe_ratio(F.col("_hits"), F.col("_np"))
     recall = _safe_ratio(F.col("_hits"), F.col("_nr"))

@@ -64,15 +64,24 @@ def rouge_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(means, "rouge1", "rouge2", "rougeL")
 
 
-def rouge_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole documents against the document stored after them, for overlap on long texts."""
+def _document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("reference"))
-    joined = docs.select("doc_id", F.col("text").alias("prediction")).join(following, "doc_id")
-    scores = rouge_scores(joined, ["doc_id"], subsequence=False)
+    return docs.select("doc_id", F.col("text").alias("prediction")).join(following, "doc_id")
+
+
+def rouge_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents against the document stored after them, for overlap on long texts."""
+    scores = rouge_scores(_document_pairs(spark, folder), ["doc_id"], subsequence=False)
     return _rounded(scores.select("doc_id", "n_pred", "n_ref", "rouge1", "rouge2"), "rouge1", "rouge2")
 
 
+def rouge_lsum_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs line by line. No SQL: the length tables of all pairs of lines are too many for it."""
+    scores = rouge_lsum(_document_pairs(spark, folder), ["doc_id"])
+    return _rounded(scores, "rougeLsum_p", "rougeLsum_r", "rougeLsum")
+
+
 WIDTH = 10  # token embeddings per pseudo-sentence
 
 
@@ -164,6 +173,7 @@ QUERIES = {
     "rouge_lsum": rouge_line_sums,
     "rouge_corpus": rouge_corpus,
     "rouge_documents": rouge_documents,
+    "rouge_lsum_documents": rouge_lsum_documents,
     "greedy_match_score": greedy_match_score,
     "greedy_match_corpus": greedy_match_means,
     "mc_picks": mc_picks,
