@@ -250,6 +250,59 @@ def test_tree_is_a_distribution_and_learns(spark):
     assert np.mean([r.score / r.n_tokens for r in got]) > -0.75  # three words: log10(1/3) = -0.48 each
 
 
+def brute_tree(training, texts):
+    """log10 of each text by a tree built from plain counts of all contexts."""
+    depth = suffix_tree.DEPTH
+    stream = lambda t: b"\n" * depth + b"".join(w.encode() + b" " for w in cases.words(lower(t))) + b"\n"
+    counts = defaultdict(Counter)
+    for t in training:
+        s = stream(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts[s[i - d : i]][s[i]] += 1
+    states = {b""}
+    for context in sorted(counts, key=len):
+        if context and context[1:] in states:
+            own, less = counts[context], counts[context[1:]]
+            n, m = sum(own.values()), sum(less.values())
+            if sum(c * math.log(c * m / (n * less[x])) for x, c in own.items()) >= suffix_tree.GAIN * len(own):
+                states.add(context)
+
+    def chance(context, symbol):
+        lower_ = chance(context[1:], symbol) if context else 1 / 256
+        own = counts[context]
+        n = sum(own.values())
+        return (own[symbol] + len(own) * lower_) / (n + len(own)) if n else lower_
+
+    def log10(t):
+        s, total = stream(t), 0.0
+        for i in range(depth, len(s)):
+            context = next(s[i - d : i] for d in range(depth, -1, -1) if s[i - d : i] in states)
+            total += math.log10(chance(context, s[i]))
+        return total
+
+    return states, [log10(t) for t in texts]
+
+
+@pytest.mark.parametrize("cached", [1 << 21, 700, 40, 3])
+def test_tree_equals_brute_force_whatever_is_cached(spark, monkeypatch, cached):
+    """Kept contexts and scores equal plain counting; states outside the cache of the tasks are joined, not lost."""
+    monkeypatch.setattr(suffix_tree, "CACHED", cached)
+    rng = np.random.default_rng(8)
+    vocabulary = [cases.prose(i, 1) for i in range(25)] + ["Über", "ß"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 70)))) for i in range(150)] + [(None, "alone"), (7, ""), (8, None)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    states, want = brute_tree([t for i, t in rows if not held(i)], [t for _, t in rows])
+    split = suffix_tree.with_split(cases.docs(spark, rows))
+    tree = suffix_tree.fit_tree(split)
+    kept = {int(r.context).to_bytes(d, "big") for d in range(suffix_tree.DEPTH + 1) for r in tree.states[d].select("context").collect()}
+    assert kept == states and len(states) > 50
+    got = suffix_tree.score(cases.docs(spark, rows)).collect()
+    left, right = sorted((str(i), s) for (i, _), s in zip(rows, want)), sorted((str(r.doc_id), r.score) for r in got)
+    assert [i for i, _ in left] == [i for i, _ in right]
+    assert [s for _, s in right] == pytest.approx([s for _, s in left], rel=1e-9)
+
+
 def test_language_model_edges(spark):
     assert suffix_tree.score(cases.empty(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
