@@ -8,7 +8,8 @@ import re
 WORDS = "the of and river stone light garden window letter morning paper yellow quiet river's".split()
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, _h string, n string, kept string, spans string, "
-    "node string, bucket string, bytes string, low string, rest string, row string, n_words string, removed string"
+    "node string, bucket string, bytes string, low string, rest string, row string, n_words string, removed string, "
+    "_tf_id string, _TF_h string, _tf_spans string, _tf_removed string, _tf_copies string, in__tf_id string, high_symbols string, LOW_x string, _r_lang string"
 )
 
 
@@ -56,8 +57,8 @@ def edge_texts() -> list[tuple]:
 
 def docs(spark, rows=None):
     rows = edge_texts() if rows is None else rows
-    extra = ("x",) * 12
-    full = [(i, t, None if (i or 0) % 5 == 0 else "en", None if (i or 0) % 3 == 0 else "s", 1) + extra[:12] for i, t in rows]
+    extra = ("x",) * 21
+    full = [(i, t, None if (i or 0) % 5 == 0 else "en", None if (i or 0) % 3 == 0 else "s", 1) + extra for i, t in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

@@ -68,6 +68,28 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(right, same, how).drop(*[f"_r_{c}" for c in on])
 
 
+def is_temporary(name: str) -> bool:
+    """Names that operators join under the columns of a table."""
+    return name.startswith("_tf_")
+
+
+def aside(docs: DataFrame, clashes: Callable[[str], bool] = is_temporary) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its clashing columns under names that nothing uses, and the name of each column in it.
+
+    Spark tells names apart without their case, so ``clashes`` is asked for the name in lower case.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = {}
+    for column in docs.columns:
+        name = column
+        while clashes(name.lower()) or (name != column and name.lower() in taken):
+            name = f"in_{name}"
+        taken.add(name.lower())
+        names[column] = name
+    renamed = {c: n for c, n in names.items() if c != n}
+    return docs.withColumnsRenamed(renamed) if renamed else docs, names
+
+
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, _h, text)``: one id and text, told apart by the hash where an id is repeated or null.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textforge.llm import bytes as tb
-from textforge.llm.common import identified, join_identified, map_slices, materialise
+from textforge.llm.common import aside, identified, join_identified, map_slices, materialise
 
 MEAN_LINES = 4
 MAX_LINES = 64  # a chunk ends here at the latest; the rest of the passage is the next chunk
@@ -185,8 +185,9 @@ def _cut(docs: DataFrame, removed: DataFrame, key: str, text: str, count: str |
     removed = removed.select(
         F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"), F.col("removed").alias("_tf_removed")
     )
-    same = F.xxhash64(docs[key], docs[text]) == F.col("_tf_h")
-    joined = docs.join(removed, same & docs[key].eqNullSafe(F.col("_tf_id")), "left").drop("_tf_id", "_tf_h")
+    safe, names = aside(docs)
+    same = F.xxhash64(safe[names[key]], safe[names[text]]) == F.col("_tf_h")
+    joined = safe.join(removed, same & safe[names[key]].eqNullSafe(F.col("_tf_id")), "left").drop("_tf_id", "_tf_h")
     columns = [c for c in docs.columns if c != count]
     schema = StructType([docs.schema[c] for c in columns])
     if count:
@@ -195,7 +196,7 @@ def _cut(docs: DataFrame, removed: DataFrame, key: str, text: str, count: str |
     def cut(batches):
         for batch in batches:
             gone = batch.column(batch.schema.get_field_index("_tf_removed"))
-            texts = batch.column(batch.schema.get_field_index(text))
+            texts = batch.column(batch.schema.get_field_index(names[text]))
             if gone.null_count < batch.num_rows:
                 new, counts = [], []
                 for value, spans in zip(texts, gone):
@@ -211,7 +212,7 @@ def _cut(docs: DataFrame, removed: DataFrame, key: str, text: str, count: str |
                 texts = pa.array(new, texts.type)
             else:
                 counts = np.zeros(batch.num_rows, np.int64)
-            out = [texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in columns]
+            out = [texts if c == text else batch.column(batch.schema.get_field_index(names[c])) for c in columns]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(counts, pa.int64())] if count else []), names=columns + ([count] if count else []))
 
     return joined.mapInArrow(cut, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textforge.llm import bytes as tb
-from textforge.llm.common import identified, join_identified, map_slices, materialise
+from textforge.llm.common import aside, identified, join_identified, map_slices, materialise
 from textforge.llm.components import components
 
 THRESHOLD = 0.8
@@ -342,8 +342,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     )
     # Written once, as it is read for single rows and for repeated ones.
     stays = materialise(stays, "near-stays")
-    same = (F.xxhash64(docs[key], docs[text]) == F.col("_tf_h")) & docs[key].eqNullSafe(F.col("_tf_id"))
-    single = docs.join(stays.where("_tf_copies = 1"), same, "left_semi")
+    safe, names = aside(docs)
+    same = (F.xxhash64(safe[names[key]], safe[names[text]]) == F.col("_tf_h")) & safe[names[key]].eqNullSafe(F.col("_tf_id"))
+    single = safe.join(stays.where("_tf_copies = 1"), same, "left_semi")
     # Copies are reduced inside tasks before they are dealt, by id and hash.
-    again = docs.join(stays.where("_tf_copies > 1"), same).dropDuplicates(["_tf_id", "_tf_h"])
-    return single.unionByName(again.select(*docs.columns))
+    again = safe.join(stays.where("_tf_copies > 1"), same).dropDuplicates(["_tf_id", "_tf_h"])
+    kept = single.unionByName(again.select(*safe.columns))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()]) if safe is not docs else kept

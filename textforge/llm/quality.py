@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from textforge.llm import bytes as tb
-from textforge.llm.common import join_small, map_slices, materialise
+from textforge.llm.common import aside, join_small, map_slices, materialise
 
 GAMMA = 1.05
 SCALE = 1_000_000  # a ratio below 1 / SCALE counts as zero
@@ -208,7 +208,7 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. Texts are read twice and never shuffled."""
     bounds = materialise(fences(sketches(measure(docs, text, ("lang", "source")))), "fences")
-    clash = {c: f"_in_{c}" for c in docs.columns if c in (*COUNTS, "base_failed", "kept")}
-    safe = docs.withColumnsRenamed(clash)
-    kept = judge(measure(safe, clash.get(text, text)), bounds).where("kept")
-    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    own = {*COUNTS, "base_failed", "kept"}
+    safe, names = aside(docs, lambda name: name in own or name.startswith(("low_", "high_", "_r_", "_tf_")))
+    kept = judge(measure(safe, names[text]), bounds).where("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

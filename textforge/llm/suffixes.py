@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textforge.llm import bytes as tb
-from textforge.llm.common import identified, join_identified, map_slices, materialise
+from textforge.llm.common import aside, identified, join_identified, map_slices, materialise
 
 LENGTH = 400
 GRAM = 128
@@ -325,13 +325,14 @@ def digest_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``. A character stays if any byte of it stays."""
     columns = docs.columns
+    safe, names = aside(docs)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
+            texts = batch.column(batch.schema.get_field_index(names[text]))
             if batch.column(batch.schema.get_field_index("_tf_spans")).null_count < batch.num_rows:
                 new = []
-                for old, (value, gone) in zip(texts, _masks(batch, text)):
+                for old, (value, gone) in zip(texts, _masks(batch, names[text])):
                     if gone is None:
                         new.append(old.as_py())
                         continue
@@ -341,7 +342,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                     new.append(value[~gone].tobytes().decode())
                 texts = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays(
-                [texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns
+                [texts if c == text else batch.column(batch.schema.get_field_index(names[c])) for c in columns], names=columns
             )
 
-    return _with_spans(docs, key, text, length).mapInArrow(run, docs.schema)
+    return _with_spans(safe, names[key], names[text], length).mapInArrow(run, docs.schema)
