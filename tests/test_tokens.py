@@ -167,6 +167,10 @@ def test_vocabulary(spark):
     assert {r.g: r.vocab_size for r in tk.vocabulary_sizes(df, "g", "t", True).collect()} == {"x": 3, "y": 1}
     report = {r.g: (round(r.pct_of_max, 3), r.position) for r in tk.vocabulary_report(sizes, "g").collect()}
     assert report == {"x": (100.0, 1), "y": (33.333, 2)}
+    many = spark.range(500).selectExpr("id AS g", "id % 7 AS vocab_size")
+    got = [r.g for r in tk.vocabulary_report(many, "g").orderBy("position").collect()]
+    assert got == sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert tk.vocabulary_report(many.limit(0), "g").collect() == []
 
 
 def test_declared_vocabularies(spark):

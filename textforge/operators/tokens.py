@@ -9,11 +9,11 @@ from __future__ import annotations
 from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textforge.functions.text import preview
 from textforge.operators.batched import MapBatch, map_batches
+from textforge.operators.ordering import number_rows
 
 #: Texts to (token ids, character offsets) each, and token ids back to texts.
 Encode = Callable[[list[str]], Sequence[tuple[Sequence[int], Sequence[tuple[int, int]]]]]
@@ -291,15 +291,11 @@ def vocabulary_sizes(df: DataFrame, group: str, text: str, approximate: bool = F
 
 
 def vocabulary_report(sizes: DataFrame, group: str) -> DataFrame:
-    """Sizes with their share of the largest; one row per group, so one small window."""
-    everything = W.partitionBy()
-    largest = F.max("vocab_size").over(everything)
-    return sizes.select(
-        group,
-        "vocab_size",
-        F.when(largest > 0, F.col("vocab_size") / largest * 100).alias("pct_of_max"),
-        F.rank().over(W.orderBy(F.desc("vocab_size"), group)).alias("position"),
-    )
+    """Sizes with their share of the largest and their place, ties by group; one row per group. No task sees all groups."""
+    numbered = number_rows(sizes.select(group, "vocab_size"), F.desc("vocab_size"), group)
+    largest = numbered.agg(F.max("vocab_size")).first()[0] or 0
+    share = F.col("vocab_size") / F.lit(largest) * 100 if largest > 0 else F.lit(None).cast("double")
+    return numbered.select(group, "vocab_size", share.alias("pct_of_max"), (F.col("position") + 1).cast("int").alias("position"))
 
 
 def declared_vocabularies(loaders: Mapping[str, object], spark, paths: Mapping[str, str]) -> DataFrame:
