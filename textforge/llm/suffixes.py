@@ -20,9 +20,16 @@ one, only suffixes in buckets of two or more are refined, and a suffix alone in
 Buckets hold names and places, never texts; counts are combined inside tasks, and no task gathers a
 bucket. Names have 128 bits where they decide. Texts move twice, to meet their places.
 
+Shorter passages are found in the first buckets of the same pass: with ``shorter`` bytes given, the anchors
+of strings of that length enter too (those of the longer strings are among them), and ``n_shared`` counts the anchors
+of a text whose ``GRAM`` bytes are an anchor of another text as well. It is above 0 for every text that has ``shorter``
+bytes in common with another one, and 0 for every text that has no ``GRAM`` bytes in common with another; the bytes
+that go do not depend on it.
+
 Null texts are empty. Rows that repeat an id and a text are documents of their own, so their bytes
 from ``LENGTH`` on repeat each other. Null ids are ids. Texts shorter than ``LENGTH`` bytes are kept
-whole. Empty tables give empty tables; extra columns pass through.
+whole. A very long text is one slice of its task: its working arrays take some 60 bytes a byte of text.
+Empty tables give empty tables; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +47,7 @@ from textforge.llm import bytes as tb
 from textforge.llm.common import aside, identified, join_identified, map_slices, materialise
 
 LENGTH = 400
+SHORTER = 256  # bytes of a passage that a text shares with another one: some 45 words
 GRAM = 128
 SEGMENT = 1 << 16
 ROUNDS = (32, 4, 1)  # starts that are refined together, round by round
@@ -102,14 +111,41 @@ def _named(rows: pa.RecordBatch, index: np.ndarray) -> dict:
     return {c: rows.column(rows.schema.get_field_index(c)).take(index) for c in ("doc_id", "_h")}
 
 
-def _runs(length: int):
+def _starts(size: int, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Where a string of ``length`` bytes starts that lies inside one text."""
+    valid = np.zeros(size, bool)
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        if b - a >= length:
+            valid[a : b - length + 1] = True
+    return np.flatnonzero(valid)
+
+
+def _runs(length: int, shorter: int | None):
     def each(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict | None:
+        long = _long(rows, data, offsets)
+        if shorter is None:
+            return long
+        places = np.unique(anchors(data, shorter)[_starts(len(data), offsets, shorter)])
+        text = np.searchsorted(offsets, places, "right") - 1
+        if long is not None:
+            places, text = places[new := ~np.isin(places, long["anchor"])], text[new]
+        if not len(places):
+            return long
+        none = np.zeros(len(places), np.int32)
+        short = _named(rows, text) | {
+            "low": places - offsets[text],
+            "n": none,
+            "rel": none,
+            "key": tb.span_hashes(data, places, places + GRAM).view(np.int64),
+            "whole": pa.nulls(len(places), pa.int64()),
+        }
+        if long is None:
+            return short
+        return {c: pa.concat_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in (long[c], short[c])]) for c in short}
+
+    def _long(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict | None:
         at = anchors(data, length)
-        valid = np.zeros(len(at) + 1, bool)
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            if b - a >= length:
-                valid[a : b - length + 1] = True
-        starts = np.flatnonzero(valid)
+        starts = _starts(len(data), offsets, length)
         if not len(starts):
             return None
         new = np.ones(len(starts), bool)
@@ -127,15 +163,19 @@ def _runs(length: int):
             "rel": (anchor - low).astype(np.int32),
             "key": key.view(np.int64),
             "whole": whole.view(np.int64),
+            "anchor": anchor,
         }
 
     return each
 
 
-def anchor_runs(named: DataFrame, length: int = LENGTH) -> DataFrame:
-    """First buckets: one row per anchor with its run of starts ``low .. low + n - 1``."""
+def anchor_runs(named: DataFrame, length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """First buckets: one row per anchor with its run of starts ``low .. low + n - 1``.
+
+    Anchors of the ``shorter`` strings only have no run: ``whole`` is null and ``low`` is their place.
+    """
     schema = StructType([named.schema["doc_id"]]).add("_h", "long").add("low", "long").add("n", "integer").add("rel", "integer")
-    return map_slices(named, _runs(length), schema.add("key", "long").add("whole", "long"))
+    return map_slices(named, _runs(length, shorter), schema.add("key", "long").add("whole", "long"))
 
 
 def _pieces(length: int):
@@ -234,16 +274,22 @@ def _refine_open(pieces: DataFrame, length: int) -> DataFrame:
     return found
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``(doc_id, _h, spans)``: byte spans ``(start, end)`` that repeated strings cover, for texts that have any."""
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """``(doc_id, _h, spans, n_shared)``: byte spans ``(start, end)`` that repeated strings cover, and the anchors shared
+    with other texts (0 without ``shorter``), for texts that have any."""
     if not 2 * GRAM <= length <= 4 * GRAM - ROUNDS[0]:
         raise ValueError(f"length must be between {2 * GRAM} and {4 * GRAM - ROUNDS[0]}")
+    if shorter is not None and not GRAM <= shorter <= length:
+        raise ValueError(f"shorter must be between {GRAM} and {length}")
     named = identified(docs, key, text)
-    runs = materialise(anchor_runs(named, length), "suffix-runs", compression="zstd")
-    buckets = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("whole") != F.max("whole")).alias("mixed"))
+    runs = materialise(anchor_runs(named, length, shorter), "suffix-runs", compression="zstd")
+    across = F.lit(False) if shorter is None else F.min("_h") != F.max("_h")
+    buckets = runs.groupBy("key").agg(F.count("whole").alias("size"), (F.min("whole") != F.max("whole")).alias("mixed"), across.alias("across"))
     # Written before the join: an exchange of its own lets Spark split a hot bucket.
-    buckets = materialise(buckets.where("size > 1").select("key", "mixed"), "suffix-buckets")
-    shared = materialise(runs.join(buckets, "key"), "suffix-shared", compression="zstd")
+    buckets = materialise(buckets.where("size > 1 or across").select("key", "size", "mixed", "across"), "suffix-buckets")
+    listed = runs.join(buckets, "key").where("across or whole is not null")
+    listed = materialise(listed, "suffix-shared", compression="zstd")
+    shared = listed.where("size > 1 and whole is not null").drop("size", "across")
 
     # A mixed bucket is refined by the whole stretch: kinds of two or more are done, the rest is open.
     mixed = shared.where("mixed")
@@ -267,7 +313,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         refined.where("not open").select("doc_id", "_h", "low", "n")
     )
     settled = whole.select("doc_id", "_h", F.col("low").alias("start"), (F.col("low") + F.col("n") - 1 + length).alias("end"))
-    return settled.unionByName(single).groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = settled.unionByName(single).select("doc_id", "_h", F.struct("start", "end").alias("span"), F.lit(0).alias("n"))
+    if shorter is not None:
+        # One row per place: rows that repeat id and text are one text here.
+        places = listed.where("across").select("doc_id", "_h", (F.col("low") + F.col("rel")).alias("place")).distinct()
+        counts = places.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        spans = spans.unionByName(counts.withColumn("span", F.lit(None).cast(spans.schema["span"].dataType)))
+    return spans.groupBy("doc_id", "_h").agg(F.collect_set("span").alias("spans"), F.sum("n").alias("n_shared"))
 
 
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -278,9 +330,9 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    spans = repeated_spans(docs, key, text, length).select(
-        F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"), F.col("spans").alias("_tf_spans")
+def _with_spans(docs: DataFrame, key: str, text: str, length: int, shorter: int | None = None) -> DataFrame:
+    spans = repeated_spans(docs, key, text, length, shorter).select(
+        F.col("doc_id").alias("_tf_id"), F.col("_h").alias("_tf_h"), F.col("spans").alias("_tf_spans"), F.col("n_shared").alias("_tf_shared")
     )
     same = (F.xxhash64(docs[key], docs[text]) == F.col("_tf_h")) & docs[key].eqNullSafe(F.col("_tf_id"))
     return docs.join(spans, same, "left").drop("_tf_id", "_tf_h")
@@ -299,8 +351,10 @@ def _masks(batch: pa.RecordBatch, text: str):
         yield value, covered(len(value), starts[a:b], ends[a:b]) if has[i] and b > a else None
 
 
-def digest_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (of the remaining bytes)."""
+def digest_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: int | None = SHORTER
+) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (of the remaining bytes), ``n_shared``."""
 
     def run(batches):
         for batch in batches:
@@ -312,14 +366,15 @@ def digest_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     out.append((len(value), int(gone.sum()), n_spans, hashlib.sha256(value[~gone].tobytes()).hexdigest()))
             columns = list(zip(*out)) or [[]] * 4
+            shared = pc.fill_null(batch.column(batch.schema.get_field_index("_tf_shared")), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(key))] + [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column(batch.schema.get_field_index(key))] + [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string()), shared],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"],
             )
 
-    found = _with_spans(docs.select(key, text), key, text, length)
+    found = _with_spans(docs.select(key, text), key, text, length, shorter)
     schema = StructType().add("doc_id", docs.schema[key].dataType).add("n_bytes", "long").add("n_removed", "long")
-    return found.mapInArrow(run, schema.add("n_spans", "long").add("kept_sha256", "string"))
+    return found.mapInArrow(run, schema.add("n_spans", "long").add("kept_sha256", "string").add("n_shared", "long"))
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
