@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import tiktoken
 
 import cases
 from textforge.llm import bpe, packing, quality, suffix_tree, toxicity
+from textforge.llm import bytes as tb
 
 
 @pytest.fixture(scope="module")
@@ -141,6 +143,58 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.expected_severity <= 3 for r in got)
 
 
+def brute_features(text):
+    """Counts of the words (letters and bytes above 0x7F, lower case) and of the beginnings of longer words."""
+    found = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+    named = Counter((w, 0) for w in found)
+    for size in toxicity.PREFIXES:
+        named.update((w[:size], size) for w in found if len(w) > size)
+    return named, len(found)
+
+
+def feature_hash(name):
+    data = np.frombuffer(name[0], np.uint8)
+    return int(tb.span_hashes(data, np.array([0]), np.array([len(data)]))[0] + np.uint64(name[1]))
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Feature counts, the choice of features, and the scores of every text, against plain loops."""
+    rows = [(i, t) for i, t in cases.edge_texts() if i != 14]
+    rows += [(100 + i, cases.prose(i, 12 + i) + (" Awful beasts! awful-BEAST été" if i % 3 == 0 else " Mild été")) for i in range(40)]
+    docs = cases.docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 1)) for i in range(100, 140)] + [(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    counts = defaultdict(lambda: [0, 0])
+    for i, t in rows:
+        if i in toxic:
+            for name in brute_features(t)[0]:
+                counts[name][toxic[i]] += 1
+    n = Counter(toxic[i] for i, _ in rows if i in toxic)
+    want = {}
+    for name, (in0, in1) in counts.items():
+        gap, total = in1 * (n[0] - in0) - in0 * (n[1] - in1), in0 + in1
+        if sum(n.values()) * gap**2 / max(total * (sum(n.values()) - total) * n[0] * n[1], 1) >= toxicity.SIGNIFICANT:
+            want[feature_hash(name)] = (in1, in0)
+    texts = toxicity.training_texts(docs, labels)
+    got = toxicity.select_features(texts, n[1], n[0], 10**6)
+    assert {r.feature & (2**64 - 1): (r.in1, r.in0) for r in got} == want and len(want) > 5
+
+    model = toxicity.fit(docs, labels)
+    assert model.features.tolist() == sorted(want)
+    weight = dict(zip(model.features.tolist(), model.weights))
+    expected = []
+    for i, t in rows:
+        named, words = brute_features(t)
+        score = sum(weight.get(feature_hash(name), 0.0) * k for name, k in named.items()) / math.sqrt(max(words, 1))
+        score += model.weights[-1] * math.sqrt(words) / 10
+        upto = [1 / (1 + math.exp(score - c)) for c in model.cuts]
+        expected.append((i, sum(1 - p for p in upto)))
+    result = [(r.doc_id, r.expected_severity) for r in toxicity.score(docs, model).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (i, x), (j, y) in zip(sorted(result, key=order), sorted(expected, key=order), strict=True):
+        assert i == j and abs(x - y) < 1e-9
+
+
 def test_toxicity_gradient():
     """The fit climbs: a numeric derivative of the likelihood vanishes at the result."""
     rng = np.random.default_rng(0)
