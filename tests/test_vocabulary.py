@@ -3,7 +3,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from textforge.operators import vocabulary as vocabulary_module
 from textforge.operators.vocabulary import build_vocabulary, decode_vocabulary, encode_vocabulary
+from textforge.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,14 @@ def test_tokens_and_ids_that_are_not_there(spark, docs):
     with pytest.raises(Exception, match="no token has the id 999"):
         decode_vocabulary(spark.createDataFrame([([0, 999],)], "ids array<long>"), vocabulary).collect()
     assert decode_vocabulary(spark.createDataFrame([(None,)], "ids array<long>"), vocabulary).first().decoded is None
+
+
+def test_only_the_rows_are_written(spark, docs, monkeypatch):
+    """Token lists are made where they are needed: they would be written and shuffled at several times the size of the text."""
+    written = []
+    monkeypatch.setattr(vocabulary_module, "materialise", lambda df, name, **options: written.append(df.columns) or materialise(df, name, **options))
+    vocabulary = build_vocabulary(docs)
+    encoded = encode_vocabulary(docs, vocabulary, head=2)
+    back = decode_vocabulary(encoded, vocabulary, head=2).collect()
+    assert written == [["k", "text", "_more", "_row"], ["k", "text", "_more", "ids", "_row"]]
+    assert [r.decoded for r in sorted(back, key=lambda r: r.k)] == [r.text or "" for r in docs.orderBy("k").collect()]

@@ -30,17 +30,25 @@ def build_vocabulary(df: DataFrame, text: str = "text", pattern: str = TOKEN_PAT
     return number_rows(counts, F.desc("n"), "token", name="token_id")
 
 
+def _asked(values: list | None, head: dict) -> list:
+    """The distinct values of a row that are not in ``head``, in the order of the row."""
+    return list(dict.fromkeys(v for v in values or () if v not in head))
+
+
 def _looked_up(df: DataFrame, values: Column, value_type: T.DataType, table: DataFrame, found: str, head: dict) -> DataFrame:
-    """``df`` with ``_values`` and ``_rare``: pairs of a value of the row that is not in ``head`` and what ``table (value, found)`` has for it."""
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_values", values), "looked-up")
+    """``df`` with ``_values`` and ``_rare``: pairs of a place in the row's ``_asked`` values and what ``table (value, found)`` has for it.
+
+    The values are made of the row wherever they are needed, not written or shuffled with it, and an answer names its place instead of its value.
+    """
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "looked-up", compression="zstd")
 
     def make() -> MapBatch:
-        return lambda columns: {"_asked": [list({v for v in row or () if v not in head}) for row in columns["_values"]]}
+        return lambda columns: {"_asked": [_asked(row, head) for row in columns["_values"]]}
 
-    asked = map_batches(rows, make, ["_values"], T.StructType([T.StructField("_asked", T.ArrayType(value_type))]), ["_row"])
-    single = asked.select("_row", F.explode("_asked").alias("value")).join(table, "value")
-    rare = single.groupBy("_row").agg(F.collect_list(F.struct("value", F.col(found).alias("found"))).alias("_rare"))
-    return rows.join(rare, "_row", "left").drop("_row")
+    asked = map_batches(rows.select("_row", values.alias("_values")), make, ["_values"], T.StructType([T.StructField("_asked", T.ArrayType(value_type))]), ["_row"])
+    single = asked.select("_row", F.posexplode("_asked").alias("at", "value")).join(table, "value")
+    rare = single.groupBy("_row").agg(F.collect_list(F.struct("at", F.col(found).alias("found"))).alias("_rare"))
+    return rows.join(rare, "_row", "left").drop("_row").withColumn("_values", values)
 
 
 def encode_vocabulary(
@@ -56,7 +64,8 @@ def encode_vocabulary(
         def run(rows: dict[str, list]) -> dict[str, list]:
             out = []
             for values, rare in zip(rows["_values"], rows["_rare"]):
-                own = {p["value"]: p["found"] for p in rare or ()}
+                asked = _asked(values, common)
+                own = {asked[p["at"]]: p["found"] for p in rare or ()}
                 ids = [common.get(v, own.get(v, unknown)) for v in values or ()]
                 if unknown is None and None in ids:
                     raise ValueError(f"not in the vocabulary: {values[ids.index(None)]!r}")
@@ -79,7 +88,8 @@ def decode_vocabulary(df: DataFrame, vocabulary: DataFrame, ids: str = "ids", na
         def run(rows: dict[str, list]) -> dict[str, list]:
             out = []
             for values, rare in zip(rows["_values"], rows["_rare"]):
-                own = {p["value"]: p["found"] for p in rare or ()}
+                asked = _asked(values, common)
+                own = {asked[p["at"]]: p["found"] for p in rare or ()}
                 parts = None if values is None else [common.get(v, own.get(v)) for v in values]
                 if parts and None in parts:
                     raise ValueError(f"no token has the id {values[parts.index(None)]}")

@@ -50,14 +50,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back; ``options`` are those of the writer.
 
     Used where recomputing is expensive or must not happen twice (model calls, token
     arrays). The result has no lineage, so a lost executor costs a re-read only.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -204,7 +204,7 @@ def vocabulary_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as dense ids and back; ids are told by a sum that depends on their order."""
     docs = documents(spark, folder).select("doc_id", "text")
     encoded = encode_vocabulary(docs, build_vocabulary(docs), head=1000)
-    back = decode_vocabulary(materialise(encoded, "dense-ids"), build_vocabulary(docs), head=500)
+    back = decode_vocabulary(materialise(encoded, "dense-ids", compression="zstd"), build_vocabulary(docs), head=500)
     weighted = F.aggregate(F.transform("ids", lambda x, i: x * (i % 1000 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return back.select("doc_id", F.size("ids").alias("n_tokens"), weighted.alias("checksum"), (F.col("decoded") == F.col("text")).alias("same"))
 
