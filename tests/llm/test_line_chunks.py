@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import cases
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_across import brute_runs
 from textforge.llm import lines
 
@@ -45,3 +47,36 @@ def test_runs_inside_chunks_equal_brute_force(spark):
     rows += [(100 + k, rows[k][1]) for k in range(5)] + [(200, "\n".join(few * 6)), (201, "x\n" + "\n".join(few * 3))]
     got = [tuple(r) for r in lines.drop_repeated_runs(cases.docs(spark, rows), count="gone").select("doc_id", "text", "gone").collect()]
     assert sorted(got) == sorted(brute_runs(rows))
+
+
+def test_cut_sends_back_slices_of_whole_texts(spark):
+    """What a task holds is one slice, not the many texts of a batch; null texts and texts without a list stay."""
+    names = {c: c for c in ("doc_id", "text", "n")}
+    docs = spark.createDataFrame([], "doc_id long, text string, n int")
+    texts = [None if k % 50 == 3 else "\n".join([f"één {k}", "x" * 4000, "end"]) for k in range(2000)]
+    spans = [[{"line": 1, "n_lines": 2}, {"line": 2, "n_lines": 1}] if t and k % 2 else None for k, t in enumerate(texts)]
+    listed = pa.array(spans, pa.list_(pa.struct([("line", pa.int32()), ("n_lines", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts), pa.array([7] * 2000, pa.int32()), listed], names=[*names, "_tf_removed"])
+
+    class Joined:
+        def mapInArrow(self, cut, schema):
+            return list(cut(iter([batch])))
+
+    out = lines._take_out(Joined(), docs, names, "text", "gone")
+    assert max(b.nbytes for b in out) < 1.1 * lines.tb.SLICE_BYTES
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(k, f"één {k}" if s else t, 7, 2 if s else 0) for k, (t, s) in enumerate(zip(texts, spans))]
+
+
+def test_only_texts_with_a_find_pass_python(spark):
+    shared = cases.lines_of(300, 3)
+    rows = [(1, shared), (2, "a b\n" + shared), (6, "c d\n" + shared), (3, cases.lines_of(301, 5)), (4, None), (None, ""), (None, "a b\nc d")]
+    docs = cases.docs(spark, rows).withColumn("more", F.lit(5)).withColumn("gone", F.lit("old"))
+    for count in ("gone", None):
+        found = lines.drop_repeated_runs(docs, count=count)
+        assert found.columns == ([c for c in docs.columns if c != "gone"] + ["gone"] if count else docs.columns)
+        assert sorted(tuple(r) for r in found.select("doc_id", "text").fillna("null").fillna(-1).collect()) == sorted(
+            (-1 if i is None else i, "null" if t is None else t) for i, t, _ in brute_runs(rows)
+        )
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and sorted("MapInArrow" in plan.children().apply(k).toString() for k in range(2)) == [False, True]

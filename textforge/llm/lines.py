@@ -232,9 +232,10 @@ def drop_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stay = of(F.filter("_tf_found", lambda s: s["is_first"] & s["is_pair"]))
     gone = F.transform(F.array_except(of(F.col("_tf_again")), stay), lambda line: F.struct(line.alias("line"), F.lit(1).alias("n_lines")))
     here = (F.col("_tf_h") == F.col("_tf_o_h")) & F.col("_tf_id").eqNullSafe(F.col("_tf_o_id"))
-    own = list(names.values())
-    changed = some.join(again, here, "left").select(*own, gone.alias("_tf_removed"))
-    return _take_out(changed.unionAll(met.where("_tf_found is null").select(*own, F.lit(None).alias("_tf_removed"))), docs, names, text, count)
+    changed = some.join(again, here, "left").select(*names.values(), gone.alias("_tf_removed"))
+    # Texts in which nothing was found stay as they are and don't pass Python.
+    rest = [F.col(names[c]).alias(c) for c in docs.columns if c != count] + ([F.lit(0).cast("long").alias(count)] if count else [])
+    return _take_out(changed, docs, names, text, count).unionAll(met.where("_tf_found is null").select(*rest))
 
 
 def _meet(safe: DataFrame, names: dict[str, str], found: DataFrame, key: str, text: str) -> DataFrame:
@@ -258,25 +259,20 @@ def _take_out(joined: DataFrame, docs: DataFrame, names: dict[str, str], text: s
         schema = schema.add(count, "long")
 
     def cut(batches):
-        for batch in batches:
-            gone = batch.column(batch.schema.get_field_index("_tf_removed"))
-            texts = batch.column(batch.schema.get_field_index(names[text]))
-            if gone.null_count < batch.num_rows:
-                new, counts = [], []
-                for value, spans in zip(texts, gone):
-                    value = value.as_py()
-                    spans = spans.as_py()
-                    if spans is None:
-                        new.append(value)
-                        counts.append(0)
-                    else:
-                        kept, n = _without(value.encode(), spans)
-                        new.append(kept.decode())
-                        counts.append(n)
-                texts = pa.array(new, texts.type)
-            else:
-                counts = np.zeros(batch.num_rows, np.int64)
-            out = [texts if c == text else batch.column(batch.schema.get_field_index(names[c])) for c in columns]
+        # In slices of whole texts: a batch has up to 10,000 of them, here, in what is sent back and in the JVM that reads it.
+        for rows, data, offsets in tb.slices(batches, names[text]):
+            gone = rows.column(rows.schema.get_field_index("_tf_removed"))
+            texts = rows.column(rows.schema.get_field_index(names[text]))
+            counts = np.zeros(rows.num_rows, np.int64)
+            if gone.null_count < rows.num_rows:
+                new = []
+                for k, spans in enumerate(gone):
+                    value = data[offsets[k] : offsets[k + 1]].tobytes() if texts[k].is_valid else None
+                    if spans.is_valid:
+                        value, counts[k] = _without(value, spans.as_py())
+                    new.append(value)
+                texts = pa.array(new, pa.binary()).cast(texts.type)
+            out = [texts if c == text else rows.column(rows.schema.get_field_index(names[c])) for c in columns]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(counts, pa.int64())] if count else []), names=columns + ([count] if count else []))
 
     return joined.mapInArrow(cut, schema)
