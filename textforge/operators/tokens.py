@@ -55,12 +55,18 @@ TOKEN_PATTERN = (
     "|".join(token.replace("|", r"\|") for token in SPECIAL_TOKENS)
     + r"|\n|[ \t\r\f\x0b]*[^ \t\n\r\f\x0b<]+|[ \t\r\f\x0b]+|<"
 )
+# The same tokens, found faster: words come first, since no special token begins like one, and blanks are not gone back over.
+_QUICK_PATTERN = (
+    r"[ \t\r\f\x0b]*+[^ \t\n\r\f\x0b<]++|\n|[ \t\r\f\x0b]++|"
+    + "|".join(token.replace("|", r"\|") for token in SPECIAL_TOKENS)
+    + "|<"
+)
 HASH_ID_DIGITS = 15  # 60 bits of the hash
 FIRST_HASHED_ID = max(SPECIAL_TOKENS.values()) + 1  # keeps hashed ids clear of the table
 
 
 def split_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_QUICK_PATTERN if pattern == TOKEN_PATTERN else pattern), F.lit(0))
 
 
 def token_id(token: Column) -> Column:
